@@ -12,23 +12,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.ordered import BLOCK, carried, last_value, next_value, ordered_blocks, run_max, running, lead
+from cadenza.operators.ordered import carried, last_value, next_value, ordered_blocks, run_max, running
 
 _FACTOR = 8
 
 
 def _bins(start: Column, end: Column, width: float, own: Column, levels: int) -> Column:
     """(level, bin) pairs from the interval's own level up."""
-    per_level = [
-        F.when(
-            F.lit(k) >= own,
-            F.transform(
-                F.sequence(F.floor(start / (width * _FACTOR**k)), F.floor(end / (width * _FACTOR**k))),
-                lambda b, k=k: F.struct(F.lit(k).alias("lvl"), b.alias("bin")),
-            ),
-        ).otherwise(F.array().cast("array<struct<lvl:int,bin:bigint>>"))
-        for k in range(levels)
-    ]
+    def at_level(k: int) -> Column:
+        covered = F.sequence(F.floor(start / (width * _FACTOR**k)), F.floor(end / (width * _FACTOR**k)))
+        return F.transform(covered, lambda b: F.struct(F.lit(k).alias("lvl"), b.alias("bin")))
+
+    none = F.array().cast("array<struct<lvl:int,bin:bigint>>")
+    per_level = [F.when(F.lit(k) >= own, at_level(k)).otherwise(none) for k in range(levels)]
     return F.flatten(F.array(*per_level))
 
 
@@ -94,13 +90,11 @@ def asof(
     *,
     id: str,
     carry: dict[str, str] | None = None,
-    allow_exact: bool = True,
 ) -> DataFrame:
     """Nearest anchor at or before (``prev_*``) and at or after (``next_*``) every point.
 
     One union, one range partitioning, two running values: no pairs are built, and a source of
-    any size is spread over blocks. ``carry`` maps output suffixes to anchor columns. With
-    ``allow_exact=False`` an anchor at exactly the point's time counts on neither side.
+    any size is spread over blocks. ``carry`` maps output suffixes to anchor columns.
     Ties between anchors at one time are resolved by the smallest ``carry`` struct.
     """
     key = list(key)
@@ -113,15 +107,11 @@ def asof(
     u = a.withColumn("_k", F.lit(0)).unionByName(p.withColumn("_k", F.lit(1)), allowMissingColumns=True)
     order = ["_t", "_k", "_id"]
     blocked = ordered_blocks(u, key, order)
-    if allow_exact:
-        same = F.lit(True)
     runs = {"_prev": last_value("_a"), "_next": next_value("_a")}
     out = carried(blocked, key, order, runs).filter("_k = 1")
     # anchors sort before points of the same time: the exact one is always in `_prev`
     exact = F.col("_prev.at") == F.col("_t")
     out = out.withColumn("_next", F.when(exact, F.col("_prev")).otherwise(F.col("_next")))
-    if not allow_exact:
-        raise NotImplementedError("shift the point by a tolerance instead")
     names = {"at": "at", **{n: n for n in carry}}
     return out.select(
         "_row.*",
@@ -163,23 +153,122 @@ def gaps_between(spans: DataFrame, key, start, end, *, id, duration: DataFrame |
     return inner.unionByName(tail.filter(F.col("gap_start") < F.col("gap_end") - eps))
 
 
-def subtract_spans(cuts: DataFrame, holes: DataFrame, key, cut_id, cut, hole, *, width, min_len=0.05) -> DataFrame:
-    """Pieces of every cut outside all holes; pieces shorter than ``min_len`` are dropped.
+def subtract_pairs(cuts: DataFrame, pairs: DataFrame, ids, cut, hole, *, min_len=0.05) -> DataFrame:
+    """Pieces of every cut outside the holes paired with it (``ids`` + cut + hole columns).
 
-    Output keeps ``key``, ``cut_id`` and adds ``piece_start, piece_end``. A cut's holes are
-    bounded by the cut's length, so the window runs per cut.
+    Pieces of at most ``min_len`` are dropped. Output: ``ids, piece_start, piece_end``.
     """
-    key = list(key)
+    ids = list(ids)
     cs, ce = cut
     hs, he = hole
-    ids = [*key, *cut_id]
-    h = overlap_join(cuts.select(*ids, cs, ce), holes.select(*key, hs, he), key, cut, hole, width=width)
-    h = h.groupBy(*ids, cs, ce, hs).agg(F.max(he).alias(he))
-    pts = h.select(*ids, F.col(cs), F.col(ce), F.greatest(hs, cs).alias("_hs"), F.least(he, ce).alias("_he"))
+    holes = pairs.select(*ids, cs, ce, F.greatest(hs, cs).alias("_hs"), F.least(he, ce).alias("_he"))
     # the end of a cut acts as one last empty hole
     stop = cuts.select(*ids, cs, ce, F.col(ce).alias("_hs"), F.col(ce).alias("_he"))
-    rows = pts.unionByName(stop)
-    out = running(rows.distinct(), ids, ["_hs", "_he"], {"_seen": run_max("_he", inclusive=False)})
-    begin = F.greatest(F.coalesce(F.col("_seen"), F.col(cs)), F.col(cs))
+    rows = holes.unionByName(stop).groupBy(*ids, cs, ce, "_hs").agg(F.max("_he").alias("_he"))
+    out = running(rows, ids, ["_hs"], {"_seen": run_max("_he", inclusive=False)})
+    begin = F.greatest(F.col("_seen"), F.col(cs))
     out = out.select(*ids, begin.alias("piece_start"), F.col("_hs").alias("piece_end"))
-    return out.filter(F.round(F.col("piece_end") - F.col("piece_start"), 9) >= min_len)
+    return out.filter(F.round(F.col("piece_end") - F.col("piece_start"), 9) > min_len)
+
+
+def subtract_spans(cuts: DataFrame, holes: DataFrame, key, cut_id, cut, hole, *, width, min_len=0.05) -> DataFrame:
+    """Pieces of every cut outside all holes of its source."""
+    ids = [*key, *cut_id]
+    pairs = overlap_join(cuts.select(*ids, *cut), holes.select(*key, *hole), key, cut, hole, width=width)
+    return subtract_pairs(cuts, pairs, ids, cut, hole, min_len=min_len)
+
+
+def words_text(words: DataFrame, spans: DataFrame, ids, span, *, mode: str = "start", width: float = 16.0, label: str | None = None) -> DataFrame:
+    """Text of the words of every span, in order.
+
+    ``mode``: ``inside`` (whole word), ``start`` (starts inside) or ``overlap``. With ``label``, a span without
+    whole words falls back to overlapping words, then to its label.
+    """
+    ids = list(ids)
+    s, e = span
+    keep = {
+        "inside": (F.col("start") >= F.col(s)) & (F.col("end") <= F.col(e)),
+        "start": (F.col("start") >= F.col(s)) & (F.col("start") < F.col(e)),
+        "overlap": (F.col("start") < F.col(e)) & (F.col("end") > F.col(s)),
+    }
+    j = overlap_join(words.select("source_id", "pos", "word", "start", "end"), spans.select(*ids, s, e), ["source_id"], ("start", "end"), span, width=width, closed=True)
+
+    def text(cond):
+        got = F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "word"))))
+        return F.array_join(F.transform(got, lambda x: x["word"]), " ")
+
+    if label is None:
+        t = j.groupBy(*ids).agg(text(keep[mode]).alias("text"))
+        return spans.join(t, ids, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    t = j.groupBy(*ids).agg(text(keep["inside"]).alias("_in"), text(keep["overlap"]).alias("_ov"))
+    out = spans.join(t, ids, "left")
+    return out.withColumn(
+        "text", F.coalesce(F.when(F.col("_in") != "", F.col("_in")), F.when(F.col("_ov") != "", F.col("_ov")), F.col(label))
+    ).drop("_in", "_ov")
+
+
+def evidence_near(moments: DataFrame, evidence: DataFrame, *, window: float, fallback: float, min_n: int, hard_min: int = 2, width: float) -> DataFrame:
+    """(moment, evidence) pairs within ``window``; within ``fallback`` for moments with fewer than ``min_n``.
+
+    One join on the wider window serves both; moments that stay below ``hard_min`` are dropped.
+    ``moments``: source_id, moment_id, m_start, m_end.
+    """
+    far = max(window, fallback)
+    m = moments.withColumns({"_ws": F.greatest(F.lit(0.0), F.col("m_start") - far), "_we": F.col("m_end") + far})
+    j = overlap_join(m, evidence, ["source_id"], ("_ws", "_we"), ("start", "end"), width=width)
+    near = (F.col("start") < F.col("m_end") + window) & (F.col("end") > F.greatest(F.lit(0.0), F.col("m_start") - window))
+    j = j.withColumn("_near", near)
+    n = j.groupBy("source_id", "moment_id").agg(F.count(F.when(F.col("_near"), 1)).alias("_n"), F.count(F.lit(1)).alias("_all"))
+    n = n.withColumn("_wide", F.col("_n") < min_n).filter(F.when(F.col("_wide"), F.col("_all")).otherwise(F.col("_n")) >= hard_min)
+    out = j.join(n, ["source_id", "moment_id"]).filter(F.col("_wide") | F.col("_near"))
+    return out.withColumn("used_window", F.when(F.col("_wide"), F.lit(far)).otherwise(F.lit(float(window)))).drop("_ws", "_we", "_near", "_n", "_all", "_wide")
+
+
+def best_overlap(left: DataFrame, right: DataFrame, ids, lspan, rspan, *, take: dict[str, str], rid: str, width: float, min_ratio: float = 0.0) -> DataFrame:
+    """For every left span the right row with the largest overlap share; null below ``min_ratio``."""
+    ids = list(ids)
+    vals = F.struct(*[F.col(c).alias(n) for n, c in take.items()])
+    r = right.select("source_id", F.col(rspan[0]).alias("_rs"), F.col(rspan[1]).alias("_re"), F.col(rid).alias("_rid"), vals.alias("_vals"))
+    j = overlap_join(left.select(*ids, *lspan), r, ["source_id"], lspan, ("_rs", "_re"), width=width)
+    inter = F.least(F.col(lspan[1]), F.col("_re")) - F.greatest(F.col(lspan[0]), F.col("_rs"))
+    ratio = F.round(inter / F.greatest(F.lit(0.001), F.col(lspan[1]) - F.col(lspan[0])), 9)
+    j = j.withColumn("_ratio", ratio).filter((F.col("_ratio") >= min_ratio) & (F.col("_ratio") > 0))
+    b = j.groupBy(*ids).agg(F.max_by("_vals", F.struct("_ratio", (-F.col("_rid")).alias("_t"))).alias("_vals"), F.max("_ratio").alias("overlap"))
+    return left.join(b, ids, "left").select(*left.columns, "overlap", *[F.col(f"_vals.{n}").alias(n) for n in take])
+
+
+def parent_by_midpoint(children: DataFrame, parents: DataFrame, ids, cspan, pspan, *, idx: str, take: str, default, eps: float = 0.05, width: float) -> DataFrame:
+    """Child takes ``take`` from the first parent (by ``idx``) that holds its midpoint."""
+    ids = list(ids)
+    c = children.withColumn("_mid", (F.col(cspan[0]) + F.col(cspan[1])) / 2)
+    p = parents.select("source_id", (F.col(pspan[0]) - eps).alias("_ps"), (F.col(pspan[1]) + eps).alias("_pe"), F.col(idx).alias("_idx"), F.col(take).alias("_take"))
+    j = point_join(c.select(*ids, "_mid"), p, ["source_id"], "_mid", ("_ps", "_pe"), width=width)
+    b = j.groupBy(*ids).agg(F.min_by("_take", "_idx").alias(take))
+    return children.join(b, ids, "left").withColumn(take, F.coalesce(take, F.lit(default)))
+
+
+def interpolate_at(points: DataFrame, series: DataFrame, at: str, t: str, value: str, *, id: str, out: str = "value_at") -> DataFrame:
+    """Linear interpolation between the neighbouring non-null samples; the only neighbour at the ends."""
+    s = series.filter(F.col(value).isNotNull())
+    j = asof(points, s.select("source_id", F.col(t).alias("_at"), F.col(value).alias("_val")), ["source_id"], at, "_at", id=id, carry={"val": "_val"})
+    span = F.col("next_at") - F.col("prev_at")
+    lin = F.col("prev_val") + (F.col("next_val") - F.col("prev_val")) * (F.col(at) - F.col("prev_at")) / span
+    v = F.when(F.col("prev_at").isNull(), F.col("next_val")).when(F.col("next_at").isNull() | (span <= 0), F.col("prev_val")).otherwise(lin)
+    return j.withColumn(out, v).drop("prev_at", "next_at", "prev_val", "next_val")
+
+
+def exclude_overlapping(items: DataFrame, occupied: DataFrame, ids, span, ospan, *, gap: float, width: float) -> DataFrame:
+    """Items at least ``gap`` seconds away from every occupied span of their source."""
+    ids = list(ids)
+    o = occupied.select("source_id", (F.col(ospan[0]) - gap).alias("_os"), (F.col(ospan[1]) + gap).alias("_oe"))
+    hit = overlap_join(items.select(*ids, *span), o, ["source_id"], span, ("_os", "_oe"), width=width).select(*ids).distinct()
+    return items.join(hit, ids, "left_anti")
+
+
+def extend_near_markers(spans: DataFrame, markers: DataFrame, ids, span, *, near: float = 0.2, width: float) -> DataFrame:
+    """Spans whose end lies within ``near`` of a marker (m_t, m_hold) grow by the largest hold."""
+    ids = list(ids)
+    m = markers.select("source_id", (F.col("m_t") - near).alias("_ms"), (F.col("m_t") + near).alias("_me"), "m_t", "m_hold")
+    j = point_join(spans.select(*ids, F.col(span[1]).alias("_e")), m, ["source_id"], "_e", ("_ms", "_me"), width=width)
+    j = j.filter(F.round(F.abs(F.col("m_t") - F.col("_e")), 9) < near).groupBy(*ids).agg(F.max("m_hold").alias("_hold"))
+    return spans.join(j, ids, "left").withColumn(span[1], F.col(span[1]) + F.coalesce("_hold", F.lit(0.0))).drop("_hold")

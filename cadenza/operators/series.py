@@ -79,12 +79,12 @@ def remap_to_plan_time(words: DataFrame, segs: DataFrame, plan_key: Sequence[str
     return j.filter("local_end > local_start")
 
 
-def window_gains(points: DataFrame, key, t: str, level: str, *, size=3.0, target=-16.0, limit=6.0, floor=-70.0) -> DataFrame:
+def window_gains(points: DataFrame, key, t: str, level: str, *, size=3.0, target=-16.0, limit=6.0, floor=-70.0, digits=2) -> DataFrame:
     """Tumbling windows: clipped gain towards ``target``; windows quieter than ``floor`` are skipped."""
     g = points.groupBy(*key, F.floor(F.col(t) / size).alias("win")).agg(F.avg(level).alias("_l"), F.count(F.lit(1)).alias("n"))
     g = g.filter(F.col("_l") >= floor)
     return g.select(
-        *key, "win", "n", F.round(F.greatest(F.lit(-limit), F.least(F.lit(limit), target - F.col("_l"))), 2).alias("gain")
+        *key, "win", "n", F.round(F.greatest(F.lit(-limit), F.least(F.lit(limit), target - F.col("_l"))), digits).alias("gain")
     )
 
 
@@ -98,7 +98,7 @@ def truncate_running(cuts: DataFrame, key, order, start: str, end: str, *, limit
     return r.withColumn(end, F.col(start) + F.least(F.col("_d"), left)).drop("_d", "_used")
 
 
-def spread_words(segs: DataFrame, text: str, start: str, end: str) -> DataFrame:
+def spread_words(segs: DataFrame, text: str, start: str, end: str, digits: int = 3) -> DataFrame:
     """Every word of ``text`` with an even share of [start, end]."""
     words = F.filter(F.split(F.trim(F.col(text)), "[ \n\t\r]+"), lambda w: w != "")
     s = segs.withColumn("_w", words).filter(F.size("_w") > 0)
@@ -106,8 +106,8 @@ def spread_words(segs: DataFrame, text: str, start: str, end: str) -> DataFrame:
     s = s.withColumn("_per", per).select("*", F.posexplode("_w").alias("word_no", "word"))
     return s.withColumns(
         {
-            "word_start": F.round(F.col(start) + F.col("word_no") * F.col("_per"), 3),
-            "word_end": F.round(F.col(start) + (F.col("word_no") + 1) * F.col("_per"), 3),
+            "word_start": F.round(F.col(start) + F.col("word_no") * F.col("_per"), digits),
+            "word_end": F.round(F.col(start) + (F.col("word_no") + 1) * F.col("_per"), digits),
         }
     ).drop("_w", "_per")
 

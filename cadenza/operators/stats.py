@@ -144,7 +144,7 @@ def context_risk(segs: DataFrame, key, order: Sequence[str], start: str, end: st
         F.max(F.abs(F.col(sentiment) - F.col("_ps"))).alias("_shift"),
     )
     def ramp(x):
-        return F.coalesce(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 3), F.lit(0.0))
+        return F.when(x.isNull(), F.lit(0.0)).otherwise(F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 3))
 
     r1, r2, r3 = ramp((0.4 - F.col("_sim")) / 0.4), ramp((F.col("_gap") - 300) / 600.0), ramp((F.col("_shift") - 0.5) / 0.8)
     reasons = F.array_compact(
@@ -180,7 +180,7 @@ def duration_fit_tent(sec: Column, low: float = 28.0, best: float = 42.0, high:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(sec <= best, up).otherwise(down)))
 
 
-def composite_score(duration: Column, rhythm: Column, visual: Column, bookend: Column, trend: Column) -> Column:
+def composite_score(duration: Column, rhythm: Column, visual: Column, bookend: Column, trend: Column, digits: int = 1) -> Column:
     narrative = F.least(
         F.lit(1.0), F.lit(0.7) + F.when(bookend, 0.2).otherwise(0.0) + F.when((duration >= 25) & (duration <= 75), 0.1).otherwise(0.0)
     )
@@ -191,7 +191,7 @@ def composite_score(duration: Column, rhythm: Column, visual: Column, bookend: C
         + 0.15 * narrative * 100
         + 0.05 * trend * 100
     )
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), digits)
 
 
 def grade(score: Column) -> Column:

@@ -216,17 +216,15 @@ def _(spark, sf):
         + 0.25::DOUBLE * rh * 100 + 0.20::DOUBLE * coalesce(vis, 0.7::DOUBLE) * 100
         + 0.15::DOUBLE * least(1, 0.7::DOUBLE + CASE WHEN book THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN d BETWEEN 25 AND 75 THEN 0.1::DOUBLE ELSE 0 END) * 100
         + 0.05::DOUBLE * tr * 100 AS raw FROM x)
-    SELECT clip_id, round(greatest(0, least(100, round(raw, 6))), 1) AS composite,
-      CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' ELSE 'D' END AS grade FROM (SELECT clip_id, round(greatest(0, least(100, round(raw, 6))), 1) AS raw FROM y)""".replace(
-        "round(greatest(0, least(100, round(raw, 6))), 1) AS composite", "raw AS composite"
-    ),
+    SELECT clip_id, raw AS composite, CASE WHEN raw >= 85 THEN 'A' WHEN raw >= 70 THEN 'B' WHEN raw >= 55 THEN 'C' ELSE 'D' END AS grade
+    FROM (SELECT clip_id, round(greatest(0, least(100, raw)), 4) AS raw FROM y)""",
     (CLIPS,),
 )
 def _(spark, sf):
     c = T.clips(spark, sf)
     i = F.col("clip_id")
     score = A.composite_score(
-        F.col("end") - F.col("start"), (i % 10) / F.lit(10.0), F.when(i % 3 != 0, F.col("score") / 10), i % 2 == 0, (i % 5) / F.lit(4.0)
+        F.col("end") - F.col("start"), (i % 10) / F.lit(10.0), F.when(i % 3 != 0, F.col("score") / 10), i % 2 == 0, (i % 5) / F.lit(4.0), digits=4,
     )
     return c.select("clip_id", score.alias("composite")).withColumn("grade", A.grade(F.col("composite")))
 
@@ -440,13 +438,13 @@ def _(spark, sf):
 
 @query(
     "w24_window_gains",
-    """SELECT source_id, win, n, round(greatest(-6, least(6, -16 - l)), 2) AS gain FROM (
+    """SELECT source_id, win, n, round(greatest(-6, least(6, -16 - l)), 6) AS gain FROM (
       SELECT source_id, floor(t / 3600)::BIGINT AS win, avg(-value / 4) AS l, count(*) AS n FROM points GROUP BY 1, 2) WHERE l >= -70""",
     (POINTS,),
 )
 def _(spark, sf):
     p = T.points(spark, sf).withColumn("level", -F.col("value") / 4)
-    return S.window_gains(p, ["source_id"], "t", "level", size=3600.0)
+    return S.window_gains(p, ["source_id"], "t", "level", size=3600.0, digits=6)
 
 
 @query(
@@ -465,11 +463,11 @@ def _(spark, sf):
     "w28_spread_words",
     r""", p AS (SELECT source_id, seg_idx, start, "end", list_filter(string_split_regex(trim(text, E' \n\t\r'), '[ \n\t\r]+'), lambda w: w <> '') AS w FROM segments),
       x AS (SELECT source_id, seg_idx, start, greatest(0.001::DOUBLE, "end" - start) / len(w) AS per, unnest(range(len(w))) AS word_no, unnest(w) AS word FROM p)
-    SELECT source_id, seg_idx, word_no, word, round(start + word_no * per, 3) AS word_start, round(start + (word_no + 1) * per, 3) AS word_end FROM x""",
+    SELECT source_id, seg_idx, word_no, word, round(start + word_no * per, 6) AS word_start, round(start + (word_no + 1) * per, 6) AS word_end FROM x""",
     (SEGMENTS,),
 )
 def _(spark, sf):
-    s = S.spread_words(T.segments(spark, sf), "text", "start", "end")
+    s = S.spread_words(T.segments(spark, sf), "text", "start", "end", digits=6)
     return s.select("source_id", "seg_idx", F.col("word_no").cast("long").alias("word_no"), "word", "word_start", "word_end")
 
 
