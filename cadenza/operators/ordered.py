@@ -87,8 +87,10 @@ def carried(blocked: DataFrame, key: Sequence[str], order: Sequence[str], runs:
     w = Window.partitionBy(*key, BLOCK).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    since = w.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead: a running frame over the reversed order (frames up to the far end are quadratic)
+    back = Window.partitionBy(*key, BLOCK).orderBy(*[F.col(c).desc() for c in order])
+    after = back.rowsBetween(Window.unboundedPreceding, -1)
+    since = back.rowsBetween(Window.unboundedPreceding, 0)
     pos = F.struct(*order)
 
     inputs = {f"_i_{n}": r.col for n, r in runs.items()}
@@ -97,7 +99,7 @@ def carried(blocked: DataFrame, key: Sequence[str], order: Sequence[str], runs:
     aggs, carries, local = [], {}, {}
     ws = Window.partitionBy(*key).orderBy(BLOCK)
     s_before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    s_after = ws.rowsBetween(1, Window.unboundedFollowing)
+    s_after = Window.partitionBy(*key).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     for name, r in runs.items():
         i, s = F.col(f"_i_{name}"), F.col(f"_s_{name}")
         present = F.when(i.isNotNull(), pos)
@@ -121,8 +123,8 @@ def carried(blocked: DataFrame, key: Sequence[str], order: Sequence[str], runs:
             local[name] = F.last(i, ignorenulls=True).over(frame)
         elif r.kind == "first":
             aggs.append(F.min_by(i, present).alias(f"_s_{name}"))
-            carries[name] = F.first(s, ignorenulls=True).over(s_after)
-            local[name] = F.first(i, ignorenulls=True).over(since if r.inclusive else after)
+            carries[name] = F.last(s, ignorenulls=True).over(s_after)
+            local[name] = F.last(i, ignorenulls=True).over(since if r.inclusive else after)
         else:
             raise ValueError(f"unknown running kind {r.kind!r}")
 

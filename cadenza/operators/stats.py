@@ -52,7 +52,7 @@ def gap_distribution(spans: DataFrame, key, start: str, end: str, id: str) -> Da
         F.sum(F.col(end) - F.col(start)).alias("speech_sec"),
     )
     n = F.col("n_gaps").cast("double")
-    corrected = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_k") + 6)
+    corrected = F.try_divide((n - 1) * ((n + 1) * F.col("_k") + 6), (n - 2) * (n - 3))
     kurt = F.when((n >= 4) & (F.col("gap_std") > 0), corrected).otherwise(F.lit(0.0))
     return s.withColumn("gap_kurtosis", kurt).drop("_k")
 
@@ -174,10 +174,10 @@ def duration_fit_steps(sec: Column) -> Column:
 
 
 def duration_fit_tent(sec: Column, low: float = 28.0, best: float = 42.0, high: float = 75.0) -> Column:
-    """0 outside [low, high], 1 at ``best``, linear between."""
-    up = (sec - low) / (best - low)
-    down = (high - sec) / (high - best)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(sec <= best, up).otherwise(down)))
+    """1 at ``best``, 0.5 at both edges, linear between, 0 outside."""
+    up = 0.5 + 0.5 * (sec - low) / (best - low)
+    down = 1.0 - 0.5 * (sec - best) / (high - best)
+    return F.when((sec < low) | (sec > high), F.lit(0.0)).when(sec <= best, up).otherwise(down)
 
 
 def composite_score(duration: Column, rhythm: Column, visual: Column, bookend: Column, trend: Column, digits: int = 1) -> Column:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "joins")
+MODULES = ("windows", "joins", "folds")
 
 
 def load() -> None:

@@ -13,11 +13,16 @@ WORDS = r"""
 arrs AS (SELECT doc_id AS source_id, string_split_regex(text, '[ \n\t\r]+') AS arr FROM documents),
 raw_words AS (
   SELECT source_id, unnest(range(len(arr))) AS pos, unnest(arr) AS word FROM arrs),
+numbered AS (
+  SELECT source_id, pos, word, coalesce(sum(CASE WHEN regexp_matches(word, '[.!?…]$') THEN 1 ELSE 0 END)
+      OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent FROM raw_words),
 words AS (
-  SELECT source_id, pos, word, start, round(start + 0.3::DOUBLE, 3) AS "end" FROM (
-    SELECT source_id, pos, word, round(pos * 0.4::DOUBLE + 0.9::DOUBLE * coalesce(sum(CASE WHEN regexp_matches(word, '[.!?…]$') THEN 1 ELSE 0 END)
-      OVER (PARTITION BY source_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE, 3) AS start
-    FROM raw_words) WHERE word <> '')"""
+  SELECT source_id, pos, word, start, round(start + 0.3::DOUBLE, 3) AS "end", sent FROM (
+    SELECT source_id, pos, word, sent, round(pos * 0.4::DOUBLE + 0.9::DOUBLE * sent, 3) AS start FROM numbered) WHERE word <> '')"""
+
+SENTENCES = WORDS + """,
+sentences AS (SELECT *, ((sent * 37 + source_id) % 100) / 100.0::DOUBLE AS sim FROM (
+  SELECT source_id, sent, min(start) AS start, max("end") AS "end", count(*) AS n_words, (sum(length(word) + 1) - 1)::BIGINT AS chars FROM words GROUP BY 1, 2))"""
 
 SEGMENTS = """
 segments AS (
@@ -44,6 +49,12 @@ DENSE = CLIPS + """,
 dense AS (SELECT source_id, clip_id, chunk, s AS start, round(s + "end" - start, 3) AS "end", topic, score
   FROM (SELECT *, round(start / 400, 3) AS s FROM clips))"""
 
+ARCSEG = CLIPS + """,
+arcseg AS (SELECT source_id, i // 12 AS arc_no, i % 12 AS seg_no, clip_id AS id,
+  CASE topic WHEN 'click' THEN 'hook' WHEN 'view' THEN 'setup' WHEN 'error' THEN 'development' WHEN 'purchase' THEN 'peak' ELSE 'payoff' END AS role,
+  start, round(start + dur, 3) AS "end", dur, score, clip_id % 2 = 0 AS closing FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start, clip_id) - 1 AS i, (28 + clip_id % 48) / 4.0::DOUBLE AS dur FROM clips))"""
+
 VECTORS = """
 vectors AS (SELECT label AS source_id, vec_id AS item_id, embedding::DOUBLE[] AS v FROM embeddings)"""
 

@@ -15,28 +15,51 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(source_id, pos, word, start, end), one source per document; built inside the row, no shuffle.
+    """(source_id, pos, word, start, end, sent), one source per document; built inside the row, no shuffle.
 
-    A document is cut behind sentence ends first, so the number of sentence ends before a word is its
-    sentence's index.
+    Texts are cut behind sentence ends first, so the number of sentence ends before a word is its
+    sentence's index; flattening keeps the word's own position.
     """
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text", *extra)
     sents = F.split("text", "(?<=[.!?…])" + WS)
-    d = d.withColumn("_s", F.transform(sents, lambda s: F.split(s, WS)))
-    sizes = F.transform("_s", lambda a: F.size(a))
-    d = d.withColumn(
-        "_off",
-        F.transform(
-            F.sequence(F.lit(0), F.size("_s") - 1),
-            lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda x, y: x + y),
-        ),
+    flat = F.flatten(
+        F.transform(sents, lambda s, n: F.transform(F.split(s, WS), lambda w: F.struct(n.alias("n"), w.alias("word"))))
     )
-    d = d.select("source_id", *extra, F.posexplode(F.arrays_zip("_s", "_off")).alias("_n", "_z"))
-    d = d.select("source_id", *extra, "_n", F.col("_z._off").alias("_off"), F.posexplode("_z._s").alias("_k", "word"))
-    pos = (F.col("_off") + F.col("_k")).cast("long")
-    start = F.round(pos * F.lit(0.4) + F.lit(0.9) * F.col("_n"), 3)
-    return d.filter("word <> ''").select(
-        "source_id", pos.alias("pos"), "word", start.alias("start"), F.round(start + 0.3, 3).alias("end"), *extra
+    d = d.select("source_id", *extra, F.posexplode(flat).alias("_i", "_w")).filter("_w.word <> ''")
+    pos = F.col("_i").cast("long")
+    start = F.round(pos * F.lit(0.4) + F.lit(0.9) * F.col("_w.n"), 3)
+    return d.select(
+        "source_id", pos.alias("pos"), F.col("_w.word").alias("word"), start.alias("start"), F.round(start + 0.3, 3).alias("end"), F.col("_w.n").cast("long").alias("sent"), *extra
+    )
+
+
+def sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """(source_id, sent, start, end, n_words, chars, sim): sentences as short utterances.
+
+    A document's words lie in one task, so the partial aggregation does the work. ``sim`` stands for
+    the similarity with the next sentence.
+    """
+    w = words(spark, sf)
+    s = w.groupBy("source_id", "sent").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_words"), (F.sum(F.length("word") + 1) - 1).alias("chars")
+    )
+    return s.withColumn("sim", ((F.col("sent") * 37 + F.col("source_id")) % 100) / F.lit(100.0))
+
+
+def arc_segments(spark: SparkSession, sf: str, size: int = 12) -> DataFrame:
+    """(source_id, arc_no, seg_no, id, role, start, end, dur, score, closing): story arcs of ``size`` clips in time order."""
+    from cadenza.operators.ordered import row_index
+
+    c = running(clips(spark, sf), ["source_id"], ["start", "clip_id"], {"_i": row_index()})
+    i = F.col("_i") - 1
+    role = (
+        F.when(F.col("topic") == "click", "hook").when(F.col("topic") == "view", "setup").when(F.col("topic") == "error", "development")
+        .when(F.col("topic") == "purchase", "peak").otherwise("payoff")
+    )
+    dur = (28 + F.col("clip_id") % 48) / F.lit(4.0)
+    return c.select(
+        "source_id", F.floor(i / size).alias("arc_no"), (i % size).alias("seg_no"), F.col("clip_id").alias("id"), role.alias("role"),
+        "start", F.round(F.col("start") + dur, 3).alias("end"), dur.alias("dur"), "score", (F.col("clip_id") % 2 == 0).alias("closing"),
     )
 
 
