@@ -37,7 +37,7 @@ def greedy_select(
     with nothing.
     """
     spark = items.sparkSession
-    base = items.withColumns({"_bs": F.array_distinct(buckets), "_r": F.struct(*rank, F.col(id))})
+    base = items.withColumns({"_bs": F.array_distinct(buckets), "_r": F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(id).alias("id"))})
     loose = base.filter((F.size("_bs") <= 0) | F.col("_bs").isNull()).select(id)
     open_rows = materialize(
         base.filter(F.size("_bs") > 0).select(

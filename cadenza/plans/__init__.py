@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "joins", "folds")
+MODULES = ("windows", "joins", "folds", "selection", "composing")
 
 
 def load() -> None:

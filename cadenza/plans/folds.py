@@ -20,13 +20,15 @@ def orbit(nxt: str, rows: str, idx: str = "i") -> str:
 
 @query(
     "w1_sessionize",
-    """SELECT source_id, min(start) AS start, max("end") AS "end", count(*) AS n_words FROM (
-      SELECT w.*, count(o.i) OVER (PARTITION BY w.source_id ORDER BY pos) AS s FROM words w LEFT JOIN orbit o ON o.source_id = w.source_id AND o.i = w.pos) GROUP BY source_id, s""",
+    """SELECT source_id, min(start) AS start, max("end") AS "end", count(*) AS n_words FROM walk GROUP BY source_id, isl, g""",
     (
         WORDS,
-        """ fl AS (SELECT source_id, pos, start, "end", round(start - lag("end") OVER (PARTITION BY source_id ORDER BY start, pos), 9) >= 0.75 AS brk FROM words)""",
-        """ nxt AS (SELECT a.source_id, a.pos AS i, min(b.pos) AS nx FROM fl a JOIN fl b ON a.source_id = b.source_id AND b.pos > a.pos AND b.pos <= a.pos + 60 AND (b.brk OR round(b."end" - 20 - a.start, 9) >= 0) GROUP BY 1, 2)""",
-        orbit("nxt", "words", "pos"),
+        """ fl AS (SELECT source_id, pos, start, "end", coalesce(round(start - lag("end") OVER (PARTITION BY source_id ORDER BY start, pos), 9) >= 0.75, true) AS brk FROM words)""",
+        """ il AS (SELECT *, sum(brk::INT) OVER (PARTITION BY source_id ORDER BY start, pos) AS isl FROM fl)""",
+        """ ik AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id, isl ORDER BY start, pos) AS k FROM il)""",
+        """ walk AS (SELECT source_id, isl, k, start, "end", start AS b, 0 AS g FROM ik WHERE k = 1
+          UNION ALL SELECT n.source_id, n.isl, n.k, n.start, n."end", CASE WHEN round(n."end" - 20 - w.b, 9) >= 0 THEN n.start ELSE w.b END, w.g + CASE WHEN round(n."end" - 20 - w.b, 9) >= 0 THEN 1 ELSE 0 END
+          FROM walk w JOIN ik n ON n.source_id = w.source_id AND n.isl = w.isl AND n.k = w.k + 1)""",
     ),
     recursive=True,
 )
