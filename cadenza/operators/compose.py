@@ -55,9 +55,14 @@ def single_plans(ranked: DataFrame, duration: DataFrame, *, pad: Column | None =
     )
 
 
-def thematic_plans(items: DataFrame, duration: DataFrame, *, largest: int = 20, min_size: int = 3, pad: Column | None = None) -> DataFrame:
+def thematic_plans(
+    items: DataFrame, duration: DataFrame, *, largest: int = 20, min_size: int = 3, seg_low: float = PLAN_MIN, seg_high: float = PLAN_MAX, pad: Column | None = None
+) -> DataFrame:
     """One plan per theme cluster: best hook, up to two body rows, best payoff; 45 to 80 seconds in all.
 
+    With the default segment bounds two segments already exceed 80 s, so no plan can arise; narrower bounds
+    make the rule useful.
+
     ``items``: source_id, cluster, id, start, end, category, score.
     """
     key = ["source_id", "cluster"]
@@ -70,7 +75,7 @@ def thematic_plans(items: DataFrame, duration: DataFrame, *, largest: int = 20,
     i = items.join(size, key).withColumn("_part", part).filter("_part is not null")
     wc = Window.partitionBy(*key, "_part").orderBy(F.desc("score"), "id")
     i = i.withColumn("_k", F.row_number().over(wc)).filter("_k <= 2 and (_part = 1 or _k = 1)")
-    i = normalize_bounds(i.join(duration.select("source_id", "duration"), "source_id"), "start", "end", "duration", low=10.0, high=30.0, pad=pad)
+    i = normalize_bounds(i.join(duration.select("source_id", "duration"), "source_id"), "start", "end", "duration", low=seg_low, high=seg_high, pad=pad)
     seg = F.struct("_part", "_k", F.col("n_start").alias("s"), F.col("n_end").alias("e"))
     g = i.groupBy(*key).agg(
         F.max(F.col("_part") == 0).alias("_h"), F.max(F.col("_part") == 2).alias("_p"), F.avg("score").alias("score"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "joins", "folds", "selection", "composing")
+MODULES = ("windows", "joins", "folds", "selection", "composing", "planning", "io_model", "streams")
 
 
 def load() -> None:

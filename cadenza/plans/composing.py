@@ -54,7 +54,7 @@ def _(spark, sf):
 @query("k8_thematic_plans")
 def _(spark, sf):
     r = ranked(spark, sf).withColumn("cluster", F.floor(F.col("id") / 1000) * 4 + F.floor(F.col("score") / 4))
-    t = C.thematic_plans(r, clip_duration(T.clips(spark, sf)), pad=F.lit(0.0))
+    t = C.thematic_plans(r, clip_duration(T.clips(spark, sf)), seg_low=10.0, seg_high=20.0, pad=F.lit(0.0))
     return t.select("source_id", "cluster", *r6("score", "duration"), F.size("segs").alias("n_segments"))
 
 

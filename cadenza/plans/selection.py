@@ -233,12 +233,12 @@ def _(spark, sf):
 
 @query(
     "k5_vector_topk_min_cosine",
-    """SELECT query_id, item_id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM j WHERE cos >= 0.5) WHERE rank <= 25""",
+    """SELECT query_id, item_id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM j WHERE cos >= 0.2) WHERE rank <= 25""",
     (VECTORS, ANCHORS),
 )
 def _(spark, sf):
     v = T.vectors(spark, sf)
-    return K.vector_topk(v, anchors(v), 25, min_cos=0.5).select("query_id", "item_id", *r6("cos"), "rank")
+    return K.vector_topk(v, anchors(v), 25, min_cos=0.2).select("query_id", "item_id", *r6("cos"), "rank")
 
 
 CATS = """ ranked AS (SELECT source_id, clip_id AS id, start, "end", score, CASE topic WHEN 'click' THEN 'hook_candidate' WHEN 'view' THEN 'development_material' WHEN 'purchase' THEN 'peak_candidate' WHEN 'signup' THEN 'payoff_candidate' ELSE 'cutaway_material' END AS category FROM clips)"""
