@@ -114,23 +114,22 @@ def open_segments(
     """
     key, order = list(key), list(order)
     t = df if blocked else ordered_blocks(df, key, order)
-    t = t.withColumns(
-        {
-            "_v": (v if v is not None else F.lit(None)).cast("double"),
-            "_w": (v_strict if v_strict is not None else F.lit(None)).cast("double"),
-            "_b": b.cast("double"),
-            "_key": F.to_json(F.struct(*key)) if key else F.lit(""),
-        }
+    # v and b may hold windows: evaluate them once, three passes read the table
+    t = materialize(
+        t.withColumns(
+            {
+                "_v": (v if v is not None else F.lit(None)).cast("double"),
+                "_w": (v_strict if v_strict is not None else F.lit(None)).cast("double"),
+                "_b": b.cast("double"),
+            }
+        )
     )
-    ident = t.groupBy(BLOCK).agg(
-        F.min_by("_key", F.struct(*key, *order)).alias("head"), F.max_by("_key", F.struct(*key, *order)).alias("tail")
+    name, at = F.struct(*key), F.struct(*key, *order)
+    # one row per block: the keys at its two ends
+    edges = sorted(
+        t.groupBy(BLOCK).agg(F.min_by(name, at).alias("head"), F.max_by(name, at).alias("tail")).collect(), key=lambda r: r[BLOCK]
     )
-    # one row per block
-    edges = sorted(ident.collect(), key=lambda r: r[BLOCK])
-    starts_inside = {}
-    for prev, cur in zip(edges, edges[1:]):
-        starts_inside[cur[BLOCK]] = prev["tail"] == cur["head"]
-    continued = {blk for blk, c in starts_inside.items() if c}
+    continued = {cur[BLOCK] for prev, cur in zip(edges, edges[1:]) if prev["tail"] == cur["head"]}
     whole = {e[BLOCK] for e in edges if e["head"] == e["tail"]}
 
     def arrays(pdf: pd.DataFrame):
@@ -140,17 +139,18 @@ def open_segments(
             np.nextafter(pdf["_w"].to_numpy(dtype=float, na_value=-np.inf), -np.inf),
         )
         va = np.where(np.isnan(va), -np.inf, va)
-        keys = pdf["_key"].to_numpy()
-        fresh = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-        if len(fresh) and int(pdf[BLOCK].iloc[0]) in continued:
-            fresh[0] = False
+        fresh = np.zeros(len(pdf), dtype=bool)
+        for c in key:
+            col = pdf[c].to_numpy()
+            fresh[1:] |= col[1:] != col[:-1]
+        fresh[0] = int(pdf[BLOCK].iloc[0]) not in continued
         va = np.where(fresh, np.inf, va)
         return pdf, va, pdf["_b"].to_numpy(dtype=float)
 
     bases: dict[int, float] = {}
     if continued:
-        feeding = {edges[i][BLOCK] for i in range(len(edges) - 1) if edges[i + 1][BLOCK] in continued}
-        need = feeding
+        # blocks whose last key goes on in the next block
+        need = {edges[i][BLOCK] for i in range(len(edges) - 1) if edges[i + 1][BLOCK] in continued}
 
         def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
             blk = int(pdf[BLOCK].iloc[0])
@@ -164,7 +164,7 @@ def open_segments(
                 {BLOCK: [blk], "carries_in": [blk in continued], "carries_out": [True], "upto": [upto], "base": [res]}
             )
 
-        slim = t.filter(F.col(BLOCK).isin(sorted(need))).select(BLOCK, *key, *order, "_key", "_v", "_w", "_b")
+        slim = t.filter(F.col(BLOCK).isin(sorted(need))).select(BLOCK, *dict.fromkeys([*key, *order]), "_v", "_w", "_b")
         # step functions of the blocks that a key runs through: bounded by the number of blocks
         steps = {r[BLOCK]: r for r in slim.groupBy(BLOCK).applyInPandas(summarise, _SUMMARY).collect()}
         base = float("nan")
@@ -180,13 +180,13 @@ def open_segments(
                 else:
                     base = r["base"][0]
 
-    schema = T.StructType([f for f in t.schema.fields if f.name not in ("_v", "_w", "_b", "_key")]
+    schema = T.StructType([f for f in t.schema.fields if f.name not in ("_v", "_w", "_b")]
                           + [T.StructField(flag, T.BooleanType())])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, va, ba = arrays(pdf)
         blk = int(pdf[BLOCK].iloc[0])
         pdf[flag], _ = _marks(va, ba, bases.get(blk))
-        return pdf.drop(columns=["_v", "_w", "_b", "_key"])
+        return pdf.drop(columns=["_v", "_w", "_b"])
 
-    return t.groupBy(BLOCK).applyInPandas(mark, schema)
+    return materialize(t.groupBy(BLOCK).applyInPandas(mark, schema))

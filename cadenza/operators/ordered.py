@@ -21,12 +21,27 @@ from cadenza.session import materialize
 BLOCK = "_blk"
 
 
+BLOCK_BYTES = 64 << 20
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks for a table: one per 64 MB of Catalyst's size estimate, at least one per core, at most the shuffle partitions."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # no JVM access on this kind of session
+        return most
+    return max(1, min(most, max(cores, -(-size // BLOCK_BYTES))))
+
+
 def ordered_blocks(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Add ``_blk``: consecutive in (key, order), frozen by a written table.
 
     ``order`` must end with a column that is unique within the key.
     """
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = blocks or block_count(df)
     cols = [F.col(c) for c in [*key, *order]]
     return materialize(df.repartitionByRange(n, *cols).withColumn(BLOCK, F.spark_partition_id()))
 
@@ -44,14 +59,14 @@ class Run:
     inclusive: bool = True
 
 
-def run_sum(col, inclusive=True):
-    return Run("sum", F.lit(col) if not isinstance(col, (str, Column)) else (F.col(col) if isinstance(col, str) else col), inclusive)
-
-
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def run_sum(c, inclusive=True):
+    return Run("sum", _col(c), inclusive)
+
+
 def lag(c):
     return Run("lag", _col(c))
 

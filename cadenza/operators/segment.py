@@ -224,7 +224,9 @@ def split_arcs(segs: DataFrame, key=("source_id", "arc_no"), order=("seg_no",))
     r = r.withColumn("_other", other)
     r = carried(r, key, order, {"_lo": last_value("_other", inclusive=False)})
     hook = F.when(F.col("role") == "hook", F.col("_lo"))
-    act = F.when(F.col("role").isin("peak", "payoff", "hook"), F.least("_lo", F.round(F.col("_before") - SPLIT_AT, 9)))
+    act = F.when(
+        F.col("role").isin("peak", "payoff", "hook") & F.col("_lo").isNotNull(), F.least("_lo", F.round(F.col("_before") - SPLIT_AT, 9))
+    )
     o = open_segments(
         r, key, order, v=F.greatest(hook, act), v_strict=F.round(F.col("_before") + F.col("dur") - PLAN_MAX, 9), b=F.col("_before"), blocked=True
     )

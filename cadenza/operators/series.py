@@ -98,18 +98,14 @@ def truncate_running(cuts: DataFrame, key, order, start: str, end: str, *, limit
     return r.withColumn(end, F.col(start) + F.least(F.col("_d"), left)).drop("_d", "_used")
 
 
-def spread_words(segs: DataFrame, text: str, start: str, end: str, digits: int = 3) -> DataFrame:
+def spread_words(segs: DataFrame, text: str, start: str, end: str, digits: int | None = 3) -> DataFrame:
     """Every word of ``text`` with an even share of [start, end]."""
     words = F.filter(F.split(F.trim(F.col(text)), "[ \n\t\r]+"), lambda w: w != "")
     s = segs.withColumn("_w", words).filter(F.size("_w") > 0)
     per = F.greatest(F.lit(0.001), F.col(end) - F.col(start)) / F.size("_w")
     s = s.withColumn("_per", per).select("*", F.posexplode("_w").alias("word_no", "word"))
-    return s.withColumns(
-        {
-            "word_start": F.round(F.col(start) + F.col("word_no") * F.col("_per"), digits),
-            "word_end": F.round(F.col(start) + (F.col("word_no") + 1) * F.col("_per"), digits),
-        }
-    ).drop("_w", "_per")
+    at = {"word_start": F.col(start) + F.col("word_no") * F.col("_per"), "word_end": F.col(start) + (F.col("word_no") + 1) * F.col("_per")}
+    return s.withColumns({n: c if digits is None else F.round(c, digits) for n, c in at.items()}).drop("_w", "_per")
 
 
 def evict_lru(entries: DataFrame, key, age: str, size: str, id: str, limit) -> DataFrame:

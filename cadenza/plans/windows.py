@@ -463,11 +463,11 @@ def _(spark, sf):
     "w28_spread_words",
     r""", p AS (SELECT source_id, seg_idx, start, "end", list_filter(string_split_regex(trim(text, E' \n\t\r'), '[ \n\t\r]+'), lambda w: w <> '') AS w FROM segments),
       x AS (SELECT source_id, seg_idx, start, greatest(0.001::DOUBLE, "end" - start) / len(w) AS per, unnest(range(len(w))) AS word_no, unnest(w) AS word FROM p)
-    SELECT source_id, seg_idx, word_no, word, round(start + word_no * per, 6) AS word_start, round(start + (word_no + 1) * per, 6) AS word_end FROM x""",
+    SELECT source_id, seg_idx, word_no, word, start + word_no * per AS word_start, start + (word_no + 1) * per AS word_end FROM x""",
     (SEGMENTS,),
 )
 def _(spark, sf):
-    s = S.spread_words(T.segments(spark, sf), "text", "start", "end", digits=6)
+    s = S.spread_words(T.segments(spark, sf), "text", "start", "end", digits=None)
     return s.select("source_id", "seg_idx", F.col("word_no").cast("long").alias("word_no"), "word", "word_start", "word_end")
 
 
