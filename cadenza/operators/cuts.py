@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.ordered import BLOCK, ordered_blocks
+from cadenza.operators.ordered import BLOCK, block_count, holds_whole_keys, ordered_blocks
 from cadenza.session import materialize
 
 
@@ -114,21 +114,28 @@ def open_segments(
     """
     key, order = list(key), list(order)
     t = df if blocked else ordered_blocks(df, key, order)
-    # v and b may hold windows: evaluate them once, three passes read the table
-    t = materialize(
-        t.withColumns(
-            {
-                "_v": (v if v is not None else F.lit(None)).cast("double"),
-                "_w": (v_strict if v_strict is not None else F.lit(None)).cast("double"),
-                "_b": b.cast("double"),
-            }
-        )
-    )
-    name, at = F.struct(*key), F.struct(*key, *order)
-    # one row per block: the keys at its two ends
-    edges = sorted(
-        t.groupBy(BLOCK).agg(F.min_by(name, at).alias("head"), F.max_by(name, at).alias("tail")).collect(), key=lambda r: r[BLOCK]
+    t = t.withColumns(
+        {
+            "_v": (v if v is not None else F.lit(None)).cast("double"),
+            "_w": (v_strict if v_strict is not None else F.lit(None)).cast("double"),
+            "_b": b.cast("double"),
+        }
     )
+    whole_keys = holds_whole_keys(t)
+    edges: list = []
+    group = BLOCK
+    if whole_keys:
+        # keys are bounded and complete: any hash group will do, one pass
+        group = "_grp"
+        t = t.withColumn(group, F.pmod(F.xxhash64(*key), F.lit(4 * block_count(t))).cast("int"))
+    else:
+        # v and b may hold windows: evaluate them once, three passes read the table
+        t = materialize(t)
+        name, at = F.struct(*key), F.struct(*key, *order)
+        # one row per block: the keys at its two ends
+        edges = sorted(
+            t.groupBy(BLOCK).agg(F.min_by(name, at).alias("head"), F.max_by(name, at).alias("tail")).collect(), key=lambda r: r[BLOCK]
+        )
     continued = {cur[BLOCK] for prev, cur in zip(edges, edges[1:]) if prev["tail"] == cur["head"]}
     whole = {e[BLOCK] for e in edges if e["head"] == e["tail"]}
 
@@ -180,13 +187,15 @@ def open_segments(
                 else:
                     base = r["base"][0]
 
-    schema = T.StructType([f for f in t.schema.fields if f.name not in ("_v", "_w", "_b")]
+    schema = T.StructType([f for f in t.schema.fields if f.name not in ("_v", "_w", "_b", "_grp")]
                           + [T.StructField(flag, T.BooleanType())])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, va, ba = arrays(pdf)
         blk = int(pdf[BLOCK].iloc[0])
         pdf[flag], _ = _marks(va, ba, bases.get(blk))
-        return pdf.drop(columns=["_v", "_w", "_b"])
+        return pdf[names]
 
-    return materialize(t.groupBy(BLOCK).applyInPandas(mark, schema))
+    names = schema.names
+    out = t.groupBy(group).applyInPandas(mark, schema)
+    return out if whole_keys else materialize(out)

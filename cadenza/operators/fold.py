@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cadenza.operators.ordered import BLOCK, carried, lag, ordered_blocks
+from cadenza.operators.ordered import BLOCK, block_count, carried, lag, ordered_blocks
 from cadenza.session import materialize
 
 
@@ -58,7 +58,8 @@ def fold_ordered(
     """
     key, order = list(key), list(order)
     cols = list(cols)
-    b = ordered_blocks(df.select(*dict.fromkeys([*key, *order, *cols])), key, order)
+    rows = df.select(*dict.fromkeys([*key, *order, *cols]))
+    b = ordered_blocks(rows, key, order, block_count(rows))
     runs = {"_has": lag(F.lit(1)), **{n: lag(c) for n, c in (lookback or {}).items()}}
     c = carried(b, key, order, runs)
     flag = F.col("_has").isNull()

@@ -28,13 +28,17 @@ def greedy_select(
     conflict: Callable[[str, str], Column],
     payload: Sequence[str],
     front: int = 24,
+    wide: bool = False,
+    quick: Callable[[str, str], Column] | None = None,
+    quick_payload: Sequence[str] = (),
     max_rounds: int = 10_000,
 ) -> DataFrame:
     """Rows of ``items`` that survive.
 
     ``rank`` sorts ascending, best first, ``id`` breaks ties. ``conflict(better, worse)`` gets two
     struct column names holding ``payload`` and returns a predicate. Rows without buckets conflict
-    with nothing.
+    with nothing. With ``wide``, a big payload stays in one table by id instead of being copied to every bucket, and is
+    joined to the pairs that pass ``quick`` (a cheap necessary condition over ``quick_payload``).
     """
     spark = items.sparkSession
     base = items.withColumns({"_bs": F.array_distinct(buckets), "_r": F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(id).alias("id"))})
@@ -44,10 +48,22 @@ def greedy_select(
             F.col(id).alias("_id"),
             "_r",
             F.size("_bs").alias("_nb"),
-            F.struct(*payload).alias("_p"),
+            F.struct(*(quick_payload if wide else payload)).alias("_p") if (quick_payload or not wide) else F.struct("_r").alias("_p"),
             F.explode("_bs").alias("_b"),
         )
     )
+    big = materialize(base.filter(F.size("_bs") > 0).select(F.col(id).alias("_pid"), F.struct(*payload).alias("_big"))) if wide else None
+
+    def clashing(pairs: DataFrame) -> DataFrame:
+        """Pairs (_aid, a, _id, b) that conflict."""
+        if not wide:
+            return pairs.filter(conflict("a", "b"))
+        if quick is not None:
+            pairs = pairs.filter(quick("a", "b"))
+        p = pairs.select("_aid", "_id").distinct()
+        p = p.join(big.toDF("_aid", "a"), "_aid").join(big.toDF("_id", "b"), "_id")
+        return p.filter(conflict("a", "b"))
+
     accepted = [loose.select(F.col(id).alias("_id"))]
     for _ in range(max_rounds):
         if open_rows.isEmpty():
@@ -55,21 +71,14 @@ def greedy_select(
         w = Window.partitionBy("_b").orderBy("_r")
         top = open_rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= front).drop("_k")
         ready = top.groupBy("_id", "_nb").agg(F.count(F.lit(1)).alias("_seen")).filter("_seen = _nb").select("_id")
-        x = top.select("_b", F.col("_r").alias("_ra"), F.col("_p").alias("a"))
+        x = top.select("_b", F.col("_id").alias("_aid"), F.col("_r").alias("_ra"), F.col("_p").alias("a"))
         y = top.select("_b", F.col("_id"), F.col("_r").alias("_rb"), F.col("_p").alias("b"))
-        blocked = (
-            x.join(y, "_b").filter(F.col("_ra") < F.col("_rb")).filter(conflict("a", "b")).select("_id").distinct()
-        )
+        blocked = clashing(x.join(y, "_b").filter(F.col("_ra") < F.col("_rb"))).select("_id").distinct()
         won = materialize(ready.join(blocked, "_id", "left_anti"))
         accepted.append(won)
-        winners = top.join(won, "_id", "left_semi").select("_b", F.col("_r").alias("_ra"), F.col("_p").alias("a"))
-        lost = (
-            open_rows.select("_b", "_id", F.col("_r").alias("_rb"), F.col("_p").alias("b"))
-            .join(winners, "_b")
-            .filter(F.col("_ra") < F.col("_rb"))
-            .filter(conflict("a", "b"))
-            .select("_id")
-        )
+        winners = top.join(won, "_id", "left_semi").select("_b", F.col("_id").alias("_aid"), F.col("_r").alias("_ra"), F.col("_p").alias("a"))
+        rest = open_rows.select("_b", "_id", F.col("_r").alias("_rb"), F.col("_p").alias("b"))
+        lost = clashing(rest.join(winners, "_b").filter(F.col("_ra") < F.col("_rb"))).select("_id")
         open_rows = materialize(open_rows.join(won.unionByName(lost).distinct(), "_id", "left_anti"))
     else:
         raise RuntimeError("greedy_select did not settle")

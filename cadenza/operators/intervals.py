@@ -43,17 +43,21 @@ def overlap_join(
     rspan: tuple[str, str],
     *,
     width: float,
-    levels: int = 3,
+    levels: int = 1,
     closed: bool = False,
 ) -> DataFrame:
     """Inner join of rows of equal key whose spans overlap (half-open; ``closed`` keeps touching spans).
 
-    Span columns must have different names on both sides. Widen a span first to search nearby.
+    Span columns must have different names on both sides. Widen a span first to search nearby. ``levels=1`` suits
+    spans of about ``width``; more levels (each 8 times wider) keep very long spans from covering many bins.
     """
     key = list(key)
 
     def binned(df, span, tag):
         s, e = F.col(span[0]), F.greatest(F.col(span[0]), F.col(span[1]))
+        if levels == 1:
+            df = df.withColumn("_bin", F.explode(F.sequence(F.floor(s / width), F.floor(e / width))))
+            return df.withColumns({"_lvl": F.lit(0), f"_own_{tag}": F.lit(0)})
         df = df.withColumn(f"_own_{tag}", _level(s, e, width, levels))
         df = df.withColumn("_p", F.explode(_bins(s, e, width, F.col(f"_own_{tag}"), levels)))
         return df.withColumns({"_lvl": F.col("_p.lvl"), "_bin": F.col("_p.bin")}).drop("_p")
@@ -74,7 +78,7 @@ def point_join(
     span: tuple[str, str],
     *,
     width: float,
-    levels: int = 3,
+    levels: int = 1,
 ) -> DataFrame:
     """Inner join of points with the spans that hold them, both ends included."""
     p = points.withColumn("_at2", F.col(at))
@@ -215,7 +219,7 @@ def evidence_near(moments: DataFrame, evidence: DataFrame, *, window: float, fal
     """
     far = max(window, fallback)
     m = moments.withColumns({"_ws": F.greatest(F.lit(0.0), F.col("m_start") - far), "_we": F.col("m_end") + far})
-    j = overlap_join(m, evidence, ["source_id"], ("_ws", "_we"), ("start", "end"), width=width)
+    j = overlap_join(m, evidence, ["source_id"], ("_ws", "_we"), ("start", "end"), width=width, levels=3)
     near = (F.col("start") < F.col("m_end") + window) & (F.col("end") > F.greatest(F.lit(0.0), F.col("m_start") - window))
     j = j.withColumn("_near", near)
     n = j.groupBy("source_id", "moment_id").agg(F.count(F.when(F.col("_near"), 1)).alias("_n"), F.count(F.lit(1)).alias("_all"))
@@ -229,7 +233,7 @@ def best_overlap(left: DataFrame, right: DataFrame, ids, lspan, rspan, *, take:
     ids = list(ids)
     vals = F.struct(*[F.col(c).alias(n) for n, c in take.items()])
     r = right.select("source_id", F.col(rspan[0]).alias("_rs"), F.col(rspan[1]).alias("_re"), F.col(rid).alias("_rid"), vals.alias("_vals"))
-    j = overlap_join(left.select(*ids, *lspan), r, ["source_id"], lspan, ("_rs", "_re"), width=width)
+    j = overlap_join(left.select(*ids, *lspan), r, ["source_id"], lspan, ("_rs", "_re"), width=width, levels=3)
     inter = F.least(F.col(lspan[1]), F.col("_re")) - F.greatest(F.col(lspan[0]), F.col("_rs"))
     ratio = F.round(inter / F.greatest(F.lit(0.001), F.col(lspan[1]) - F.col(lspan[0])), 9)
     j = j.withColumn("_ratio", ratio).filter((F.col("_ratio") >= min_ratio) & (F.col("_ratio") > 0))
@@ -242,7 +246,7 @@ def parent_by_midpoint(children: DataFrame, parents: DataFrame, ids, cspan, pspa
     ids = list(ids)
     c = children.withColumn("_mid", (F.col(cspan[0]) + F.col(cspan[1])) / 2)
     p = parents.select("source_id", (F.col(pspan[0]) - eps).alias("_ps"), (F.col(pspan[1]) + eps).alias("_pe"), F.col(idx).alias("_idx"), F.col(take).alias("_take"))
-    j = point_join(c.select(*ids, "_mid"), p, ["source_id"], "_mid", ("_ps", "_pe"), width=width)
+    j = point_join(c.select(*ids, "_mid"), p, ["source_id"], "_mid", ("_ps", "_pe"), width=width, levels=3)
     b = j.groupBy(*ids).agg(F.min_by("_take", "_idx").alias(take))
     return children.join(b, ids, "left").withColumn(take, F.coalesce(take, F.lit(default)))
 
@@ -261,7 +265,7 @@ def exclude_overlapping(items: DataFrame, occupied: DataFrame, ids, span, ospan,
     """Items at least ``gap`` seconds away from every occupied span of their source."""
     ids = list(ids)
     o = occupied.select("source_id", (F.col(ospan[0]) - gap).alias("_os"), (F.col(ospan[1]) + gap).alias("_oe"))
-    hit = overlap_join(items.select(*ids, *span), o, ["source_id"], span, ("_os", "_oe"), width=width).select(*ids).distinct()
+    hit = overlap_join(items.select(*ids, *span), o, ["source_id"], span, ("_os", "_oe"), width=width, levels=3).select(*ids).distinct()
     return items.join(hit, ids, "left_anti")
 
 

@@ -6,6 +6,10 @@ distribution is. Windows then run per (key, block), and what has to cross a bloc
 (running sums, last values, ...) travels through a carry table with one row per
 (key, block) of the keys that span several blocks. At most ``2 * blocks`` such rows exist,
 which is the bound that makes the broadcast of the carry table safe.
+
+A source reader may mark a key column with :data:`BOUNDED` metadata when one key's rows all come from one
+row of the table read (the words of a document). Such keys cannot grow with the data, so plain windows per key are
+used and nothing is written.
 """
 
 from __future__ import annotations
@@ -19,6 +23,13 @@ from pyspark.sql import functions as F
 from cadenza.session import materialize
 
 BLOCK = "_blk"
+BOUNDED = {"bounded_key": True}
+WHOLE = {"whole_keys": True}
+
+
+def holds_whole_keys(blocked: DataFrame) -> bool:
+    """True when no key of a block table crosses a block border by construction."""
+    return bool(blocked.schema[BLOCK].metadata.get("whole_keys"))
 
 
 BLOCK_BYTES = 64 << 20
@@ -41,6 +52,8 @@ def ordered_blocks(df: DataFrame, key: Sequence[str], order: Sequence[str], bloc
 
     ``order`` must end with a column that is unique within the key.
     """
+    if blocks is None and any(df.schema[c].metadata.get("bounded_key") for c in key):
+        return df.drop(BLOCK).select("*", F.lit(0).alias(BLOCK, metadata=WHOLE))
     n = blocks or block_count(df)
     cols = [F.col(c) for c in [*key, *order]]
     return materialize(df.repartitionByRange(n, *cols).withColumn(BLOCK, F.spark_partition_id()))
@@ -99,11 +112,13 @@ def row_index():
 def carried(blocked: DataFrame, key: Sequence[str], order: Sequence[str], runs: dict[str, Run]) -> DataFrame:
     """Evaluate ``runs`` over (key, order) on a table made by :func:`ordered_blocks`."""
     key, order = list(key), list(order)
-    w = Window.partitionBy(*key, BLOCK).orderBy(*order)
+    whole = holds_whole_keys(blocked)
+    parts = key if whole else [*key, BLOCK]
+    w = Window.partitionBy(*parts).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     # looking ahead: a running frame over the reversed order (frames up to the far end are quadratic)
-    back = Window.partitionBy(*key, BLOCK).orderBy(*[F.col(c).desc() for c in order])
+    back = Window.partitionBy(*parts).orderBy(*[F.col(c).desc() for c in order])
     after = back.rowsBetween(Window.unboundedPreceding, -1)
     since = back.rowsBetween(Window.unboundedPreceding, 0)
     pos = F.struct(*order)
@@ -143,6 +158,10 @@ def carried(blocked: DataFrame, key: Sequence[str], order: Sequence[str], runs:
         else:
             raise ValueError(f"unknown running kind {r.kind!r}")
 
+    if whole:
+        zero = {n: F.coalesce(c, F.lit(0)) if runs[n].kind == "sum" else c for n, c in local.items()}
+        return df.withColumns(zero).drop(*[f"_i_{n}" for n in runs])
+
     summary = df.groupBy(*key, BLOCK).agg(*aggs)
     summary = summary.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
     summary = summary.withColumns({f"_c_{n}": c for n, c in carries.items()})

@@ -40,8 +40,14 @@ def dedup_jaccard(df: DataFrame, *, id: str, rank: Sequence[Column], tokens: str
         sim = jaccard(F.col(f"{a}._tok"), F.col(f"{b}._tok"))
         return F.round(sim - threshold, 9) > 0 if strict else F.round(sim - threshold, 9) >= 0
 
-    out = greedy_select(t, id=id, rank=rank, buckets=F.col("_tb"), conflict=conflict, payload=["_tok"])
-    return out.drop("_tok", "_tb")
+    def close_sizes(a, b):
+        m, n = F.col(f"{a}._n"), F.col(f"{b}._n")
+        return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
+
+    out = greedy_select(
+        t.withColumn("_n", F.size("_tok")), id=id, rank=rank, buckets=F.col("_tb"), conflict=conflict, payload=["_tok"], wide=True, quick=close_sizes, quick_payload=["_n"]
+    )
+    return out.drop("_tok", "_tb", "_n")
 
 
 def similar_pairs(df: DataFrame, *, id: str, tokens: str, threshold: float, key="source_id") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators.ordered import run_sum, running
+from cadenza.operators.ordered import BOUNDED, run_sum, running
 
 WS = "[ \n\t\r]+"
 
@@ -20,7 +20,7 @@ def words(spark: SparkSession, sf: str, extra: tuple[str, ...] = ()) -> DataFram
     Texts are cut behind sentence ends first, so the number of sentence ends before a word is its
     sentence's index; flattening keeps the word's own position.
     """
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text", *extra)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("source_id", metadata=BOUNDED), "text", *extra)
     sents = F.split("text", "(?<=[.!?…])" + WS)
     flat = F.flatten(
         F.transform(sents, lambda s, n: F.transform(F.split(s, WS), lambda w: F.struct(n.alias("n"), w.alias("word"))))
