@@ -6,7 +6,8 @@ is computed. Rows carry bucket keys such that conflicting rows share a bucket. I
 buckets sees all of its better-ranked undecided rivals, so it can be accepted as soon as none of them
 conflicts. Accepted rows (a front per bucket at most) then knock out the rows they conflict with.
 A bucket is therefore never paired with itself: work per round is ``front`` comparisons per row,
-also when one bucket holds a third of the table.
+also when one bucket holds a third of the table. The front doubles from round to round up to a
+limit, so that a bucket of many rows that do not conflict is worked off in few rounds.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ def greedy_select(
     conflict: Callable[[str, str], Column],
     payload: Sequence[str],
     front: int = 24,
+    most: int = 512,
     wide: bool = False,
     quick: Callable[[str, str], Column] | None = None,
     quick_payload: Sequence[str] = (),
@@ -40,7 +42,8 @@ def greedy_select(
     with nothing. With ``wide``, a big payload stays in one table by id instead of being copied to every bucket, and is
     joined to the pairs that pass ``quick`` (a cheap necessary condition over ``quick_payload``).
     """
-    spark = items.sparkSession
+    # the input is read by several branches and once more at the end
+    items = materialize(items)
     base = items.withColumns({"_bs": F.array_distinct(buckets), "_r": F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(id).alias("id"))})
     loose = base.filter((F.size("_bs") <= 0) | F.col("_bs").isNull()).select(id)
     open_rows = materialize(
@@ -70,6 +73,7 @@ def greedy_select(
             break
         w = Window.partitionBy("_b").orderBy("_r")
         top = open_rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= front).drop("_k")
+        front = min(2 * front, max(front, most))
         ready = top.groupBy("_id", "_nb").agg(F.count(F.lit(1)).alias("_seen")).filter("_seen = _nb").select("_id")
         x = top.select("_b", F.col("_id").alias("_aid"), F.col("_r").alias("_ra"), F.col("_p").alias("a"))
         y = top.select("_b", F.col("_id"), F.col("_r").alias("_rb"), F.col("_p").alias("b"))

@@ -34,6 +34,7 @@ def dedup_jaccard(df: DataFrame, *, id: str, rank: Sequence[Column], tokens: str
 
     Rows without tokens stay. ``strict=False`` drops at the threshold already.
     """
+    df = materialize(df)
     t = token_buckets(df.withColumn("_tok", F.transform(tokens, lambda x: F.xxhash64(x))), id, key, "_tok", threshold)
 
     def conflict(a, b):
@@ -56,7 +57,7 @@ def similar_pairs(df: DataFrame, *, id: str, tokens: str, threshold: float, key=
     Equal token sets are represented by their smallest id: copies link to it, and only representatives are
     paired, over their rarest tokens. A group of copies therefore gives a row per copy, not per pair.
     """
-    d = df.select(key, id, F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x))).alias("_tok")).filter(F.size("_tok") > 0)
+    d = materialize(df.select(key, id, F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x))).alias("_tok")).filter(F.size("_tok") > 0))
     d = d.withColumn("_h", F.xxhash64("_tok"))
     rep = d.groupBy(key, "_h", "_tok").agg(F.min(id).alias("_rep"))
     copies = d.join(rep, [key, "_h", "_tok"]).filter(F.col(id) != F.col("_rep")).select(key, F.col("_rep").alias("id_a"), F.col(id).alias("id_b"), F.lit(1.0).alias("sim"))
