@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
-import tempfile
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +31,19 @@ def local_session(cpus: str | int = "*", memory: str = "16g") -> SparkSession:
 def durable_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster's ``spark.checkpoint.dir`` wins. A temporary folder is used only when the
-    session names none and runs in one process (tests); a cluster without the setting is an error.
+    The cluster's ``spark.checkpoint.dir`` wins. Only where a session names none and runs in one process does it get a
+    folder of its own beside the warehouse, removed at exit; a cluster without the setting is an error.
     """
     global _fallback_dir
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if _fallback_dir is None:
-        _fallback_dir = tempfile.mkdtemp(prefix="spark-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+        _fallback_dir = os.path.join(warehouse, f"_tables-{os.getpid()}")
+        atexit.register(shutil.rmtree, _fallback_dir, ignore_errors=True)
     return _fallback_dir
 
 
