@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact_dedup, mixing, sharding
+from cadenza.llm import exact_dedup, jaccard_join, mixing, sharding, vantage
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,48 @@ FROM d
 )
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf, "documents"))
+
+
+SHINGLES = r"""
+lowered AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM lowered)"""
+
+
+@query(
+    "op3_metric_jaccard_join",
+    f"""
+WITH RECURSIVE {SHINGLES},
+flat AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS inter
+    FROM flat x JOIN flat y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  WHERE 100 * inter >= 85 * (na + nb - inter)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+deg AS (SELECT a, count(*) AS k FROM links GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, coalesce(k, 0)::BIGINT AS n_links
+FROM sets LEFT JOIN low ON low.a = doc_id LEFT JOIN deg ON deg.a = doc_id
+""",
+)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, sf, "documents"), shingle=4, share=85)
+
+
+@query(
+    "op10_vantage_trees",
+    """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+sound AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, x.e) DESC, x.vec_id) AS rank
+  FROM sound q JOIN sound x ON q.vec_id % 20 = 0 AND x.vec_id <> q.vec_id AND len(q.e) = len(x.e))
+WHERE rank <= 20
+""",
+)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return vantage.nearest(e, key="vec_id", vector="embedding", is_query=F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20, relax=1.0)
