@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact_dedup, jaccard_join, mixing, sharding, vantage
+from cadenza.llm import exact_dedup, jaccard_join, mixing, pii, quality, secrets, sharding, vantage
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,18 @@ WHERE rank <= 20
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     return vantage.nearest(e, key="vec_id", vector="embedding", is_query=F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20, relax=1.0)
+
+
+@query("op7_boosted_pii")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.counted(pii.find(table(spark, sf, "documents")), "doc_id")
+
+
+@query("op8_kneser_ney_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_compression_novelty")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.counted(secrets.find(table(spark, sf, "documents")), "doc_id")
