@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact_dedup, jaccard_join, mixing, pii, quality, secrets, sharding, vantage
+from cadenza.llm import exact_dedup, jaccard_join, mixing, passages, pieces, pii, quality, secrets, sharding, vantage
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,21 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_compression_novelty")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.counted(secrets.find(table(spark, sf, "documents")), "doc_id")
+
+
+@query("op2_collinear_chains")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    out = passages.repeats(table(spark, sf, "documents"))
+    return out.select("doc_id", F.col("other").alias("other_id"), "start", "end", "other_start", "other_end", "agree")
+
+
+def model_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the machine keeps its public tokenizer files."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op4_piece_lattice")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf, "documents"), pieces.load_model(model_path()))
