@@ -134,10 +134,9 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns whose names an operator is about to write (names compare as Spark compares them)."""
-    low = {n.lower() for n in names}
-    return df.drop(*[c for c in df.columns if c.lower() in low])
+def boxed(df: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``df`` as one struct, so that helper columns cannot clash with them; ``box.*`` brings them back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("box"), *[c.alias(n) for n, c in more.items()])
 
 
 def word_count(text: Column) -> Column:

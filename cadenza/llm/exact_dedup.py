@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import SPACE, small_side
+from cadenza.llm.common import SPACE, boxed, small_side
 from cadenza.session import materialize
 
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -132,19 +132,18 @@ def normalised_sha(text: str):
 def drop_exact(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Input rows that stay, with all their columns.
 
-    Dropped rows are found by (key, address of the text); where a key and text repeat, one of the rows stays.
+    Rows are found again by (key, address of the text). Where a row repeats key and text of the one that stays, one of them stays.
     """
     d = materialize(exact_duplicates(df, key=key, text=text))
-    gone = d.filter(~F.col("kept")).select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s"), F.lit(1).alias("_gone")).distinct()
-    again = d.filter(F.col("group_size") > 1).groupBy(key, "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("any")).filter("n > 1 and any")
-    again = materialize(again.select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s"))) 
-    n = again.count()
-    x = df.withColumn("_sha", normalised_sha(text))
-    same = lambda t: x[key].eqNullSafe(t["_k"]) & (x["_sha"] == t["_s"])
-    gone = materialize(gone)
-    kept = x.join(small_side(gone), same(gone), "left_anti")
-    if n:
-        # a key that repeats with its text: all its rows may have been dropped above; one comes back
-        one = x.join(small_side(again, n), same(again), "left_semi").dropDuplicates([key, "_sha"])
-        kept = x.join(small_side(gone), same(gone), "left_anti").join(small_side(again, n), same(again), "left_anti").unionByName(one)
-    return kept.drop("_sha")
+    groups = d.filter("group_size > 1").groupBy(F.col(key).alias("k"), F.col("text_sha256").alias("s")).agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("n"))
+    groups = materialize(groups)
+    n = groups.count()
+    x = boxed(df, k=F.col(key), s=normalised_sha(text))
+    # null keys compare like values
+    g = groups.select(F.col("k").alias("gk"), F.col("s").alias("gs"), "any", "n")
+    j = x.join(small_side(g, n), x["k"].eqNullSafe(F.col("gk")) & (x["s"] == F.col("gs")), "left")
+    once = j.filter("gs is null or (any and n = 1)").select("box.*")
+    if groups.filter("any and n > 1").isEmpty():
+        return once
+    again = j.filter("any and n > 1").dropDuplicates(["k", "s"]).select("box.*")
+    return once.unionByName(again)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import sorted_runs, word_count
+from cadenza.llm.common import boxed, small_side, sorted_runs, word_count
 from cadenza.session import materialize
 
 LEAF = 4096  # documents paired in one leaf, on average
@@ -105,13 +105,8 @@ def _round_level(seed: int, last: bool):
     return run
 
 
-def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 1) -> DataFrame:
-    """(key, size, source_size, target, copies, taken), one row per input row; other columns are not read.
-
-    size: words of the text (null: 0); a document without words is never taken. ``copies`` is at most ``most`` rounded up
-    to whole copies of the allowed ratio, ``taken`` is copies times size. Repeated rows are drawn separately. An empty table gives an empty table.
-    """
-    docs = materialize(df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
+def _mixed(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 1) -> DataFrame:
+    docs = materialize(df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.col(key), F.col(text)).alias("_addr"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
     stats = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("_n"))
     stats = materialize(stats)
     goal = targets(stats.select("source", "source_size"), weights=weights, most=most)
@@ -122,7 +117,7 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
     leaves = F.greatest(F.lit(1), F.ceil(F.col("_n") / LEAF)).cast("long")
     sized = materialize(
         sized.select(
-            "_row", "_key", "size", "source_size", "target", F.floor(ratio).alias("_whole"), (ratio - F.floor(ratio)).alias("_p"), tag.alias("_tag"),
+            "_row", "_addr", "_key", "size", "source_size", "target", F.floor(ratio).alias("_whole"), (ratio - F.floor(ratio)).alias("_p"), tag.alias("_tag"),
             F.xxhash64("source", F.col("source").isNull()).alias("_src"), F.pmod(tag, leaves).alias("_leaf"), leaves.alias("_leaves"),
         )
     )
@@ -144,4 +139,30 @@ def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str =
         extra = extra.unionByName(d)
     out = sized.join(extra, "_row", "left")
     copies = (F.col("_whole") + F.round(F.coalesce("_extra", F.lit(0.0)))).cast("long")
-    return out.select(F.col("_key").alias(key), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("_addr", F.col("_key").alias(key), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), "target", F.when(F.col("size") > 0, copies).otherwise(F.lit(0)).cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mix(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 1) -> DataFrame:
+    """(key, size, source_size, target, copies, taken), one row per input row; other columns are not read.
+
+    size: words of the text (null: 0); a document without words is never taken. ``copies`` is the ratio of target to source size, which is
+    at most ``most``, rounded down or up; ``taken`` is copies times size. Repeated rows are drawn separately. An empty table gives
+    an empty table.
+    """
+    return _mixed(df, key=key, text=text, source=source, weights=weights, most=most, seed=seed).drop("_addr")
+
+
+def take(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 1) -> DataFrame:
+    """Input rows as often as the mix takes them, with all their columns.
+
+    Rows are found again by a hash of key and text; rows that repeat both share their draws in turn.
+    """
+    m = materialize(_mixed(df, key=key, text=text, source=source, weights=weights, most=most, seed=seed).select("_addr", "copies"))
+    by = materialize(m.groupBy("_addr").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n")).filter("c > 0"))
+    x = boxed(df, _addr=F.xxhash64(F.col(key), F.col(text))).join(small_side(by), "_addr")
+    if not by.filter("n > 1").isEmpty():
+        # the i-th of n equal rows
+        turn = F.row_number().over(Window.partitionBy("_addr").orderBy("_addr"))
+        many = x.filter("n > 1").withColumn("i", turn).withColumn("c", F.floor(F.col("c") / F.col("n")) + (F.col("i") <= F.col("c") % F.col("n")).cast("long")).drop("i")
+        x = x.filter("n = 1").unionByName(many).filter("c > 0")
+    return x.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c")))).select("box.*")

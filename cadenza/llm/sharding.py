@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import without
 from cadenza.session import materialize
 
 # Sub-buckets of a shard in which positions are counted: the first three hex digits of the order hash.
@@ -65,5 +64,6 @@ def place(df: DataFrame, *, key: str, text: str, weights: Sequence[float], grown
 def write_shards(df: DataFrame, path: str, *, key: str, weights: Sequence[float], files: int = 1) -> None:
     """Write whole rows as one folder per shard, each of ``files`` pieces; a column named shard is replaced."""
     piece = F.pmod(F.xxhash64(F.col(key)), F.lit(files))
-    out = without(df, "shard", "_piece").withColumn("shard", rendezvous(F.col(key), weights)).withColumn("_piece", piece)
-    out.repartition(len(weights) * files, "shard", "_piece").drop("_piece").write.partitionBy("shard").parquet(path)
+    shard = rendezvous(F.col(key), weights)
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() != "shard"]
+    df.select(*kept, shard.alias("shard")).repartition(len(weights) * files, shard, piece).write.partitionBy("shard").parquet(path)
