@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Filler words that are removed by the lexicon test.
-FILLERS = ("эм", "ээ", "мм", "аа", "ну", "вот", "типа", "короче", "значит", "um", "uh", "er", "like")
+FILLERS = (
+    "эм", "эмм", "эмэ", "ам", "амм", "аа", "ээ", "мм", "ммм", "ну", "нуу", "вот", "типа", "короче", "блин", "э", "а",
+    "uh", "uhh", "um", "umm", "uhm", "hm", "hmm", "mhm", "mhmm", "mm", "mmm", "eh", "err", "erm",
+)
 SENTENCE_END = r"[.!?…]$"
 # letters and digits of any script; the reference-compatible pattern covers Latin and Cyrillic only
 TOKEN = r"[\p{L}\p{N}]+"

@@ -7,8 +7,9 @@ picks (``v = t - gap``, ``b = t``) and non-overlap rules (``v = start``, ``b = e
 a forced break is ``v = +inf``.
 
 What a block of rows does to an *unknown* base coming from the left is a step function of that
-base, so every block is summarised independently, the summaries (one per block) are chained, and
-a second parallel pass marks the opening rows. No source is ever handled as one group.
+base, so every block is summarised independently; the summaries of the blocks that one key runs through are composed by
+doubling (log2 of their number of rounds, in tasks), and a second parallel pass marks the opening rows. No source is ever
+handled as one group, and no summary leaves the executors: only one number per block does.
 """
 
 from __future__ import annotations
@@ -85,15 +86,43 @@ def _step_function(v: np.ndarray, b: np.ndarray) -> tuple[list[float], list[floa
     return upto, res
 
 
-_SUMMARY = T.StructType(
-    [
-        T.StructField(BLOCK, T.IntegerType()),
-        T.StructField("carries_in", T.BooleanType()),
-        T.StructField("carries_out", T.BooleanType()),
-        T.StructField("upto", T.ArrayType(T.DoubleType())),
-        T.StructField("base", T.ArrayType(T.DoubleType())),
-    ]
-)
+_SUMMARY = "run int, seq int, upto array<double>, base array<double>"
+
+
+def _apply(upto: np.ndarray, base: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A step function at ``x``; beyond its last bound it changes nothing."""
+    at = np.searchsorted(upto, x, side="left")
+    return np.where(at < len(upto), base[np.minimum(at, len(base) - 1)], x)
+
+
+def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Step function of two neighbouring blocks."""
+    tail = then[0] > first[0][-1]
+    upto = np.concatenate([first[0], then[0][tail]])
+    base = np.concatenate([_apply(*then, first[1]), then[1][tail]])
+    last = np.append(base[1:] != base[:-1], True)
+    return upto[last], base[last]
+
+
+def _prefixes(steps: DataFrame, longest: int) -> DataFrame:
+    """(run, seq, base): what leaves each block, from the functions of a run whose first one is a constant."""
+    def joined(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                upto, base = compose((np.asarray(r.upto1), np.asarray(r.base1)), (np.asarray(r.upto), np.asarray(r.base)))
+                rows.append((r.run, r.seq, upto.tolist(), base.tolist()))
+            yield pd.DataFrame(rows, columns=["run", "seq", "upto", "base"])
+
+    # functions are written once per round, each at most as long as the blocks it covers; those that reach the start are constants
+    reach = 1
+    while reach < longest:
+        done = steps.filter(F.col("seq") < reach)
+        left = steps.select("run", (F.col("seq") + reach).alias("seq"), F.col("upto").alias("upto1"), F.col("base").alias("base1"))
+        more = steps.filter(F.col("seq") >= reach).join(left, ["run", "seq"]).mapInPandas(joined, _SUMMARY)
+        steps = materialize(done.unionByName(more))
+        reach *= 2
+    return steps.select("run", "seq", F.col("base")[0].alias("base"))
 
 
 def open_segments(
@@ -159,33 +188,31 @@ def open_segments(
         # blocks whose last key goes on in the next block
         need = {edges[i][BLOCK] for i in range(len(edges) - 1) if edges[i + 1][BLOCK] in continued}
 
+        # a run: the block in which a key starts, then the blocks that it fills
+        place: dict[int, tuple[int, int]] = {}
+        for prev, cur in zip([None, *edges], edges):
+            blk = cur[BLOCK]
+            if blk in need:
+                inner = blk in continued and blk in whole
+                place[blk] = (place[prev[BLOCK]][0], place[prev[BLOCK]][1] + 1) if inner else (len(place), 0)
+
         def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
             blk = int(pdf[BLOCK].iloc[0])
             _, va, ba = arrays(pdf)
-            if blk in continued and blk in whole:
+            if place[blk][1]:
                 upto, res = _step_function(va, ba)
             else:  # the last key starts inside this block: its base out is already known
                 _, base = _marks(va, ba, np.inf if blk in continued else None)
                 upto, res = [float("inf")], [base]
-            return pd.DataFrame(
-                {BLOCK: [blk], "carries_in": [blk in continued], "carries_out": [True], "upto": [upto], "base": [res]}
-            )
+            return pd.DataFrame({"run": [place[blk][0]], "seq": [place[blk][1]], "upto": [upto], "base": [res]})
 
         slim = t.filter(F.col(BLOCK).isin(sorted(need))).select(BLOCK, *dict.fromkeys([*key, *order]), "_v", "_w", "_b")
-        # step functions of the blocks that a key runs through: bounded by the number of blocks
-        steps = {r[BLOCK]: r for r in slim.groupBy(BLOCK).applyInPandas(summarise, _SUMMARY).collect()}
-        base = float("nan")
-        for e in edges:
-            blk = e[BLOCK]
-            if blk in continued:
-                bases[blk] = base
-            if blk in steps:
-                r = steps[blk]
-                if blk in continued and blk in whole:
-                    at = int(np.searchsorted(np.array(r["upto"]), base, side="left"))
-                    base = r["base"][at] if at < len(r["base"]) else base
-                else:
-                    base = r["base"][0]
+        steps = materialize(slim.groupBy(BLOCK).applyInPandas(summarise, _SUMMARY))
+        # one number per block
+        leaves = {(r["run"], r["seq"]): r["base"] for r in _prefixes(steps, 1 + max(q for _, q in place.values())).collect()}
+        for prev, cur in zip(edges, edges[1:]):
+            if cur[BLOCK] in continued:
+                bases[cur[BLOCK]] = leaves[place[prev[BLOCK]]]
 
     schema = T.StructType([f for f in t.schema.fields if f.name not in ("_v", "_w", "_b", "_grp")]
                           + [T.StructField(flag, T.BooleanType())])

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.operators.ordered import carried, last_value, next_value, ordered_blocks, run_max, running
+from cadenza.operators.ordered import carried, lag, last_value, lead, next_value, ordered_blocks, run_max, running
 
 _FACTOR = 8
 
@@ -252,13 +252,22 @@ def parent_by_midpoint(children: DataFrame, parents: DataFrame, ids, cspan, pspa
 
 
 def interpolate_at(points: DataFrame, series: DataFrame, at: str, t: str, value: str, *, id: str, out: str = "value_at") -> DataFrame:
-    """Linear interpolation between the neighbouring non-null samples; the only neighbour at the ends."""
-    s = series.filter(F.col(value).isNotNull())
-    j = asof(points, s.select("source_id", F.col(t).alias("_at"), F.col(value).alias("_val")), ["source_id"], at, "_at", id=id, carry={"val": "_val"})
+    """Value at a point from the samples on both sides, empty samples included.
+
+    Both filled: linear interpolation; one filled: that one; none: the nearest filled sample at most two away
+    from the sample before the point (the first sample when there is none), earlier ones first; else null.
+    """
+    s = series.select("source_id", F.col(t).alias("_at"), F.col(value).alias("_val"))
+    s = running(s, ["source_id"], ["_at"], {"_b1": lag("_val"), "_a1": lead("_val")})
+    s = running(s, ["source_id"], ["_at"], {"_b2": lag("_b1"), "_a2": lead("_a1")})
+    s = s.select("source_id", "_at", "_val", F.coalesce("_b1", "_a1", "_b2", "_a2").alias("_near"))
+    j = asof(points, s, ["source_id"], at, "_at", id=id, carry={"val": "_val", "near": "_near"})
     span = F.col("next_at") - F.col("prev_at")
     lin = F.col("prev_val") + (F.col("next_val") - F.col("prev_val")) * (F.col(at) - F.col("prev_at")) / span
-    v = F.when(F.col("prev_at").isNull(), F.col("next_val")).when(F.col("next_at").isNull() | (span <= 0), F.col("prev_val")).otherwise(lin)
-    return j.withColumn(out, v).drop("prev_at", "next_at", "prev_val", "next_val")
+    both = F.col("prev_val").isNotNull() & F.col("next_val").isNotNull() & (span > 0)
+    near = F.when(F.col("prev_at").isNotNull(), F.col("prev_near")).otherwise(F.col("next_near"))
+    v = F.when(both, lin).otherwise(F.coalesce("prev_val", "next_val", near))
+    return j.withColumn(out, v).drop("prev_at", "next_at", "prev_val", "next_val", "prev_near", "next_near")
 
 
 def exclude_overlapping(items: DataFrame, occupied: DataFrame, ids, span, ospan, *, gap: float, width: float) -> DataFrame:

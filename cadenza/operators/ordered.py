@@ -32,19 +32,12 @@ def holds_whole_keys(blocked: DataFrame) -> bool:
     return bool(blocked.schema[BLOCK].metadata.get("whole_keys"))
 
 
-BLOCK_BYTES = 64 << 20
+BLOCK_ROWS = 1_000_000
 
 
 def block_count(df: DataFrame) -> int:
-    """Blocks for a table: one per 64 MB of Catalyst's size estimate, at least one per core, at most the shuffle partitions."""
-    spark = df.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # no JVM access on this kind of session
-        return most
-    return max(1, min(most, max(cores, -(-size // BLOCK_BYTES))))
+    """Blocks for a table: one per million counted rows, and at least one per core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // BLOCK_ROWS))
 
 
 def ordered_blocks(df: DataFrame, key: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:

@@ -153,13 +153,16 @@ def validate_ranked(df: DataFrame, agents: Sequence[str], default_agent: str = "
 
 
 def validate_story(df: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Story rows (source_id, id, role, start?, end?, payoff_conclusion?): role whitelist, times from the evidence, conclusion on payoffs only."""
+    """Story rows (source_id, id, role, start?, end?, payoff_conclusion?): role whitelist, conclusion on payoffs only.
+
+    Missing times come from the evidence, else a row starts at 0 and ends one second after its start.
+    """
     e = evidence.select("source_id", "id", F.col("start").alias("_s"), F.col("end").alias("_e"))
     j = df.filter(F.lower(F.trim("role")).isin(*ROLES)).withColumn("role", F.lower(F.trim("role"))).join(e, ["source_id", "id"], "left")
     j = j.withColumns(
         {
-            "start": F.coalesce(number(F.col("start")), F.col("_s")),
-            "end": F.coalesce(number(F.col("end")), F.col("_e")),
+            "start": F.coalesce(number(F.col("start")), F.col("_s"), F.lit(0.0)),
+            "end": F.coalesce(number(F.col("end")), F.col("_e"), F.coalesce(number(F.col("start")), F.col("_s"), F.lit(0.0)) + 1.0),
             "payoff_conclusion": F.when(F.col("role") == "payoff", F.coalesce(F.col("payoff_conclusion"), F.lit(False))).otherwise(F.lit(False)),
         }
     )

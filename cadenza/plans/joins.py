@@ -161,15 +161,18 @@ def _(spark, sf):
 
 @query(
     "j7_interpolate_at",
-    """, s AS (SELECT source_id, t, value FROM points WHERE kind <> 'signup' AND event_id % 5 <> 0), p AS (SELECT source_id, event_id, t FROM points WHERE kind = 'signup'),
-      b AS (SELECT p.*, s.t AS bt, s.value AS bv FROM p ASOF LEFT JOIN s ON p.source_id = s.source_id AND p.t >= s.t),
-      f AS (SELECT b.*, s.t AS ft, s.value AS fv FROM b ASOF LEFT JOIN s ON b.source_id = s.source_id AND b.t <= s.t)
-    SELECT source_id, event_id, round(CASE WHEN bt IS NULL THEN fv WHEN ft IS NULL OR ft <= bt THEN bv ELSE bv + (fv - bv) * (t - bt) / (ft - bt) END, 6) AS value_at FROM f""",
+    """, s0 AS (SELECT source_id, t, CASE WHEN event_id % 5 > 1 THEN value END AS v FROM points WHERE kind <> 'signup'),
+      s AS (SELECT *, coalesce(lag(v) OVER w, lead(v) OVER w, lag(v, 2) OVER w, lead(v, 2) OVER w) AS near FROM s0 WINDOW w AS (PARTITION BY source_id ORDER BY t)),
+      p AS (SELECT source_id, event_id, t FROM points WHERE kind = 'signup'),
+      b AS (SELECT p.*, s.t AS bt, s.v AS bv, s.near AS bn FROM p ASOF LEFT JOIN s ON p.source_id = s.source_id AND p.t >= s.t),
+      f AS (SELECT b.*, s.t AS ft, s.v AS fv, s.near AS fn FROM b ASOF LEFT JOIN s ON b.source_id = s.source_id AND b.t < s.t)
+    SELECT source_id, event_id, round(CASE WHEN bv IS NOT NULL AND fv IS NOT NULL THEN bv + (fv - bv) * (t - bt) / (ft - bt)
+      ELSE coalesce(bv, fv, CASE WHEN bt IS NOT NULL THEN bn ELSE fn END) END, 6) AS value_at FROM f""",
     (POINTS,),
 )
 def _(spark, sf):
     p = T.points(spark, sf)
-    s = p.filter("kind <> 'signup'").withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    s = p.filter("kind <> 'signup'").withColumn("value", F.when(F.col("event_id") % 5 > 1, F.col("value")))
     q = p.filter("kind = 'signup'").select("source_id", "event_id", "t")
     return I.interpolate_at(q, s, "t", "t", "value", id="event_id").select("source_id", "event_id", *r6("value_at"))
 

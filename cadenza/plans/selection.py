@@ -186,9 +186,8 @@ def _(spark, sf):
 
 
 def ranked_pool(spark, sf):
-    """Vectors ranked per source, limited to 300 as a source's ranked pool is."""
-    v = running(T.vectors(spark, sf), ["source_id"], ["item_id"], {"_i": row_index()})
-    return v.filter("_i <= 300")
+    """All vectors, numbered per source in the order in which clusters are opened."""
+    return running(T.vectors(spark, sf), ["source_id"], ["item_id"], {"_i": row_index()})
 
 
 @query("d12_leader_clusters")

@@ -54,7 +54,7 @@ def _(spark, sf):
     return s.select(micros("start"), micros("end"), "event_type", "n", F.round("level", 6).alias("level"), "peak")
 
 
-@query("st5_deliver", """SELECT o_orderkey AS assignment_id, CASE WHEN o_totalprice > 100000 THEN 'scheduled' WHEN o_orderkey % 4 + 1 >= 3 THEN 'failed' ELSE 'queued' END AS status, o_orderkey % 4 + 1 AS attempts FROM orders WHERE o_orderstatus = 'P'""")
+@query("st5_deliver", """SELECT o_orderkey AS assignment_id, CASE WHEN o_totalprice > 100000 THEN 'scheduled' ELSE 'failed' END AS status, CASE WHEN o_totalprice > 100000 THEN o_orderkey % 4 + 1 ELSE greatest(3, o_orderkey % 4 + 1) END AS attempts FROM orders WHERE o_orderstatus = 'P'""")
 def _(spark, sf):
     sink = os.path.join(durable_dir(spark), f"deliver-{uuid.uuid4().hex}")
     o = spark.readStream.schema(T.table(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)

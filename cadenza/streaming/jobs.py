@@ -117,16 +117,39 @@ def rate_per_minute(events: DataFrame, *, key: str = "user_id", limit: int = 1,
 
 
 def deliver(queue: DataFrame, send: Callable[[DataFrame], DataFrame], sink: str, *, limit: int | None = None) -> None:
-    """Deliver queued rows in micro-batches and write the state after each attempt to ``sink``.
+    """Deliver queued rows until each is scheduled or has failed; ``sink`` gets one final row per assignment.
 
-    ``send`` adds the boolean ``ok`` to a batch. Re-running a batch overwrites its own folder, so a retry does not
-    count an attempt twice.
+    ``send`` adds the boolean ``ok`` to a batch. Rows that failed before their last attempt, and rows beyond
+    ``limit`` (deliveries per trigger, earliest first), stay in a queue table that the next trigger reads; when the stream
+    has ended, triggers go on until the queue is empty. Attempts are written before they are split, so rows are sent once per
+    trigger, and a trigger that runs again overwrites its own folders.
     """
     from cadenza.operators.publish import delivery_attempt
 
-    def handle(batch: DataFrame, epoch: int) -> None:
-        due = batch.filter("status = 'queued'")
-        due = due.orderBy("scheduled_at", "assignment_id").limit(limit) if limit else due
-        delivery_attempt(send(due)).write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
-
-    run_batches(queue, handle, "append")
+    spark = queue.sparkSession
+    last = {"epoch": -1}
+
+    def pending(epoch: int) -> str:
+        return f"{sink}-queue/batch={epoch}"
+
+    def trigger(new: DataFrame | None, epoch: int) -> int:
+        due = new.filter("status = 'queued'") if new is not None else None
+        if last["epoch"] >= 0:
+            old = spark.read.parquet(pending(last["epoch"]))
+            due = old if due is None else old.unionByName(due)
+        pool = f"{sink}-pool/batch={epoch}"
+        due.write.mode("overwrite").parquet(pool)
+        due = spark.read.parquet(pool)
+        now = due.orderBy("scheduled_at", "assignment_id").limit(limit) if limit else due
+        tried = f"{sink}-tried/batch={epoch}"
+        delivery_attempt(send(now)).write.mode("overwrite").parquet(tried)
+        now = spark.read.parquet(tried)
+        now.filter("status <> 'queued'").write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        rest = due.join(now.select("assignment_id"), "assignment_id", "left_anti").select(*now.columns)
+        now.filter("status = 'queued'").unionByName(rest).write.mode("overwrite").parquet(pending(epoch))
+        last["epoch"] = epoch
+        return spark.read.parquet(pending(epoch)).count()
+
+    run_batches(queue, lambda batch, epoch: trigger(batch, epoch), "append")
+    while last["epoch"] >= 0 and not spark.read.parquet(pending(last["epoch"])).isEmpty():
+        trigger(None, last["epoch"] + 1)

@@ -125,3 +125,36 @@ def test_open_segments_hot_key(spark, blocks, span):
     for k in {d[0] for d in data}:
         seq = sorted((s, i) for kk, s, i, _ in data if kk == k)
         assert [res[(k, i)] for _, i in seq] == walk([(None, s - 4.0, s) for s, _ in seq])
+
+
+def test_one_key_over_many_blocks_equals_the_loop(spark, monkeypatch):
+    """An evenly spaced key over 64 blocks: bases travel by composed step functions."""
+    from pyspark.sql import functions as F
+
+    from cadenza.operators import cuts, ordered
+
+    for m in (ordered, cuts):
+        monkeypatch.setattr(m, "block_count", lambda df: 64)
+    n = 6400
+    df = spark.range(n).select(F.lit(1).alias("source_id"), F.col("id"), (F.col("id") * 0.4).alias("t"))
+    got = cuts.open_segments(df, ["source_id"], ["t", "id"], v=F.col("t") - 20, b=F.col("t")).orderBy("id").select("opens").collect()
+    want, base = [], None
+    for i in range(n):
+        t = i * 0.4
+        opens = base is None or t - 20 >= base
+        base = t if opens else base
+        want.append(opens)
+    assert [r.opens for r in got] == want
+
+
+def test_composed_steps_equal_two_steps():
+    import numpy as np
+
+    from cadenza.operators.cuts import _apply, _step_function, compose
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        v, b = np.sort(rng.normal(size=30)), rng.normal(size=30)
+        f, g = (tuple(map(np.array, _step_function(v[a:z], b[a:z]))) for a, z in ((0, 15), (15, 30)))
+        x = rng.normal(size=50)
+        assert np.allclose(_apply(*compose(f, g), x), _apply(*g, _apply(*f, x)))
