@@ -83,15 +83,25 @@ def distinct_text_keep_best(df: DataFrame, key, text: str, score: str, id: str,
     return d.groupBy(*key, "_x").agg(best.alias("_b")).select(*key, "_b.*")
 
 
+QUERY_BLOCK = 1024
+
+
 def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | None = None) -> DataFrame:
     """Cosine top-k of ``items`` (item_id, v) for every row of ``queries`` (query_id, qv).
 
-    Queries reach every task as one scalar subquery, so items are scanned once and never shuffled;
-    only the best ``k`` per task and query leave a task. The caller bounds the number of queries.
+    Queries are counted and reach the tasks in blocks of at most ``QUERY_BLOCK`` as one scalar subquery each; items are
+    scanned once per block and never shuffled, and only the best ``k`` per task and query leave a task.
     """
-    packed = queries.agg(F.array_sort(F.collect_list(F.struct("query_id", "qv"))).alias("_q"))
-    j = items.withColumn("_q", F.explode(packed.scalar()))
-    j = j.select(F.col("_q.query_id").alias("query_id"), "item_id", cosine(F.col("v"), F.col("_q.qv")).alias("cos"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    queries = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = []
+    for i in range(blocks):
+        packed = queries.filter(F.col("_blk") == i).agg(F.array_sort(F.collect_list(F.struct("query_id", "qv"))).alias("_q"))
+        j = items.withColumn("_q", F.explode(packed.scalar()))
+        parts.append(j.select(F.col("_q.query_id").alias("query_id"), "item_id", cosine(F.col("v"), F.col("_q.qv")).alias("cos")))
+    j = parts[0]
+    for p in parts[1:]:
+        j = j.unionByName(p)
     if min_cos is not None:
         j = j.filter(F.col("cos") >= min_cos)
     w = Window.partitionBy("query_id").orderBy(F.desc("cos"), "item_id")

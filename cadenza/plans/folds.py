@@ -203,21 +203,20 @@ def _(spark, sf):
 RULES = (("and_the", r"^(?:und|the|de|la)\s+\S{2}$", 2), ("three", r"^(?:die|of|que)\s+\S+\s+\S{3}$", 3), ("short", r"^(?:in|en|el)[.,]?$", 1))
 
 
-@query(
-    "w11_phrase_match",
-    r""", used AS (SELECT o.source_id, unnest(range(o.i, o.i + g.len)) AS i FROM orbit o JOIN hit g ON g.source_id = o.source_id AND g.i = o.i)
-    SELECT o.source_id, g.start, CASE WHEN len = 2 THEN e2 ELSE e3 END AS "end", rule FROM orbit o JOIN hit g ON g.source_id = o.source_id AND g.i = o.i
-    UNION ALL SELECT source_id, start, "end", 'short' FROM g3 WHERE regexp_matches(lower(trim(word)), '^(?:in|en|el)[.,]?$') AND NOT EXISTS (SELECT 1 FROM used u WHERE u.source_id = g3.source_id AND u.i = g3.i)""",
-    (
+PHRASES = (
         WORDS,
         r""" g3 AS (SELECT source_id, word, start, "end", row_number() OVER w AS i, lead(word) OVER w AS w2, lead(word, 2) OVER w AS w3, lead("end") OVER w AS e2, lead("end", 2) OVER w AS e3 FROM words WINDOW w AS (PARTITION BY source_id ORDER BY start, pos))""",
         r""" hit AS (SELECT *, CASE WHEN rule = 'and_the' THEN 2 ELSE 3 END AS len FROM (SELECT *, CASE WHEN w2 IS NOT NULL AND regexp_matches(lower(trim(word || ' ' || w2)), '^(?:und|the|de|la)\s+\S{2}$') THEN 'and_the'
             WHEN w3 IS NOT NULL AND regexp_matches(lower(trim(word || ' ' || w2 || ' ' || w3)), '^(?:die|of|que)\s+\S+\s+\S{3}$') THEN 'three' END AS rule FROM g3) WHERE rule IS NOT NULL)""",
         """ nxt AS (SELECT source_id, i, (SELECT min(b.i) FROM hit b WHERE b.source_id = a.source_id AND b.i >= a.i + a.len) AS nx FROM hit a)""",
         orbit("nxt", "hit"),
-    ),
-    recursive=True,
+    r""" used AS (SELECT o.source_id, unnest(range(o.i, o.i + g.len)) AS i FROM orbit o JOIN hit g ON g.source_id = o.source_id AND g.i = o.i)""",
 )
+PHRASES_SQL = r"""SELECT o.source_id, g.start, CASE WHEN len = 2 THEN e2 ELSE e3 END AS "end", rule FROM orbit o JOIN hit g ON g.source_id = o.source_id AND g.i = o.i
+    UNION ALL SELECT source_id, start, "end", 'short' FROM g3 WHERE regexp_matches(lower(trim(word)), '^(?:in|en|el)[.,]?$') AND NOT EXISTS (SELECT 1 FROM used u WHERE u.source_id = g3.source_id AND u.i = g3.i)"""
+
+
+@query("w11_phrase_match", PHRASES_SQL, PHRASES, recursive=True)
 def _(spark, sf):
     return G.phrase_match(T.words(spark, sf), RULES).select("source_id", "start", "end", "rule")
 
@@ -395,7 +394,18 @@ def _(spark, sf):
     return G.spring_smooth(tr, ["source_id", "clip_no"], "t", "x").select("source_id", "clip_no", "t", *r6("smooth"))
 
 
-@query("w27_trim_to_budget")
+@query(
+    "w27_trim_to_budget",
+    """, t AS (SELECT source_id, arc_no, sum(dur) AS total, coalesce(sum(dur) FILTER (role IN ('hook', 'peak', 'payoff')), 0) AS need, min_by(id, seg_no) FILTER (role = 'hook') AS hook, max_by(id, seg_no) FILTER (role IN ('peak', 'payoff')) AS last_id FROM arcseg GROUP BY 1, 2),
+      opt AS (SELECT a.*, need, row_number() OVER (PARTITION BY source_id, arc_no ORDER BY score DESC, seg_no) AS k FROM arcseg a JOIN t USING (source_id, arc_no) WHERE round(total, 9) > {L} AND round(need, 9) < {L} AND role NOT IN ('hook', 'peak', 'payoff')),
+      walk AS (SELECT source_id, arc_no, k, id, round(dur, 9) <= round({L} - need, 9) AS keep, CASE WHEN round(dur, 9) <= round({L} - need, 9) THEN dur ELSE 0 END AS used FROM opt WHERE k = 1
+        UNION ALL SELECT o.source_id, o.arc_no, o.k, o.id, round(w.used + o.dur, 9) <= round({L} - o.need, 9), CASE WHEN round(w.used + o.dur, 9) <= round({L} - o.need, 9) THEN w.used + o.dur ELSE w.used END
+        FROM walk w JOIN opt o ON o.source_id = w.source_id AND o.arc_no = w.arc_no AND o.k = w.k + 1)
+    SELECT a.source_id, a.arc_no, a.seg_no, a.id, a.role FROM arcseg a JOIN t USING (source_id, arc_no) LEFT JOIN walk w ON w.source_id = a.source_id AND w.arc_no = a.arc_no AND w.id = a.id
+    WHERE CASE WHEN round(total, 9) <= {L} THEN true WHEN round(need, 9) < {L} THEN a.role IN ('hook', 'peak', 'payoff') OR coalesce(w.keep, false) ELSE coalesce(a.id = hook, false) OR coalesce(a.id = last_id, false) END""".replace("{L}", str(G.PLAN_MAX)),
+    (ARCSEG,),
+    recursive=True,
+)
 def _(spark, sf):
     s = T.arc_segments(spark, sf)
     return G.trim_to_budget(s, ["source_id", "arc_no"]).select("source_id", "arc_no", "seg_no", "id", "role")

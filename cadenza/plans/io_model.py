@@ -18,7 +18,7 @@ from cadenza.operators import stats as A
 from cadenza.operators.greedy import jaccard
 from cadenza.operators.select import dedup_jaccard
 from cadenza.operators.validate import extract_json
-from cadenza.plans.folds import RULES
+from cadenza.plans.folds import PHRASES, PHRASES_SQL, RULES
 from cadenza.plans.registry import CLIPS, EVIDENCE, POINTS, SEGMENTS, SENTENCES, VECTORS, WORDS, query
 from cadenza.plans.windows import r6
 from cadenza.session import durable_dir
@@ -96,7 +96,7 @@ def _(spark, sf):
     return r.select("key", F.col("value.v").alias("value"))
 
 
-@query("src4_load_rules")
+@query("src4_load_rules", f"""SELECT rule, count(*) AS n FROM ({PHRASES_SQL}) GROUP BY rule""", PHRASES, recursive=True)
 def _(spark, sf):
     path = _tmp(spark, "rules")
     spark.createDataFrame([(n, p, k) for n, p, k in RULES], "word string, pattern string, word_count int").write.json(path)
@@ -233,7 +233,7 @@ def _(spark, sf):
     return e.select("event_id", region9(F.col("x"), F.col("y")).alias("region"), F.round(center_score(F.col("x"), F.col("y")), 6).alias("centered"))
 
 
-@query("f_param_hash")
+@query("f_param_hash", """SELECT p_partkey, sha256('{"brand":"' || p_brand || '","type":"' || p_type || '"}') AS hash, true AS order_free FROM part""")
 def _(spark, sf):
     p = T.table(spark, sf, "part")
     m1 = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"))

@@ -19,7 +19,16 @@ def micros(c):
     return F.unix_micros(F.col(c)).alias(c)
 
 
-@query("st1_stage_durations_stream")
+@query(
+    "st1_stage_durations_stream",
+    """WITH o AS (SELECT user_id, event_id, event_type AS stage, epoch_us(ts) AS t,
+        coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run FROM events),
+      l AS (SELECT *, lead(t) OVER (PARTITION BY user_id, run ORDER BY t, event_id) AS nt FROM o),
+      r AS (SELECT user_id, run, bool_or(stage = 'purchase') AS closed FROM o GROUP BY 1, 2),
+      q AS (SELECT user_id, max(t) + 2 * 86400000000 AS due FROM o GROUP BY 1), m AS (SELECT max(t) - 3600000000 AS wm FROM o)
+    SELECT user_id AS job, run, stage, round(sum(CASE WHEN stage = 'purchase' THEN 0 ELSE (nt - t) / 1e6 END), 3) AS seconds
+    FROM l JOIN r USING (user_id, run) JOIN q USING (user_id), m WHERE (nt IS NOT NULL OR stage = 'purchase') AND (closed OR due < wm) GROUP BY 1, 2, 3""",
+)
 def _(spark, sf):
     return J.run_to_table(J.stage_durations_stream(J.event_stream(spark, sf))).select("job", "run", "stage", F.round("seconds", 3).alias("seconds"))
 
@@ -64,7 +73,7 @@ def _(spark, sf):
     return spark.read.parquet(sink).select("assignment_id", "status", "attempts")
 
 
-@query("st6_dedup_stream")
+@query("st6_dedup_stream", """SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1""")
 def _(spark, sf):
     d = J.run_to_table(J.dedup_stream(J.event_stream(spark, sf)).select("user_id", "event_type", "event_id"))
     return d.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
