@@ -255,7 +255,7 @@ def _(spark, sf):
     return p.select("source_id", "cut_id", *r6("piece_start", "piece_end"))
 
 
-MARK = "die|the|que"
+MARK = r"die|que|the\s+\S{2}\s+of|of\s+the\s+\S+\s+the|en\s+la\s"
 ARCS = """ arcs AS (SELECT source_id, pos AS arc_id, start AS a_start, round(start + 18 + ((pos // 60) % 9) * 7, 3) AS a_end FROM words WHERE pos % 60 = 10),
   dur AS (SELECT source_id, max("end") AS duration FROM words GROUP BY 1)"""
 
@@ -268,7 +268,7 @@ def arcs(w):
 @query(
     "w16_extend_boundaries",
     rf""", wa AS (SELECT source_id, pos, word, start, "end", regexp_matches(trim(word), '[.!?…]$') AS closes, lead(start) OVER w AS ns,
-        regexp_matches(lower(concat_ws(' ', word, lead(word) OVER w)), '^(?:{MARK})') AS mk FROM words WINDOW w AS (PARTITION BY source_id ORDER BY start, pos)),
+        regexp_matches(lower(concat_ws(' ', word, lead(word) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w)), '^(?:{MARK})') AS mk FROM words WINDOW w AS (PARTITION BY source_id ORDER BY start, pos)),
       a1 AS (SELECT a.source_id, arc_id, a_start, a_end, duration,
         max_by(closes, pos) FILTER (w."end" >= round(a_end - 5, 9) AND w.start < a_end) AS closed,
         max(w."end") FILTER (closes AND round(w."end", 9) <= round(a_end - 0.1::DOUBLE, 9) AND w."end" >= greatest(0, round(a_end - 5, 9))) AS bk
