@@ -183,34 +183,63 @@ def recent_liked(artifacts: DataFrame, jobs: DataFrame, *, exclude_job, newest:
     return a.orderBy(F.desc("created"), "artifact_id").limit(min(newest, keep))
 
 
-def alternate_payoff(plans: DataFrame, ranked: DataFrame, *, shortest: float = 6.0, longest: float = 22.0, gap: float = 1.0, width: float = 64.0) -> DataFrame:
+def _first_free(hits: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """(keys, k): the smallest rank from 1 that is not among a plan's hits."""
+    w = Window.partitionBy(*keys).orderBy(rank)
+    h = hits.select(*keys, rank).distinct().withColumn("_next", F.lead(rank).over(w))
+    gap = F.min(F.when(F.col("_next").isNull() | (F.col("_next") > F.col(rank) + 1), F.col(rank) + 1))
+    return h.groupBy(*keys).agg(F.when(F.min(rank) > 1, F.lit(1).cast("long")).otherwise(gap).alias("k"))
+
+
+def alternate_payoff(
+    plans: DataFrame, ranked: DataFrame, duration: DataFrame | None = None, *, shortest: float = 6.0, longest: float = 22.0, gap: float = 1.0, width: float = 64.0
+) -> DataFrame:
     """Best payoff row per plan that keeps ``gap`` seconds from its segments; the hook's motif first, then the score.
 
-    ``plans``: source_id, plan_id, seg_no, s, e; ``ranked``: source_id, id, start, end, category, score, motif. Candidates that
-    touch a plan are found by a range join; for each plan the best remaining one is looked up in the source's
-    candidate order, so no plan is paired with all candidates.
+    ``plans``: source_id, plan_id, seg_no, s, e; ``ranked``: source_id, id, start, end, category, score, motif. With
+    ``duration`` (source_id, duration) candidates end half a second after their source at most. Candidates are numbered
+    in the order of the source, and of the source and motif; those that touch a plan come from a range join, and
+    the first number they leave free is looked up, so no plan meets all candidates.
     """
+    from cadenza.operators.intervals import best_overlap
+    from cadenza.operators.ordered import row_index, running
+
     d = F.col("end") - F.col("start")
     cand = ranked.filter((F.col("category") == "payoff_candidate") & (d >= shortest) & (d <= longest))
-    hook = plans.filter("seg_no = 0").select("source_id", "plan_id", F.col("s").alias("hs"), F.col("e").alias("he"))
-    from cadenza.operators.intervals import best_overlap
+    if duration is not None:
+        cand = cand.join(duration.select("source_id", "duration"), "source_id").filter(F.col("end") <= F.col("duration") + 0.5).drop("duration")
+    cand = cand.select("source_id", "id", "motif", "start", "end", (-F.col("score")).alias("_neg"))
+    numbered = running(cand, ["source_id"], ["_neg", "id"], {"_any": row_index()})
+    same = running(numbered.filter(F.col("motif").isNotNull()), ["source_id", "motif"], ["_neg", "id"], {"_same": row_index()})
 
+    hook = plans.filter("seg_no = 0").select("source_id", "plan_id", F.col("s").alias("hs"), F.col("e").alias("he"))
     hook = best_overlap(hook, ranked, ["source_id", "plan_id"], ("hs", "he"), ("start", "end"), take={"hook_motif": "motif"}, rid="id", width=width)
+    hook = hook.select("source_id", "plan_id", "hook_motif")
     occ = plans.select("source_id", "plan_id", (F.col("s") - gap).alias("_os"), (F.col("e") + gap).alias("_oe"))
-    hit = overlap_join(cand.select("source_id", "id", "start", "end"), occ, ["source_id"], ("start", "end"), ("_os", "_oe"), width=width)
-    hit = hit.select("source_id", "plan_id", "id").distinct()
-    taken = hit.groupBy("source_id", "plan_id").agg(F.count(F.lit(1)).alias("_t"))
-
-    # the k-th best candidates of a source, and of a source and motif
-    w1 = Window.partitionBy("source_id").orderBy(F.desc("score"), "id")
-    w2 = Window.partitionBy("source_id", "motif").orderBy(F.desc("score"), "id")
-    depth = taken.groupBy("source_id").agg(F.max("_t").alias("_most"))
-    c = cand.withColumns({"_any": F.row_number().over(w1), "_same": F.row_number().over(w2)}).join(depth, "source_id", "left")
-    c = c.filter((F.col("_same") <= F.coalesce("_most", F.lit(0)) + 1)).select("source_id", "id", "score", "motif", "start", "end")
-    p = hook.select("source_id", "plan_id", "hook_motif").join(c.withColumnsRenamed({"start": "alt_start", "end": "alt_end"}), "source_id")
-    p = p.join(hit, ["source_id", "plan_id", "id"], "left_anti")
-    best = F.min(F.struct(F.when(F.col("motif") == F.col("hook_motif"), 0).otherwise(1).alias("m"), (-F.col("score")).alias("n"), "id", "alt_start", "alt_end"))
-    return p.groupBy("source_id", "plan_id").agg(best.alias("_b")).select("source_id", "plan_id", F.col("_b.id").alias("alt_id"), F.col("_b.alt_start").alias("alt_start"), F.col("_b.alt_end").alias("alt_end"))
+    keys = ["source_id", "plan_id"]
+
+    def hits(c: DataFrame, *cols: str) -> DataFrame:
+        return overlap_join(c.select("source_id", "id", "start", "end", *cols), occ, ["source_id"], ("start", "end"), ("_os", "_oe"), width=width)
+
+    of_motif = hits(same, "motif", "_same").join(hook, keys).filter(F.col("motif") == F.col("hook_motif"))
+    free_any = _first_free(hits(numbered, "_any"), keys, "_any").withColumnRenamed("k", "_any")
+    free_same = _first_free(of_motif, keys, "_same").withColumnRenamed("k", "_same")
+    one = F.lit(1).cast("long")
+    p = hook.join(free_any, keys, "left").join(free_same, keys, "left").withColumns({"_any": F.coalesce("_any", one), "_same": F.coalesce("_same", one)})
+    best = F.struct("id", "start", "end")
+    p = p.join(same.select("source_id", F.col("motif").alias("hook_motif"), "_same", best.alias("_b1")), ["source_id", "hook_motif", "_same"], "left")
+    p = p.join(numbered.select("source_id", "_any", best.alias("_b2")), ["source_id", "_any"], "left")
+    p = p.withColumn("_b", F.coalesce("_b1", "_b2")).filter(F.col("_b").isNotNull())
+    return p.select("source_id", "plan_id", F.col("_b.id").alias("alt_id"), F.col("_b.start").alias("alt_start"), F.col("_b.end").alias("alt_end"))
+
+
+def swap_payoff(plans: DataFrame, alternates: DataFrame) -> DataFrame:
+    """Segments of the plans with the last one of every plan that has an alternate replaced by it."""
+    last = plans.groupBy("source_id", "plan_id").agg(F.max("seg_no").alias("_last"))
+    j = plans.join(last, ["source_id", "plan_id"]).join(alternates.select("source_id", "plan_id", "alt_start", "alt_end"), ["source_id", "plan_id"], "left")
+    out = (F.col("seg_no") == F.col("_last")) & F.col("alt_start").isNotNull()
+    j = j.withColumns({"s": F.when(out, F.col("alt_start")).otherwise(F.col("s")), "e": F.when(out, F.col("alt_end")).otherwise(F.col("e"))})
+    return j.drop("_last", "alt_start", "alt_end")
 
 
 def gate_by_score(plans: DataFrame, *, threshold: float, mode: str, retry: DataFrame | None = None) -> DataFrame:

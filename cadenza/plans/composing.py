@@ -170,9 +170,10 @@ MOTIF = """ rk AS (SELECT source_id, clip_id AS id, start, start + 6 + clip_id %
 @query(
     "k13_alternate_payoff",
     """, h AS (SELECT p.source_id, plan_id, max_by(motif, (round((least(e, r."end") - greatest(s, r.start)) / greatest(0.001, e - s), 9), -id)) AS hm FROM ps p LEFT JOIN rk r ON r.source_id = p.source_id AND r.start < e AND s < r."end" WHERE seg_no = 0 GROUP BY 1, 2),
-      c AS (SELECT h.source_id, h.plan_id, id, start, "end", score, CASE WHEN motif = hm THEN 0 ELSE 1 END AS m FROM h JOIN rk r ON r.source_id = h.source_id WHERE category = 'payoff_candidate' AND "end" - start BETWEEN 6 AND 22
-        AND NOT EXISTS (SELECT 1 FROM ps p WHERE p.source_id = h.source_id AND p.plan_id = h.plan_id AND r.start < p.e + 1 AND r."end" > p.s - 1))
-    SELECT source_id, plan_id, id AS alt_id FROM c QUALIFY row_number() OVER (PARTITION BY source_id, plan_id ORDER BY m, score DESC, id) = 1""",
+      c AS (SELECT h.source_id, h.plan_id, id, start, "end", score, CASE WHEN motif = hm THEN 0 ELSE 1 END AS m FROM h JOIN rk r ON r.source_id = h.source_id JOIN (SELECT source_id, max("end") * 0.8::DOUBLE AS d FROM dense GROUP BY 1) l ON l.source_id = h.source_id WHERE category = 'payoff_candidate' AND "end" - start BETWEEN 6 AND 22 AND "end" <= d + 0.5
+        AND NOT EXISTS (SELECT 1 FROM ps p WHERE p.source_id = h.source_id AND p.plan_id = h.plan_id AND r.start < p.e + 1 AND r."end" > p.s - 1)),
+      alt AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source_id, plan_id ORDER BY m, score DESC, id) = 1)
+    SELECT p.source_id, p.plan_id, seg_no, alt.id AS alt_id, round(CASE WHEN seg_no = 1 THEN coalesce(alt.start, s) ELSE s END, 3) AS s, round(CASE WHEN seg_no = 1 THEN coalesce(alt."end", e) ELSE e END, 3) AS e FROM ps p LEFT JOIN alt USING (source_id, plan_id)""",
     (DENSE, MOTIF),
 )
 def _(spark, sf):
@@ -181,7 +182,10 @@ def _(spark, sf):
     top = d.filter("score >= 9")
     p = top.select("source_id", F.col("clip_id").alias("plan_id"), F.lit(0).alias("seg_no"), F.col("start").alias("s"), F.col("end").alias("e")).unionByName(
         top.select("source_id", F.col("clip_id").alias("plan_id"), F.lit(1).alias("seg_no"), (F.col("end") + 300).alias("s"), (F.col("end") + 330).alias("e")))
-    return C.alternate_payoff(p, r).select("source_id", "plan_id", "alt_id")
+    length = d.groupBy("source_id").agg((F.max("end") * 0.8).alias("duration"))
+    alt = C.alternate_payoff(p, r, length)
+    swapped = C.swap_payoff(p, alt).join(alt.select("source_id", "plan_id", "alt_id"), ["source_id", "plan_id"], "left")
+    return swapped.select("source_id", "plan_id", "seg_no", "alt_id", F.round("s", 3).alias("s"), F.round("e", 3).alias("e"))
 
 
 @query(
