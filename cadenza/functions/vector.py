@@ -43,6 +43,6 @@ def centroid(df: DataFrame, key: list[str], vec: str, out: str = "centroid", dim
         v = v.filter(F.size(vec) == dim)
     cells = v.select(*key, F.posexplode(vec).alias("_i", "_x"))
     means = cells.groupBy(*key, "_i").agg(F.avg("_x").alias("_m"))
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"])
+    arr = F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"])
     out_df = means.groupBy(*key).agg(arr.alias(out))
     return out_df.withColumn(out, F.when(norm(F.col(out)) >= 1e-9, F.col(out)))

@@ -79,7 +79,7 @@ def thematic_plans(
     seg = F.struct("_part", "_k", F.col("n_start").alias("s"), F.col("n_end").alias("e"))
     g = i.groupBy(*key).agg(
         F.max(F.col("_part") == 0).alias("_h"), F.max(F.col("_part") == 2).alias("_p"), F.avg("score").alias("score"),
-        F.array_sort(F.collect_list(F.when(F.col("n_start").isNotNull(), seg))).alias("_s"),
+        F.sort_array(F.collect_list(F.when(F.col("n_start").isNotNull(), seg))).alias("_s"),
     ).filter("_h and _p and size(_s) >= 2")
     g = g.withColumn("segs", F.transform("_s", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
     total = F.aggregate("segs", F.lit(0.0), lambda a, x: a + x["e"] - x["s"])

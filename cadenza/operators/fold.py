@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.operators.ordered import BLOCK, block_count, carried, lag, ordered_blocks
-from cadenza.session import materialize
+from cadenza.session import materialize, materialize_by
 
 
 def fold_small(
@@ -32,7 +32,7 @@ def fold_small(
     out: str = "folded",
 ) -> DataFrame:
     """One row per group with the folded state. The group's rows travel as one array."""
-    rows = F.array_sort(F.collect_list(F.struct(*order, *[c for c in cols if c not in order])))
+    rows = F.sort_array(F.collect_list(F.struct(*order, *[c for c in cols if c not in order])))
     folded = F.aggregate(F.col("_rows"), init, step, finish) if finish else F.aggregate(F.col("_rows"), init, step)
     return df.groupBy(*key).agg(rows.alias("_rows")).withColumn(out, folded).drop("_rows")
 
@@ -65,7 +65,8 @@ def fold_ordered(
     flag = F.col("_has").isNull()
     if resets is not None:
         flag = flag | F.coalesce(resets(c), F.lit(False))
-    t = materialize(c.withColumn("_reset", flag).select(BLOCK, *dict.fromkeys([*key, *order, *cols]), "_reset"))
+    # a round reads the folders of the blocks that are ready
+    t = materialize_by(c.withColumn("_reset", flag).select(BLOCK, *dict.fromkeys([*key, *order, *cols]), "_reset"), BLOCK)
 
     # one row per block: does it start with rows that depend on its left neighbour?
     heads = {

@@ -113,7 +113,7 @@ def token_buckets(items: DataFrame, id: str, key: str, tokens: str, threshold: f
     rare = (
         long.join(freq, "_t")
         .groupBy("_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias("_sorted"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_f", "_t"))), lambda x: x["_t"]).alias("_sorted"))
     )
     out = items.join(rare.withColumnRenamed("_id", id), id, "left")
     return out.withColumn(

@@ -198,7 +198,7 @@ def words_text(words: DataFrame, spans: DataFrame, ids, span, *, mode: str = "st
     j = overlap_join(words.select("source_id", "pos", "word", "start", "end"), spans.select(*ids, s, e), ["source_id"], ("start", "end"), span, width=width, closed=True)
 
     def text(cond):
-        got = F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "word"))))
+        got = F.sort_array(F.collect_list(F.when(cond, F.struct("pos", "word"))))
         return F.array_join(F.transform(got, lambda x: x["word"]), " ")
 
     if label is None:

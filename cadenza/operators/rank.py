@@ -96,7 +96,7 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | N
     queries = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     parts = []
     for i in range(blocks):
-        packed = queries.filter(F.col("_blk") == i).agg(F.array_sort(F.collect_list(F.struct("query_id", "qv"))).alias("_q"))
+        packed = queries.filter(F.col("_blk") == i).agg(F.sort_array(F.collect_list(F.struct("query_id", "qv"))).alias("_q"))
         j = items.withColumn("_q", F.explode(packed.scalar()))
         parts.append(j.select(F.col("_q.query_id").alias("query_id"), "item_id", cosine(F.col("v"), F.col("_q.qv")).alias("cos")))
     j = parts[0]

@@ -37,7 +37,7 @@ def sessionize(words: DataFrame, gap: float = 0.75, max_span: float | None = 20.
 def session_table(sessions: DataFrame, text: bool = False) -> DataFrame:
     aggs = [F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_words")]
     if text:
-        words = F.array_sort(F.collect_list(F.struct("pos", "word")))
+        words = F.sort_array(F.collect_list(F.struct("pos", "word")))
         aggs.append(F.array_join(F.transform(words, lambda x: x["word"]), " ").alias("text"))
     return sessions.groupBy("source_id", "session").agg(*aggs)
 
@@ -251,7 +251,7 @@ def merge_groups(segs: DataFrame, key=("source_id", "arc_no"), *, target=PLAN_TA
     )
     fields = ["i0", "i1", "dur", "dev", "opening", "closing"]
     arr = F.transform(
-        F.array_sort(F.collect_list(F.struct("grp", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])
+        F.sort_array(F.collect_list(F.struct("grp", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])
     )
     t = "array<struct<i0:bigint,i1:bigint,dur:double,dev:bigint,opening:boolean,closing:boolean>>"
 
@@ -495,7 +495,7 @@ def chapters(bounds: DataFrame, duration: DataFrame, ends: DataFrame, *, shortes
     key = list(key)
     d = duration.select(*key, "duration")
     pts = bounds.select(*key, "at", "confidence")
-    arr = F.array_sort(F.collect_list(F.struct("at", "confidence")))
+    arr = F.sort_array(F.collect_list(F.struct("at", "confidence")))
     g = d.join(pts.groupBy(*key).agg(arr.alias("_b")), key, "left")
     t = "array<struct<s:double,e:double,c:double>>"
     last = F.struct(F.col("duration").alias("at"), F.when(F.size("_b") > 0, F.lit(0.6)).otherwise(F.lit(0.7)).alias("confidence"))

@@ -77,7 +77,7 @@ def coverage_summary(ev: DataFrame, agents: Sequence[str], strong: float = 0.6,
         .withColumn("_k", F.row_number().over(w))
         .filter("_k <= 2")
         .groupBy(*key)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "id"))), lambda s: s["id"].cast("string")), ",").alias("strong_ids"))
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "id"))), lambda s: s["id"].cast("string")), ",").alias("strong_ids"))
     )
     dominant = (
         ev.groupBy(*key, F.col(theme).alias("_th")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= themes_min)
@@ -121,7 +121,7 @@ def selection_stats(clips: DataFrame, duration: DataFrame) -> DataFrame:
     entry = F.concat_ws(":", "topic", F.col("_n").cast("string"))
     hist = hist.groupBy("source_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("a"), "topic", entry.alias("e")))), lambda s: s["e"]), ","
+            F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("a"), "topic", entry.alias("e")))), lambda s: s["e"]), ","
         ).alias("topics")
     )
     out = agg.join(med, "source_id").join(hist, "source_id").join(duration, "source_id")
@@ -235,12 +235,12 @@ def episodes(moments: DataFrame, duration: DataFrame, target: float = 600.0, min
     w = Window.partitionBy(*key).orderBy(F.desc("strength"), "id")
     top = m.select(*key, "strength", "id", "line").withColumn("_k", F.row_number().over(w)).filter("_k <= 3")
     top = top.groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "line"))), lambda s: s["line"]), " | ").alias("summary")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "line"))), lambda s: s["line"]), " | ").alias("summary")
     )
     th = m.groupBy(*key, "theme").agg(F.max("strength").alias("_s"))
     w2 = Window.partitionBy(*key).orderBy(F.desc("_s"), "theme")
     th = th.withColumn("_k", F.row_number().over(w2)).filter("_k <= 5").groupBy(*key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "theme"))), lambda s: s["theme"]), ",").alias("themes")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "theme"))), lambda s: s["theme"]), ",").alias("themes")
     )
     return base.join(top, key).join(th, key)
 

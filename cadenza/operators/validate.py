@@ -230,7 +230,7 @@ def chunk_diagnostics(chunks: DataFrame, raw: DataFrame, valid: DataFrame) -> Da
     v = valid.groupBy(*key, "score").agg(F.count(F.lit(1)).alias("_n"))
     v = v.groupBy(*key).agg(
         F.sum("_n").alias("valid_items"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("score", "_n"))), lambda x: F.concat_ws(":", x["score"].cast("int").cast("string"), x["_n"].cast("string"))), ",").alias("scores"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("score", "_n"))), lambda x: F.concat_ws(":", x["score"].cast("int").cast("string"), x["_n"].cast("string"))), ",").alias("scores"),
     )
     out = chunks.join(r, key, "left").join(v, key, "left")
     return out.fillna({"raw_items": 0, "valid_items": 0, "scores": "", "error": ""})

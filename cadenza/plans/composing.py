@@ -84,7 +84,7 @@ def short_plans(spark, sf):
     a = a.withColumn("dur", F.col("dur") * (1 + F.col("arc_no") % 3) / 8)
     g = a.groupBy("source_id", "arc_no").agg(
         F.min("id").alias("id"),
-        F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "start", "dur"))), lambda x: F.struct(x["start"].alias("s"), (x["start"] + x["dur"]).alias("e"))).alias("segs"),
+        F.transform(F.sort_array(F.collect_list(F.struct("seg_no", "start", "dur"))), lambda x: F.struct(x["start"].alias("s"), (x["start"] + x["dur"]).alias("e"))).alias("segs"),
     )
     return g.join(d, "source_id").withColumn("plan_id", F.col("id"))
 

@@ -51,7 +51,7 @@ def _(spark, sf):
     d = d.withColumns({"segments": seg, "words": F.when(F.col("source_id") % 2 == 0, F.col("w")).otherwise(F.slice("w", 1, 0))}).drop("w")
     d.write.json(path)
     w, _segs = R.read_transcripts(spark, path)
-    words = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    words = F.sort_array(F.collect_list(F.struct("pos", "word")))
     return w.groupBy("source_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"), F.md5(F.array_join(F.transform(words, lambda x: x["word"]), " ")).alias("digest")
     )
@@ -68,7 +68,7 @@ def _(spark, sf):
     d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("source_id"), "text", _doc_words().alias("w"))
     # sentence spans: the first word of a sentence up to just before the next one's
     s = T.sentences(spark, sf)
-    spans = s.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("end") + 0.05).alias("end")))).alias("sp"))
+    spans = s.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("end") + 0.05).alias("end")))).alias("sp"))
     d = d.join(spans, "source_id")
     none = F.array()
     para = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.transform("sp", lambda x: F.struct(F.lit("s").alias("text"), x["start"].alias("start"), x["end"].alias("end"))).alias("sentences")))
@@ -319,7 +319,7 @@ def _(spark, sf):
     """
     w = T.words(spark, sf, extra=("source", "lang"))
     s = G.sessionize(w, max_span=None)
-    rows = F.array_sort(F.collect_list(F.struct("pos", "word")))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "word")))
     p = s.groupBy("source_id", "session", "source", "lang").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n_words"), F.array_join(F.transform(rows, lambda x: x["word"]), " ").alias("text")
     )

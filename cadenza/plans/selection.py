@@ -89,7 +89,7 @@ def plans(spark, sf):
     s = F.round(F.col("start") / 20, 3)
     seg = F.struct("clip_id", s.alias("s"), F.round(s + F.col("end") - F.col("start"), 3).alias("e"))
     p = d.groupBy("source_id", F.floor((F.col("_i") - 1) / 2).alias("p")).agg(
-        F.min("clip_id").alias("plan_id"), F.avg("score").alias("score"), F.array_sort(F.collect_list(seg)).alias("_s")
+        F.min("clip_id").alias("plan_id"), F.avg("score").alias("score"), F.sort_array(F.collect_list(seg)).alias("_s")
     )
     return p.withColumn("segs", F.transform("_s", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))).drop("_s", "p")
 

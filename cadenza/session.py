@@ -58,3 +58,11 @@ def materialize(df: DataFrame) -> DataFrame:
     path = os.path.join(durable_dir(spark), f"cadenza-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_by(df: DataFrame, column: str) -> DataFrame:
+    """:func:`materialize` with one folder per value of ``column``: a filter on it reads those folders only."""
+    spark = df.sparkSession
+    path = os.path.join(durable_dir(spark), f"cadenza-{uuid.uuid4().hex}")
+    df.repartition(column).write.partitionBy(column).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
