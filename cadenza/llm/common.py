@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, remembered; emptied when full, so a worker's memory stays bounded."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -67,7 +67,7 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         s = np.full(n, k, np.uint64)
         for i in range(k):
-            s += mix64(h[i : i + n] + _K[i % 8]) * (_K[i % 8] + np.uint64(2 * (i // 8)))
+            s += h[i : i + n] * (_K[i % 8] + np.uint64(2 * (i // 8)))  # word hashes are mixed already
     return mix64(s)
 
 
@@ -78,8 +78,11 @@ def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(gram_hashes(h, min(k, len(h))))
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that what a task derives from one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -142,7 +145,3 @@ def boxed(df: DataFrame, **more: Column) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
