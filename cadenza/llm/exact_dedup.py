@@ -112,8 +112,9 @@ def exact_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text")
     ids = identify(recipes(df, key=key, text=text))
     first = F.min(F.struct(F.col("_key").isNull().alias("z"), F.col("_key").alias("k"), F.col("_row").alias("r")))
     groups = ids.groupBy("ids").agg(first.alias("f"), F.count(F.lit(1)).alias("group_size"))
-    many = groups.filter("group_size > 1")
-    out = ids.join(many, "ids", "left")
+    # only groups of several rows are looked up: a hot one stays where its rows are while the groups fit a broadcast
+    many = materialize(groups.filter("group_size > 1"))
+    out = ids.join(small_side(many), "ids", "left")
     alone = F.col("f").isNull()
     return out.select(
         F.col("_key").alias(key),
