@@ -603,6 +603,37 @@ def test_repeated_passages(spark, odd, empty):
     assert len(cut[8].text.split()) < len(rows[8][1].split()) - 50
 
 
+def test_two_passages_of_a_pair_do_not_erase_each_other(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i, gap in enumerate([30, 100, 300, 1000]):
+        head, foot = prose(rng, 60), prose(rng, 60)
+        for j in (0, 1):
+            rows.append((2 * i + j, " ".join([prose(rng, 7), head, prose(rng, gap), foot, prose(rng, 9)])))
+        want[2 * i + 1] = [(7, 67), (67 + gap, 127 + gap)]
+    hit = collections.defaultdict(list)
+    for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.other == r.doc_id - 1 and r.agree >= 0.8 * max(r.end - r.start, r.other_end - r.other_start)
+        hit[r.doc_id].append((r.start, r.end))
+    for d, places in want.items():
+        for a, b in places:
+            assert any(s <= a + 3 and e >= b - 3 for s, e in hit[d]), (d, hit[d])
+        if d > 1:
+            assert len(hit[d]) == 2
+
+
+def test_parts_of_a_chain():
+    a = np.arange(1000, dtype=np.uint32)
+    b = a.copy()
+    b[60:160] += 5000  # two exact runs, and one of which every tenth word differs
+    b[400:800] += 7000
+    b[800::10] += 9000
+    x = np.array([3, 30, 52, 160, 300, 391, 811, 991])
+    parts = passages.split(x, x, a, b, 50, 0.8)
+    assert [(s, e) for s, e, *_ in parts] == [(0, 60), (160, 400), (801, 1000)]
+    assert all(n >= 0.8 * (e - s) and (s, e) == (rs, re_) for s, e, rs, re_, n in parts)
+
+
 def test_keys_that_are_no_numbers(spark):
     rng = random.Random(1)
     p = prose(rng, 80)
