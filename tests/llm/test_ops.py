@@ -456,6 +456,26 @@ def test_quality_on_held_out_labels(spark, sf):
     assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.35 * len(bad)
 
 
+def test_few_trusted_texts_do_not_reject_a_language(spark):
+    rng = random.Random(21)
+    # trusted texts per language: xx and null rows have one, yy just enough for a model of its own
+    trusted = [("en", 120, 100), ("xx", 1, 4), (None, 1, 4), ("yy", quality.LEAST_TRUSTED, 8)]
+    rows, lab, clean = [], [], set()
+    for lang, n, size in trusted:
+        for i in range(n + 20):
+            rows.append((len(rows), prose(rng, size if i < n else 60), lang))
+            if i < n:
+                lab.append((rows[-1][0], 1, 0))
+            else:
+                clean.add(rows[-1][0])
+    junk = len(rows)
+    rows += [(junk + i, "#%&~=" * 60, lang) for i, (lang, *_) in enumerate(trusted)]
+    got = pydict(quality.classify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(lab, "doc_id long, quality int, toxic int")))
+    lost = collections.Counter(got[i].lang for i in clean if not got[i].keep)
+    assert not lost, lost
+    assert not any(got[i].keep for i in range(junk, len(rows)))
+
+
 def test_quality_odd_rows(spark, odd, empty, labels):
     got = quality.classify(odd, labels).collect()
     assert len(got) == odd.count()
