@@ -105,6 +105,20 @@ def _round_level(seed: int, last: bool):
     return run
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Add _nth: 0, or a number from 1 on among rows that share address and source; 256 parts of such a group are numbered apart."""
+    docs = docs.withColumn("_same", F.xxhash64("_addr", "source", F.col("source").isNull())).withColumn("_part", F.pmod("_row", F.lit(256)))
+    part = docs.filter("size > 0").groupBy("_same", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    group = Window.partitionBy("_same")
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = materialize(part.withColumn("_all", F.sum("_c").over(group)).withColumn("_before", before).filter("_all > 1").select("_same", "_part", "_before"))
+    if part.isEmpty():
+        return docs.drop("_same", "_part").withColumn("_nth", F.lit(0).cast("long"))
+    at = F.row_number().over(Window.partitionBy("_same", "_part").orderBy("_row"))
+    many = docs.filter("size > 0").join(small_side(part), ["_same", "_part"]).select("_row", (F.col("_before") + at).cast("long").alias("_nth"))
+    return docs.drop("_same", "_part").join(small_side(materialize(many)), "_row", "left").withColumn("_nth", F.coalesce("_nth", F.lit(0).cast("long")))
+
+
 def _mixed(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: float = 3.0, seed: int = 1) -> DataFrame:
     docs = materialize(df.select(F.col(key).alias("_key"), F.monotonically_increasing_id().alias("_row"), F.xxhash64(F.col(key), F.col(text)).alias("_addr"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
     stats = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("_n"))
@@ -113,7 +127,9 @@ def _mixed(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: st
     goal = materialize(goal.join(stats.select(F.col("source").alias("_s"), "_n"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
     sized = docs.withColumnRenamed("source", "_s").join(goal, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
-    tag = F.xxhash64(F.col("_key"), F.col("size"), F.col("_row"))
+    # what is drawn hangs on the rows alone, not on how a scan was split: only equal rows are numbered
+    sized = _numbered(sized)
+    tag = F.xxhash64(F.col("_key"), F.col("size"), F.col("_addr"), F.col("_nth"))
     leaves = F.greatest(F.lit(1), F.ceil(F.col("_n") / LEAF)).cast("long")
     sized = materialize(
         sized.select(
@@ -161,8 +177,8 @@ def take(df: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     by = materialize(m.groupBy("_addr").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n")).filter("c > 0"))
     x = boxed(df, _addr=F.xxhash64(F.col(key), F.col(text))).join(small_side(by), "_addr")
     if not by.filter("n > 1").isEmpty():
-        # the i-th of n equal rows
-        turn = F.row_number().over(Window.partitionBy("_addr").orderBy("_addr"))
+        # the i-th of n rows with equal key and text, in an order that hangs on their columns
+        turn = F.row_number().over(Window.partitionBy("_addr").orderBy(F.xxhash64("box")))
         many = x.filter("n > 1").withColumn("i", turn).withColumn("c", F.floor(F.col("c") / F.col("n")) + (F.col("i") <= F.col("c") % F.col("n")).cast("long")).drop("i")
         x = x.filter("n = 1").unionByName(many).filter("c > 0")
     return x.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c")))).select("box.*")

@@ -284,6 +284,18 @@ def test_mix(spark, odd, empty):
     assert c == {r.doc_id: r.copies for r in got if r.copies}
 
 
+def test_draws_do_not_hang_on_how_a_scan_is_split(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice("abc")) for i in range(600)]
+    rows += [rows[5]] * 9 + [(7, rows[7][1], "b"), (7, rows[7][1], "c"), (None, "same text", None), (None, "same text", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [df.repartition(n) for n in (2, 7)]
+    a, b = (sorted(map(str, mixing.mix(x).collect())) for x in runs)
+    assert a == b
+    a, b = (sorted(map(str, mixing.take(x).collect())) for x in runs)
+    assert a == b
+
+
 def test_pivot_is_unbiased_and_keeps_the_sum():
     rng = random.Random(8)
     size = [rng.randrange(1, 50) for _ in range(40)]
