@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import exact_dedup, jaccard_join, mixing, passages, pieces, pii, quality, secrets, sharding, vantage
+from cadenza.llm import decontam, exact_dedup, jaccard_join, mixing, passages, pieces, pii, quality, secrets, sharding, vantage
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,26 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 @query("op4_piece_lattice")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf, "documents"), pieces.load_model(model_path()))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op13_winnowing_decontamination",
+    f"""
+WITH dw AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+win AS MATERIALIZED (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS t FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS i FROM iw)),
+spots AS (SELECT r, m, i, array_to_string(w[i:i + m - 1], ' ') AS t FROM (
+  SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM dw, (SELECT DISTINCT m FROM win) WHERE len(w) >= m)),
+met AS MATERIALIZED (SELECT r, i, m, item_id FROM spots JOIN win USING (m, t)),
+cover AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM met) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS d FROM (SELECT DISTINCT r, item_id::VARCHAR AS x FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(d, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
+""",
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
