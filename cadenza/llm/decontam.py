@@ -3,7 +3,7 @@
 A text's fingerprints are the smallest hash of every ``WINDOW`` consecutive k-grams of words. Two texts that share
 ``WINDOW + GRAM - 1`` = 10 words in a row have the same hashes there, hence share the smallest of them: no span of that length is missed.
 Fingerprints of documents meet the distinct ones of the benchmark (a semi-join: no fan-out, however common a phrase is), and what is
-left is extended: a fingerprint carries the hashes of the words around it, which give the spans of ten words that it lies in, and these
+left is extended: a fingerprint carries the hashes of the spans of ten words that it lies in, and these
 meet the benchmark's distinct spans. Items of fewer than ten words are spans themselves, looked up by their own length.
 
 Words are compared by 64-bit hashes, spans by a hash of those.
@@ -17,16 +17,25 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import small_side
 from cadenza.session import materialize
 
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_BESIDE = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 SPAN, GRAM = 10, 6
 WINDOW = SPAN - GRAM + 1
 HIT_ROWS = 200_000  # hit documents (about 130 bytes each) that a broadcast may carry; more are joined by a shuffle
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LONGS = "array<bigint>"
 
 
 def terms(text: Column) -> Column:
     """Words of a text with A-Z in lower case; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), F.lit(0))
+    body = F.btrim(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(_BESIDE))
+    return _let(body, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SEPARATORS)))
+
+
+def word_count(text: Column) -> Column:
+    body = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
+    # only the first and the last part can be empty
+    return _let(body, lambda w: (F.size(w) - F.when(F.element_at(w, 1) == "", 1).otherwise(0) - F.when((F.size(w) > 1) & (F.element_at(w, -1) == ""), 1).otherwise(0)).cast("long"))
 
 
 def _let(value: Column, body) -> Column:
@@ -34,60 +43,61 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _positions(n: Column, k: int) -> Column:
-    """0 to n - k; empty if there is none."""
-    return F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-
-
 def word_hashes(text: Column) -> Column:
     return F.transform(terms(text), lambda w: F.xxhash64(w))
 
 
-def span_hash(words: Column) -> Column:
-    return F.xxhash64(words)
+def _run(a: Column, x: Column, i: Column, k: int) -> list[Column]:
+    """x, the element i of a, and the k - 1 elements after it; single elements, as a slice copies its whole array first."""
+    return [x, *[F.get(a, i + d) for d in range(1, k)]]
 
 
-def fingerprints(h: Column) -> Column:
-    """array of (fp, at, ctx, left): hash and position of every k-gram that is the smallest of some window.
+def grams(h: Column, k: int) -> Column:
+    """Hash of the k words from each position on; the last k - 1 have too few words and mean nothing."""
+    return F.transform(h, lambda x, i: F.xxhash64(*_run(h, x, i, k)))
 
-    ``ctx`` are the word hashes from ``left`` words before the k-gram to as many after it as a span of ten can reach.
-    Of equal smallest hashes in a window all are kept, so the guarantee holds for repeating words too.
-    """
 
-    def chosen(g: Column, m: Column) -> Column:
-        # the largest minimum of the windows around a k-gram is its own hash exactly if it is the minimum of one of them
-        last = F.size(m)
+def _span(g: Column, i: Column) -> Column:
+    """Hash of the ten words from position i on, from their first and last k-gram."""
+    return F.xxhash64(F.get(g, i), F.get(g, i + (WINDOW - 1)))
 
-        def kept(i: Column) -> Column:
-            lo = F.greatest(i - (WINDOW - 1), F.lit(0))
-            return F.get(g, i) == F.array_max(F.slice(m, lo + 1, F.least(i + 1, last) - lo))
 
-        def one(i: Column) -> Column:
-            left = F.least(i, F.lit(WINDOW - 1))
-            return F.struct(F.get(g, i).alias("fp"), i.alias("at"), F.slice(h, i - left + 1, left + GRAM + WINDOW - 1).alias("ctx"), left.alias("left"))
+_PRINTS = "array<struct<fp:bigint,at:int,spans:array<bigint>>>"
 
-        return F.when(last > 0, F.transform(F.filter(F.sequence(F.lit(0), F.size(g) - 1), kept), one))
 
-    grams = F.transform(_positions(F.size(h), GRAM), lambda i: F.xxhash64(F.slice(h, i + 1, GRAM)))
-    return _let(grams, lambda g: _let(F.transform(_positions(F.size(g), WINDOW), lambda j: F.array_min(F.slice(g, j + 1, WINDOW))), lambda m: chosen(g, m)))
+def fingerprints(h: Column) -> Column:
+    """array of (fp, at, spans): the smallest k-gram hash of every window, where windows go on to another k-gram only.
 
+    Of equal smallest hashes the last one counts. ``at`` is the first window that has this k-gram, ``spans`` are the hashes of the spans from
+    there on that can have it: five windows hold a k-gram; beyond the end of the text they are null. Fewer than ten words have no window.
+    """
 
-def spans_around(at: Column, ctx: Column, left: Column) -> Column:
-    """array of (span, start): the spans of ten words within ``ctx``, all of which hold its k-gram."""
-    return F.transform(_positions(F.size(ctx), SPAN), lambda i: F.struct(span_hash(F.slice(ctx, i + 1, SPAN)).alias("span"), (at - left + i).alias("start")))
+    def chosen(v: Column, g: Column, m: Column) -> Column:
+        last = F.size(v) - SPAN
+        # a window has another k-gram than the one before if its last is not above the earlier minimum, or if that minimum left it
+        fresh = lambda i: (i == 0) | (F.get(g, i + (WINDOW - 1)) <= F.get(m, i - 1)) | (F.get(m, i) > F.get(m, i - 1))
+        spans = lambda i: F.array(_span(g, i), *[F.when(i + d <= last, _span(g, i + d)) for d in range(1, WINDOW)])
+        one = lambda i: F.struct(F.get(m, i).alias("fp"), i.alias("at"), spans(i).alias("spans"))
+        return F.transform(F.filter(F.sequence(F.lit(0), last), fresh), one)
 
+    def least(v: Column, g: Column) -> Column:
+        return _let(F.transform(g, lambda x, i: F.least(*_run(g, x, i, WINDOW))), lambda m: chosen(v, g, m))
 
-def _all_spans(h: Column, m: int) -> Column:
-    return F.transform(_positions(F.size(h), m), lambda i: F.struct(span_hash(F.slice(h, i + 1, m)).alias("span"), i.alias("start")))
+    return _let(h, lambda v: F.when(F.size(v) >= SPAN, _let(grams(v, GRAM), lambda g: least(v, g))).otherwise(F.array().cast(_PRINTS)))
 
 
 def benchmark_spans(benchmark: DataFrame, *, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (item, m, span) of all items, m being the words of a span: ten, or all of a shorter item. Items without words have none."""
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), word_hashes(F.col(text)).alias("h"))
-    n = F.size("h")
-    short = F.transform(F.array(F.col("h")), lambda w: span_hash(w))
-    spans = F.when(n >= SPAN, F.transform(_positions(n, SPAN), lambda i: span_hash(F.slice("h", i + 1, SPAN)))).when(n > 0, short)
-    return rows.select("item", F.least(n, F.lit(SPAN)).alias("m"), F.explode(spans).alias("span")).distinct()
+
+    def spans(h: Column) -> Column:
+        whole = lambda g: F.transform(F.sequence(F.lit(0), F.size(g) - SPAN), lambda i: _span(g, i))
+        out = F.when(F.size(h) >= SPAN, F.struct(F.lit(SPAN).alias("m"), _let(grams(h, GRAM), whole).alias("spans")))
+        for k in range(1, SPAN):
+            out = out.when(F.size(h) == k, F.struct(F.lit(k).alias("m"), F.slice(grams(h, k), 1, 1).alias("spans")))
+        return out
+
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), _let(word_hashes(F.col(text)), spans).alias("s")).filter("s is not null")
+    return rows.select("item", F.col("s.m").alias("m"), F.explode("s.spans").alias("span")).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -103,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     sets = found.sets.groupBy("set").agg(F.count_distinct("item").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"))
     hits = materialize(found.hits.drop("spans").join(sets, "set", "left"))
     hits = small_side(hits.withColumnRenamed("_key", "_hk").withColumnRenamed("_addr", "_ha"), most=HIT_ROWS)
-    rows = docs.select(F.col(key).alias("_key"), _address(text).alias("_addr"), F.regexp_count(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), F.lit(TERM)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(key).alias("_key"), _address(text).alias("_addr"), word_count(F.col(text)).alias("n_words"))
     j = rows.join(hits, (rows["_addr"] == F.col("_ha")) & rows["_key"].eqNullSafe(F.col("_hk")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     none = F.sha2(F.lit("").cast("binary"), 256)
@@ -130,21 +140,21 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
     classes = materialize(of.select("m", "span", F.xxhash64("c", "s1", "s2").alias("cls")))
     rows = docs.select(F.col(key).alias("_key"), _address(text).alias("_addr"), F.col(text).alias("_text"))
 
-    # read once: fingerprints and, if the benchmark has short items, spans of their lengths
+    # texts are read once: for fingerprints and, if the benchmark has short items, for runs of their lengths
     def tagged(h: Column) -> Column:
-        parts = [F.transform(_all_spans(h, m), lambda x, m=m: F.struct(F.lit(m).alias("m"), x["span"].alias("fp"), x["start"].alias("at"), F.lit(None).cast("array<bigint>").alias("ctx"), F.lit(0).alias("left"))) for m in lengths if m < SPAN]
+        tag = lambda m, fp, at, spans: F.struct(F.lit(m).alias("m"), fp.alias("fp"), at.alias("at"), spans.alias("spans"))
+        none = F.array().cast(f"array<struct<m:int,fp:bigint,at:int,spans:{_LONGS}>>")
+        parts = [F.when(F.size(h) >= m, F.transform(F.slice(grams(h, m), 1, F.size(h) - (m - 1)), lambda x, i, m=m: tag(m, x, i, F.array(x)))).otherwise(none) for m in lengths if m < SPAN]
         if SPAN in lengths:
-            empty = F.array().cast("array<struct<fp:bigint,at:int,ctx:array<bigint>,left:int>>")
-            parts.append(F.transform(F.coalesce(fingerprints(h), empty), lambda x: F.struct(F.lit(SPAN).alias("m"), x["fp"].alias("fp"), x["at"].alias("at"), x["ctx"].alias("ctx"), x["left"].alias("left"))))
-        return F.concat(*parts) if parts else F.array().cast("array<struct<m:int,fp:bigint,at:int,ctx:array<bigint>,left:int>>")
+            parts.append(F.transform(fingerprints(h), lambda x: tag(SPAN, x["fp"], x["at"], x["spans"])))
+        return F.concat(none, *parts)
 
     prints = rows.select("_key", "_addr", F.explode(_let(word_hashes(F.col("_text")), tagged)).alias("f")).select("_key", "_addr", "f.*")
-    known = benchmark.select(word_hashes(F.col(item_text)).alias("h")).select(F.explode(fingerprints(F.col("h"))).alias("f")).select(F.lit(SPAN).alias("m"), F.col("f.fp").alias("fp"))
+    known = benchmark.select(F.explode(fingerprints(word_hashes(F.col(item_text)))).alias("f")).select(F.lit(SPAN).alias("m"), F.col("f.fp").alias("fp"))
     known = materialize(known.unionByName(classes.filter(F.col("m") < SPAN).select("m", F.col("span").alias("fp"))).distinct())
     near = prints.join(small_side(known), ["m", "fp"], "left_semi")
-    # extension: the spans around a fingerprint; a short item's span is what was looked up
-    around = F.when(F.col("m") == SPAN, spans_around(F.col("at"), F.col("ctx"), F.col("left"))).otherwise(F.array(F.struct(F.col("fp").alias("span"), F.col("at").alias("start"))))
-    at = near.select("_key", "_addr", "m", F.explode(around).alias("x")).select("_key", "_addr", "m", "x.span", "x.start")
+    # extension: the spans that hold a fingerprint; the span of a short item is what was looked up
+    at = near.select("_key", "_addr", "m", "at", F.posexplode("spans").alias("i", "span")).filter("span is not null").select("_key", "_addr", "m", "span", (F.col("at") + F.col("i")).alias("start"))
     met = at.join(small_side(classes), ["m", "span"])
     # per document: covered words, and the classes of its spans
     step = lambda acc, x: F.struct(F.greatest(acc["end"], x["end"]).alias("end"), (acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["end"]), F.lit(0))).alias("n"))
