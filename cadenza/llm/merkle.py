@@ -1,7 +1,7 @@
 """Merkle manifest of a table in a van Emde Boas layout.
 
 Rows are the leaves of one ternary tree per group, in the order of their keys; the groups' roots are the leaves of a top tree. A tree is
-cut into aligned blocks of ``HEIGHT`` levels: leaves 729 b to 729 b + 728 form block b, whose root is leaf b of the next level of
+cut into aligned blocks of ``HEIGHT`` levels: of height six, leaves 729 b to 729 b + 728 form block b, whose root is leaf b of the next level of
 blocks, and so on to one root. A block is stored as one binary value in which its own levels are split recursively at half height, the top part
 first and then the parts below it from left to right; ``address`` computes where a node lies, so construction and the
 retrieval of siblings need no pointers and touch few lines of memory whatever their size.
@@ -26,7 +26,6 @@ from cadenza.session import materialize
 
 ARITY = 3
 HEIGHT = 6  # levels of edges in a block: 729 leaves, 1093 nodes
-LEAVES = ARITY**HEIGHT
 DIGEST = 32
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -57,10 +56,10 @@ def _addresses(levels: int) -> list[np.ndarray]:
     return [address(d, np.arange(ARITY**d), levels) for d in range(levels)]
 
 
-def levels_above(n: int) -> int:
+def levels_above(n: int, height: int) -> int:
     """Steps from n nodes to one, at most a block's height."""
     k = 0
-    while n > 1 and k < HEIGHT:
+    while n > 1 and k < height:
         n, k = -(-n // ARITY), k + 1
     return k
 
@@ -145,46 +144,50 @@ class Forest:
 
     levels: list[DataFrame]
     roots: DataFrame  # (group, root)
+    leaves: int  # most leaves of a block
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 16):
-        steps, trees, roots = [], [], []
-        for of, rows in zip(b.column("_n").to_pylist(), b.column("rows").to_pylist()):
-            k = levels_above(of)
-            t = build([r["digest"] for r in rows], k)
-            steps.append(k)
-            trees.append(t)
-            roots.append(node(t, k, 0, 0))
-        more = {"steps": pa.array(steps, pa.int32()), "tree": pa.array(trees, pa.binary()), "root": pa.array(roots, pa.binary())}
-        yield pa.RecordBatch.from_arrays([*b.columns, *more.values()], [*b.schema.names, *more])
+def _blocks(height: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 16):
+            steps, trees, roots = [], [], []
+            for of, rows in zip(b.column("_n").to_pylist(), b.column("rows").to_pylist()):
+                k = levels_above(of, height)
+                t = build([r["digest"] for r in rows], k)
+                steps.append(k)
+                trees.append(t)
+                roots.append(node(t, k, 0, 0))
+            more = {"steps": pa.array(steps, pa.int32()), "tree": pa.array(trees, pa.binary()), "root": pa.array(roots, pa.binary())}
+            yield pa.RecordBatch.from_arrays([*b.columns, *more.values()], [*b.schema.names, *more])
+
+    return run
 
 
-def forest(leaves: DataFrame, counts: DataFrame, group: str, payload: Sequence[str] = ()) -> Forest:
+def forest(leaves: DataFrame, counts: DataFrame, group: str, payload: Sequence[str] = (), height: int = HEIGHT) -> Forest:
     """Trees over (group, ``_pos``, digest); ``payload`` columns stay beside their leaf in the blocks of the first level."""
     kind = leaves.schema[group].dataType.simpleString()
-    levels = []
+    levels, most = [], ARITY**height
     counts = materialize(counts)
     while True:
         one = F.struct("_pos", "digest", *payload)
-        g = leaves.groupBy(group, F.floor(F.col("_pos") / LEAVES).cast("long").alias("_block")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
+        g = leaves.groupBy(group, F.floor(F.col("_pos") / most).cast("long").alias("_block")).agg(F.sort_array(F.collect_list(one)).alias("rows"))
         c = small_side(counts.select(F.col(group).alias("_g"), "_n"))
         j = g.join(c, g[group].eqNullSafe(F.col("_g"))).select(g[group].alias("_g"), "_block", "_n", "rows")
         inner = g.schema["rows"].dataType.simpleString()
-        made = j.mapInArrow(_blocks, f"_g {kind}, _block long, _n long, rows {inner}, steps int, tree binary, root binary")
+        made = j.mapInArrow(_blocks(height), f"_g {kind}, _block long, _n long, rows {inner}, steps int, tree binary, root binary")
         levels.append(materialize(made))
-        if counts.filter(F.col("_n") > LEAVES).isEmpty():
+        if counts.filter(F.col("_n") > most).isEmpty():
             break
         # blocks of groups that are not one block yet are the leaves of the next level
-        up = levels[-1].filter(F.col("_n") > LEAVES)
+        up = levels[-1].filter(F.col("_n") > most)
         leaves = up.select(F.col("_g").alias(group), F.col("_block").alias("_pos"), F.col("root").alias("digest"))
-        counts = materialize(counts.filter(F.col("_n") > LEAVES).select(group, F.ceil(F.col("_n") / LEAVES).cast("long").alias("_n")))
+        counts = materialize(counts.filter(F.col("_n") > most).select(group, F.ceil(F.col("_n") / most).cast("long").alias("_n")))
         payload = ()
-    tops = [t.filter(F.col("_n") <= LEAVES).select(F.col("_g").alias(group), "root") for t in levels]
+    tops = [t.filter(F.col("_n") <= most).select(F.col("_g").alias(group), "root") for t in levels]
     roots = tops[0]
     for t in tops[1:]:
         roots = roots.unionByName(t)
-    return Forest(levels, roots)
+    return Forest(levels, roots, most)
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +225,11 @@ def _with_paths(f: Forest, above: DataFrame) -> DataFrame:
     known = None
     for i in range(len(f.levels) - 1, -1, -1):
         level = f.levels[i]
-        ends = level.filter(F.col("_n") <= LEAVES)
+        ends = level.filter(F.col("_n") <= f.leaves)
         a = small_side(above.select(F.col("_g").alias("_ag"), "path", *extra))
         here = ends.join(a, ends["_g"].eqNullSafe(F.col("_ag"))).drop("_ag")
         if known is not None:
-            b = level.filter(F.col("_n") > LEAVES)
+            b = level.filter(F.col("_n") > f.leaves)
             k = known.select(F.col("_g").alias("_kg"), F.col("_pos").alias("_kp"), "path")
             k = k.join(small_side(above.select(F.col("_g").alias("_ag"), *extra)), F.col("_kg").eqNullSafe(F.col("_ag"))).drop("_ag")
             here = here.unionByName(b.join(k, (b["_block"] == F.col("_kp")) & b["_g"].eqNullSafe(F.col("_kg"))).select(*here.columns))
@@ -250,7 +253,7 @@ class Manifest:
         return None if r is None else bytes(r["root"]).hex()
 
 
-def manifest(leaves: DataFrame, *, group: str, order: Sequence[str], digest: str = "digest", payload: Sequence[str] = ()) -> Manifest:
+def manifest(leaves: DataFrame, *, group: str, order: Sequence[str], digest: str = "digest", payload: Sequence[str] = (), height: int = HEIGHT) -> Manifest:
     """Trees over rows of (group, order columns, binary digest).
 
     Within a group rows ascend by ``order`` (nulls first), then by digest; groups ascend bytewise, null first. Rows that are equal in all of
@@ -258,11 +261,11 @@ def manifest(leaves: DataFrame, *, group: str, order: Sequence[str], digest: str
     """
     rows = materialize(leaves.select(F.col(group).alias("_grp"), F.col(digest).alias("digest"), *[F.col(c) for c in dict.fromkeys([*order, *payload])]))
     at, counts = placed(rows, "_grp", [*order, "digest"])
-    groups = forest(at, counts, "_grp", payload)
+    groups = forest(at, counts, "_grp", payload, height)
     subs = materialize(groups.roots.select(F.lit(0).alias("_all"), F.col("_grp").alias("_sub"), F.col("root").alias("digest")))
     up, n = placed(subs, "_all", ["_sub"])
     up = materialize(up)
-    return Manifest(groups, forest(up.select("_all", "_pos", "digest"), n, "_all"), up.select("_sub", "_pos"))
+    return Manifest(groups, forest(up.select("_all", "_pos", "digest"), n, "_all", height=height), up.select("_sub", "_pos"))
 
 
 def proofs(m: Manifest) -> DataFrame:
@@ -302,7 +305,7 @@ def _checked(root: str, key: str):
     return run
 
 
-def verify(df: DataFrame, *, key: str = "doc_id", group: str = "source", fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), shown: dict[str, Column] | None = None) -> DataFrame:
+def verify(df: DataFrame, *, key: str = "doc_id", group: str = "source", fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), shown: dict[str, Column] | None = None, height: int = HEIGHT) -> DataFrame:
     """(key, leaf, subroot, root, proof_sha256, folded_root, verified), one row per input row; other columns are not read.
 
     The manifest is made of the rows as they are. ``shown`` gives columns as a reader got them: ``folded_root`` is computed from such a
@@ -314,7 +317,7 @@ def verify(df: DataFrame, *, key: str = "doc_id", group: str = "source", fields:
     leaf, other = leaf_digest(cols), leaf_digest(seen)
     rows = df.select(F.col(key).alias("_key"), F.col(group).alias("_group"), F.unhex(leaf).alias("_leaf"), F.unhex(other).alias("_other"))
     rows = rows.withColumn("_shown", F.when(F.col("_other") != F.col("_leaf"), F.col("_other")))
-    m = manifest(rows, group="_group", order=["_key"], digest="_leaf", payload=["_key", "_shown"])
+    m = manifest(rows, group="_group", order=["_key"], digest="_leaf", payload=["_key", "_shown"], height=height)
     root = m.root()
     kind = df.schema[key].dataType.simpleString()
     if root is None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, exact_dedup, jaccard_join, mixing, passages, pieces, pii, quality, secrets, sharding, vantage
+from cadenza.llm import decontam, exact_dedup, jaccard_join, maxsketch, merkle, mixing, passages, pieces, pii, quality, secrets, sharding, vantage
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,71 @@ FROM dw LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 )
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    "op11_max_sketch_search",
+    f"""
+WITH d AS (SELECT r, doc_id, t, count(*) AS tf FROM (SELECT row_number() OVER () AS r, doc_id, unnest({_WORDS}) AS t FROM documents) GROUP BY ALL),
+length AS (SELECT r, sum(tf)::BIGINT AS n FROM d GROUP BY r),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS words FROM length),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM d GROUP BY t), total),
+q AS (SELECT q, item_id, t, count(*) AS c FROM (SELECT row_number() OVER () AS q, item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT q, item_id, r, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN d USING (t) JOIN w USING (t) JOIN length USING (r), total GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return maxsketch.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=20)
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR))::VARCHAR || ':' || {c}::VARCHAR, '-')"
+
+
+def _tree(leaves: str, group: str) -> str:
+    """Levels of ternary trees over (group, i, h, n), and of each leaf the digests left and right of its way up, as 'left|right'."""
+    return f"""SELECT {group}, 0 AS lvl, i, h, n FROM {leaves}
+  UNION ALL SELECT {group}, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {{0}} WHERE n > 1 GROUP BY {group}, lvl, i // 3, n"""
+
+
+_FOLD = "list_reduce([{0}] || path, lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2)))"
+_PATH = "list(coalesce((SELECT string_agg(b.h, '' ORDER BY b.i) FROM {0} b WHERE b.g IS NOT DISTINCT FROM a.g AND b.lvl = a.lvl AND b.i // 3 = a.i // 3 AND b.i < a.i), '') || '|' || coalesce((SELECT string_agg(b.h, '' ORDER BY b.i) FROM {0} b WHERE b.g IS NOT DISTINCT FROM a.g AND b.lvl = a.lvl AND b.i // 3 = a.i // 3 AND b.i > a.i), '') ORDER BY a.lvl)"
+
+
+@query(
+    "op12_veb_merkle_manifest",
+    f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i))),
+hashed AS MATERIALIZED (
+  SELECT doc_id, source AS g, sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) AS h,
+    sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field("replace(text, chr(10), '')")}) AS cut,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(doc_id::VARCHAR)), lambda k: ascii(substr(doc_id::VARCHAR, (k + 1)::BIGINT, 1))::BIGINT),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc
+  FROM documents, crc_table),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+t AS ({_tree('leaves', 'g').format('t')}),
+subs AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM (SELECT g AS s, 0 AS g, h FROM t WHERE n = 1)),
+u AS ({_tree('subs', 'g').format('u')}),
+-- every leaf's nodes on its way up, but for the last one
+low AS (SELECT l.g, l.i AS leaf, {_PATH.format('t')} AS path FROM leaves l JOIN t a ON a.g IS NOT DISTINCT FROM l.g AND a.i = l.i // pow(3, a.lvl)::BIGINT AND a.n > 1 GROUP BY l.g, l.i),
+high AS (SELECT s.s, {_PATH.format('u')} AS path FROM subs s JOIN u a ON a.i = s.i // pow(3, a.lvl)::BIGINT AND a.n > 1 GROUP BY s.s),
+whole AS (
+  SELECT l.doc_id, l.h, CASE WHEN crc % 2 = 0 THEN l.cut ELSE l.h END AS shown, s.h AS subroot, coalesce(low.path, []) || coalesce(high.path, []) AS path
+  FROM leaves l JOIN subs s ON s.s IS NOT DISTINCT FROM l.g LEFT JOIN low ON low.g IS NOT DISTINCT FROM l.g AND low.leaf = l.i LEFT JOIN high ON high.s IS NOT DISTINCT FROM l.g)
+SELECT doc_id, h AS leaf, subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256,
+  {_FOLD.format('shown')} AS folded_root, {_FOLD.format('shown')} = (SELECT h FROM u WHERE n = 1) AS verified
+FROM whole
+""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    lost = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    return merkle.verify(docs, shown={"text": F.when(lost, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))})
