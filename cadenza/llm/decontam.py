@@ -144,7 +144,12 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", t
     def tagged(h: Column) -> Column:
         tag = lambda m, fp, at, spans: F.struct(F.lit(m).alias("m"), fp.alias("fp"), at.alias("at"), spans.alias("spans"))
         none = F.array().cast(f"array<struct<m:int,fp:bigint,at:int,spans:{_LONGS}>>")
-        parts = [F.when(F.size(h) >= m, F.transform(F.slice(grams(h, m), 1, F.size(h) - (m - 1)), lambda x, i, m=m: tag(m, x, i, F.array(x)))).otherwise(none) for m in lengths if m < SPAN]
+
+        def short(m: int) -> Column:
+            runs = F.slice(grams(h, m), 1, F.size(h) - (m - 1))
+            return F.when(F.size(h) >= m, F.transform(runs, lambda x, i: tag(m, x, i, F.array(x)))).otherwise(none)
+
+        parts = [short(m) for m in lengths if m < SPAN]
         if SPAN in lengths:
             parts.append(F.transform(fingerprints(h), lambda x: tag(SPAN, x["fp"], x["at"], x["spans"])))
         return F.concat(none, *parts)

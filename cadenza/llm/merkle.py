@@ -27,7 +27,6 @@ from cadenza.session import materialize
 ARITY = 3
 HEIGHT = 6  # levels of edges in a block: 729 leaves, 1093 nodes
 DIGEST = 32
-EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def nodes(levels: int) -> int:
