@@ -6,10 +6,11 @@ the first later row *j* with ``v_j >= b_i`` opens the next one. Sessions with a
 picks (``v = t - gap``, ``b = t``) and non-overlap rules (``v = start``, ``b = end``) all fit;
 a forced break is ``v = +inf``.
 
-What a block of rows does to an *unknown* base coming from the left is a step function of that
-base, so every block is summarised independently; the summaries of the blocks that one key runs through are composed by
-doubling (log2 of their number of rounds, in tasks), and a second parallel pass marks the opening rows. No source is ever
-handled as one group, and no summary leaves the executors: only one number per block does.
+What a block of rows does to an *unknown* base coming from the left depends on that base only, and few bases can come: a block is
+left with the base of its last opening row, and chains that start anywhere in it soon meet. So every block first says which
+bases can leave it, then what it makes of those that can reach it from the left; both are short lists, however many rows a
+block has. The lists of the blocks that one key runs through are walked in order (a row per block), and a
+last parallel pass marks the opening rows. No source is ever handled as one group; one number per block reaches the driver.
 """
 
 from __future__ import annotations
@@ -64,65 +65,64 @@ def _marks(v: np.ndarray, b: np.ndarray, incoming: float | None) -> tuple[np.nda
     return open_at, float(base)
 
 
-def _step_function(v: np.ndarray, b: np.ndarray) -> tuple[list[float], list[float]]:
-    """Base in -> base out for one block: ``out[k]`` holds for bases <= ``upto[k]``.
-
-    Bases above the last bound cross the block unchanged.
-    """
+def _last_bases(v: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The base that leaves the block when row i opens a segment, for each i."""
     n = len(v)
     nxt = _first_at_least(v, b)
-    out = np.empty(n)
-    for i in range(n - 1, -1, -1):
-        out[i] = b[i] if nxt[i] >= n else out[nxt[i]]
+    at = np.where(nxt < n, nxt, np.arange(n))
+    while True:
+        far = at[at]
+        if np.array_equal(far, at):
+            return b[at]
+        at = far
+
+
+def reach(v: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Bases that can leave a block whatever comes in, and the largest ``v``: bases above it cross the block unchanged."""
     top = np.maximum.accumulate(v)
-    record = np.nonzero(np.r_[True, top[1:] > top[:-1]])[0]
-    upto, res = [], []
-    for r in record:
-        if res and res[-1] == out[r]:
-            upto[-1] = float(top[r])
-        else:
-            upto.append(float(top[r]))
-            res.append(float(out[r]))
-    return upto, res
-
-
-_SUMMARY = "run int, seq int, upto array<double>, base array<double>"
-
-
-def _apply(upto: np.ndarray, base: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A step function at ``x``; beyond its last bound it changes nothing."""
-    at = np.searchsorted(upto, x, side="left")
-    return np.where(at < len(upto), base[np.minimum(at, len(base) - 1)], x)
-
-
-def compose(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of two neighbouring blocks."""
-    tail = then[0] > first[0][-1]
-    upto = np.concatenate([first[0], then[0][tail]])
-    base = np.concatenate([_apply(*then, first[1]), then[1][tail]])
-    last = np.append(base[1:] != base[:-1], True)
-    return upto[last], base[last]
-
-
-def _prefixes(steps: DataFrame, longest: int) -> DataFrame:
-    """(run, seq, base): what leaves each block, from the functions of a run whose first one is a constant."""
-    def joined(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                upto, base = compose((np.asarray(r.upto1), np.asarray(r.base1)), (np.asarray(r.upto), np.asarray(r.base)))
-                rows.append((r.run, r.seq, upto.tolist(), base.tolist()))
-            yield pd.DataFrame(rows, columns=["run", "seq", "upto", "base"])
-
-    # functions are written once per round, each at most as long as the blocks it covers; those that reach the start are constants
-    reach = 1
-    while reach < longest:
-        done = steps.filter(F.col("seq") < reach)
-        left = steps.select("run", (F.col("seq") + reach).alias("seq"), F.col("upto").alias("upto1"), F.col("base").alias("base1"))
-        more = steps.filter(F.col("seq") >= reach).join(left, ["run", "seq"]).mapInPandas(joined, _SUMMARY)
-        steps = materialize(done.unionByName(more))
-        reach *= 2
-    return steps.select("run", "seq", F.col("base")[0].alias("base"))
+    record = np.r_[True, top[1:] > top[:-1]]
+    return np.unique(_last_bases(v, b)[record]), float(top[-1])
+
+
+def _through(v: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The bases that leave a block for those that come in."""
+    at = np.searchsorted(np.maximum.accumulate(v), x, side="left")
+    return np.where(at < len(v), _last_bases(v, b)[np.minimum(at, len(v) - 1)], x)
+
+
+_REACH = "run int, seq int, outs array<double>, top double"
+_CHANGE = "run int, seq int, xs array<double>, ys array<double>"
+
+
+def _in_order(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` over the block rows of every run in order; a run's rows stream through one task, one per block."""
+    return df.repartition("run").sortWithinPartitions("run", "seq").mapInPandas(fn, schema)
+
+
+def _incoming(batches):
+    """(run, seq, xs): bases that can come into each block but the first of its run."""
+    here: np.ndarray | None = None
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            outs = np.asarray(r.outs, dtype=float)
+            if r.seq:
+                rows.append((r.run, r.seq, here.tolist()))
+                here = np.union1d(outs, here[here > r.top])
+            else:
+                here = outs
+        yield pd.DataFrame(rows, columns=["run", "seq", "xs"])
+
+
+def _followed(batches):
+    """(run, seq, base): what leaves each block."""
+    base = float("nan")
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            base = float(r.ys[np.searchsorted(r.xs, base)]) if r.seq else float(r.ys[0])
+            rows.append((r.run, r.seq, base))
+        yield pd.DataFrame(rows, columns=["run", "seq", "base"])
 
 
 def open_segments(
@@ -200,16 +200,29 @@ def open_segments(
             blk = int(pdf[BLOCK].iloc[0])
             _, va, ba = arrays(pdf)
             if place[blk][1]:
-                upto, res = _step_function(va, ba)
+                outs, top = reach(va, ba)
             else:  # the last key starts inside this block: its base out is already known
-                _, base = _marks(va, ba, np.inf if blk in continued else None)
-                upto, res = [float("inf")], [base]
-            return pd.DataFrame({"run": [place[blk][0]], "seq": [place[blk][1]], "upto": [upto], "base": [res]})
+                outs, top = np.array([_marks(va, ba, np.inf if blk in continued else None)[1]]), np.inf
+            return pd.DataFrame({"run": [place[blk][0]], "seq": [place[blk][1]], "outs": [outs.tolist()], "top": [top]})
 
-        slim = t.filter(F.col(BLOCK).isin(sorted(need))).select(BLOCK, *dict.fromkeys([*key, *order]), "_v", "_w", "_b")
-        steps = materialize(slim.groupBy(BLOCK).applyInPandas(summarise, _SUMMARY))
+        def change(pdf: pd.DataFrame, coming: pd.DataFrame) -> pd.DataFrame:
+            _, va, ba = arrays(pdf)
+            c = coming.iloc[0]
+            xs = np.asarray(c["xs"], dtype=float)
+            return pd.DataFrame({"run": [c["run"]], "seq": [c["seq"]], "xs": [xs.tolist()], "ys": [_through(va, ba, xs).tolist()]})
+
+        slim = t.select(BLOCK, *dict.fromkeys([*key, *order]), "_v", "_w", "_b")
+        steps = materialize(slim.filter(F.col(BLOCK).isin(sorted(need))).groupBy(BLOCK).applyInPandas(summarise, _REACH))
+        changes = steps.filter("seq = 0").select("run", "seq", F.array().cast("array<double>").alias("xs"), F.col("outs").alias("ys"))
+        longest = max(q for _, q in place.values())
+        if longest:
+            spark = t.sparkSession
+            names = spark.createDataFrame([(blk, *p) for blk, p in place.items() if p[1]], f"{BLOCK} int, run int, seq int")
+            coming = materialize(_in_order(steps, _incoming, "run int, seq int, xs array<double>").join(F.broadcast(names), ["run", "seq"]))
+            inner = slim.filter(F.col(BLOCK).isin(sorted(blk for blk, p in place.items() if p[1])))
+            changes = changes.unionByName(inner.groupBy(BLOCK).cogroup(coming.groupBy(BLOCK)).applyInPandas(change, _CHANGE))
         # one number per block
-        leaves = {(r["run"], r["seq"]): r["base"] for r in _prefixes(steps, 1 + max(q for _, q in place.values())).collect()}
+        leaves = {(r["run"], r["seq"]): r["base"] for r in _in_order(materialize(changes), _followed, "run int, seq int, base double").collect()}
         for prev, cur in zip(edges, edges[1:]):
             if cur[BLOCK] in continued:
                 bases[cur[BLOCK]] = leaves[place[prev[BLOCK]]]

@@ -33,6 +33,7 @@ def greedy_select(
     wide: bool = False,
     quick: Callable[[str, str], Column] | None = None,
     quick_payload: Sequence[str] = (),
+    cap: tuple[str, Column, int] | None = None,
     max_rounds: int = 10_000,
 ) -> DataFrame:
     """Rows of ``items`` that survive.
@@ -41,15 +42,19 @@ def greedy_select(
     struct column names holding ``payload`` and returns a predicate. Rows without buckets conflict
     with nothing. With ``wide``, a big payload stays in one table by id instead of being copied to every bucket, and is
     joined to the pairs that pass ``quick`` (a cheap necessary condition over ``quick_payload``).
+
+    ``cap`` = (key, limit, bound): only the ``limit`` best survivors of a key are wanted, never more than ``bound``. Once a key has
+    that many, what ranks behind them is no longer looked at; some of it may be returned undecided, so filter by rank afterwards.
     """
     # the input is read by several branches and once more at the end
     items = materialize(items)
-    base = items.withColumns({"_bs": F.array_distinct(buckets), "_r": F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(id).alias("id"))})
-    loose = base.filter((F.size("_bs") <= 0) | F.col("_bs").isNull()).select(id)
+    owner, limit, bound = cap or ("", F.lit(0), 0)
+    base = items.withColumns({"_ck": F.col(owner) if cap else F.lit(0), "_cap": limit, "_bs": F.array_distinct(buckets), "_r": F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], F.col(id).alias("id"))})
+    loose = base.filter((F.size("_bs") <= 0) | F.col("_bs").isNull()).select(F.col(id).alias("_id"), "_ck", "_cap", "_r")
     open_rows = materialize(
         base.filter(F.size("_bs") > 0).select(
             F.col(id).alias("_id"),
-            "_r",
+            "_r", "_ck", "_cap",
             F.size("_bs").alias("_nb"),
             F.struct(*(quick_payload if wide else payload)).alias("_p") if (quick_payload or not wide) else F.struct("_r").alias("_p"),
             F.explode("_bs").alias("_b"),
@@ -67,23 +72,37 @@ def greedy_select(
         p = p.join(big.toDF("_aid", "a"), "_aid").join(big.toDF("_id", "b"), "_id")
         return p.filter(conflict("a", "b"))
 
-    accepted = [loose.select(F.col(id).alias("_id"))]
+    accepted = [loose.select("_id")]
+    best = None
+
+    def enough(won: DataFrame) -> DataFrame:
+        """Drop open rows that rank behind the wanted number of survivors of their key."""
+        nonlocal best
+        now = won.unionByName(loose) if best is None else won.unionByName(best)
+        w = Window.partitionBy("_ck").orderBy("_r")
+        best = materialize(now.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") <= bound) & (F.col("_n") <= F.col("_cap"))))
+        full = best.filter(F.col("_n") == F.least(F.col("_cap"), F.lit(bound))).select(F.col("_ck").alias("_fk"), F.col("_r").alias("_last"))
+        best = best.drop("_n")
+        left = open_rows.join(full, open_rows["_ck"].eqNullSafe(F.col("_fk")), "left")
+        return left.filter(F.col("_last").isNull() | (F.col("_r") < F.col("_last"))).drop("_fk", "_last")
+
     for _ in range(max_rounds):
         if open_rows.isEmpty():
             break
         w = Window.partitionBy("_b").orderBy("_r")
         top = open_rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= front).drop("_k")
         front = min(2 * front, max(front, most))
-        ready = top.groupBy("_id", "_nb").agg(F.count(F.lit(1)).alias("_seen")).filter("_seen = _nb").select("_id")
+        ready = top.groupBy("_id", "_nb").agg(F.count(F.lit(1)).alias("_seen"), F.first("_ck").alias("_ck"), F.first("_cap").alias("_cap"), F.first("_r").alias("_r")).filter("_seen = _nb").select("_id", "_ck", "_cap", "_r")
         x = top.select("_b", F.col("_id").alias("_aid"), F.col("_r").alias("_ra"), F.col("_p").alias("a"))
         y = top.select("_b", F.col("_id"), F.col("_r").alias("_rb"), F.col("_p").alias("b"))
         blocked = clashing(x.join(y, "_b").filter(F.col("_ra") < F.col("_rb"))).select("_id").distinct()
         won = materialize(ready.join(blocked, "_id", "left_anti"))
-        accepted.append(won)
+        accepted.append(won.select("_id"))
         winners = top.join(won, "_id", "left_semi").select("_b", F.col("_id").alias("_aid"), F.col("_r").alias("_ra"), F.col("_p").alias("a"))
         rest = open_rows.select("_b", "_id", F.col("_r").alias("_rb"), F.col("_p").alias("b"))
         lost = clashing(rest.join(winners, "_b").filter(F.col("_ra") < F.col("_rb"))).select("_id")
-        open_rows = materialize(open_rows.join(won.unionByName(lost).distinct(), "_id", "left_anti"))
+        open_rows = open_rows.join(won.select("_id").unionByName(lost).distinct(), "_id", "left_anti")
+        open_rows = materialize(enough(won) if cap else open_rows)
     else:
         raise RuntimeError("greedy_select did not settle")
     kept = accepted[0]

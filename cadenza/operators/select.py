@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from cadenza.functions.vector import cosine
 from cadenza.operators.greedy import greedy_select, jaccard, overlap_len, time_buckets, token_buckets
 from cadenza.operators.ordered import row_index, running
+from cadenza.operators.vector_join import similar_vectors
 from cadenza.session import materialize
 
 
@@ -51,12 +52,17 @@ def dedup_jaccard(df: DataFrame, *, id: str, rank: Sequence[Column], tokens: str
     return out.drop("_tok", "_tb", "_n")
 
 
-def similar_pairs(df: DataFrame, *, id: str, tokens: str, threshold: float, key="source_id") -> DataFrame:
-    """(key, id_a, id_b, sim) with Jaccard >= ``threshold``.
+def similar_pairs(df: DataFrame, *, id: str, threshold: float, tokens: str | None = None, vec: str | None = None, metric: str = "jaccard", key="source_id") -> DataFrame:
+    """(key, id_a, id_b, sim) with a similarity of at least ``threshold``: ``metric`` is "jaccard" of ``tokens`` or "cosine" of ``vec``.
 
     Equal token sets are represented by their smallest id: copies link to it, and only representatives are
-    paired, over their rarest tokens. A group of copies therefore gives a row per copy, not per pair.
+    paired, over their rarest tokens. A group of copies therefore gives a row per copy, not per pair. Vectors: see
+    :func:`cadenza.operators.vector_join.similar_vectors`.
     """
+    if metric == "cosine":
+        return similar_vectors(df, id=id, vec=vec, threshold=threshold, key=key)
+    if metric != "jaccard":
+        raise ValueError(f"unknown metric {metric}")
     d = materialize(df.select(key, id, F.array_sort(F.transform(tokens, lambda x: F.xxhash64(x))).alias("_tok")).filter(F.size("_tok") > 0))
     d = d.withColumn("_h", F.xxhash64("_tok"))
     rep = d.groupBy(key, "_h", "_tok").agg(F.min(id).alias("_rep"))
@@ -119,34 +125,71 @@ def _plan_levels(a: str, b: str, p: dict) -> list[Column]:
     return [reused, F.coalesce(same_mind, F.lit(False)), wordy & (F.round(jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens")) - p["jaccard"], 9) >= 0)]
 
 
-def unique_plans(plans: DataFrame, *, cap: Column, params: dict = STRICT) -> DataFrame:
-    """Plans (source_id, plan_id, score, segs, vec, tokens), best first, that repeat no accepted plan; at most ``cap`` per source.
+def plan_buckets(plans: DataFrame, params: dict = STRICT, width: float = 96.0) -> DataFrame:
+    """(plan_id, _pb): buckets of which plans that can repeat each other share one.
+
+    Reused spans lie in one time bin; texts that share words share one of their rarest tokens; vectors that are close
+    get a bucket of their own per pair of different vectors, and one per group of equal ones. No bucket is a source.
+    """
+    p = materialize(plans.select("source_id", "plan_id", "segs", "tokens", "vec", F.transform("tokens", lambda x: F.xxhash64(x)).alias("_tok"), F.xxhash64("vec").alias("_h")))
+    out = token_buckets(p, "plan_id", "source_id", "_tok", params["jaccard"]).select("plan_id", "source_id", "segs", "_tb")
+    time = _seg_buckets(F.col("source_id"), F.col("segs"), width) if params["overlap"] <= 1 else F.array().cast("array<string>")
+    # equal vectors are one in the join
+    v = p.filter(F.col("vec").isNotNull())
+    reps = materialize(v.groupBy("source_id", "_h", "vec").agg(F.min("plan_id").alias("_rep")))
+    pairs = similar_vectors(reps, id="_rep", vec="vec", key="source_id", threshold=params["cosine"] - 1e-9)
+    name = F.concat_ws("|", F.lit("v"), "id_a", "id_b")
+    ends = pairs.select(F.explode(F.array("id_a", "id_b")).alias("_rep"), name.alias("_x")).groupBy("_rep").agg(F.collect_list("_x").alias("_near"))
+    of = v.select("plan_id", "source_id", "_h", "vec").join(reps, ["source_id", "_h", "vec"]).join(ends, "_rep", "left")
+    of = of.select("plan_id", F.concat(F.array(F.concat_ws("|", F.lit("e"), "_rep")), F.coalesce("_near", F.array().cast("array<string>"))).alias("_vb"))
+    none = F.array().cast("array<string>")
+    tagged = lambda c, t: F.transform(F.coalesce(c, none), lambda x: F.concat(F.lit(t), x))
+    return out.join(of, "plan_id", "left").select("plan_id", F.concat(tagged(time, "t|"), tagged(F.col("_tb"), "w|"), F.coalesce("_vb", none)).alias("_pb"))
+
+
+def unique_plans(plans: DataFrame, *, cap: Column | None = None, bound: int = 1000, params: dict = STRICT) -> DataFrame:
+    """Plans (source_id, plan_id, score, segs, vec, tokens), best first, that repeat no accepted plan; with ``cap`` at most so many per source.
 
     A plan repeats another when one of its spans lies in an accepted span, when the mean vectors are close, or when
-    long enough texts share words. Acceptance looks at better plans only, so the cap is a limit on the rank.
+    long enough texts share words. Acceptance looks at better plans only, so the cap (``bound`` at most) is a limit on the rank, ``pick``;
+    plans behind it are not compared.
     """
 
     def conflict(a, b):
         one, two, three = _plan_levels(a, b, params)
         return one | two | three
 
+    plans = materialize(plans)
+    # a plan in no bucket repeats nothing
+    items = plans.join(plan_buckets(plans, params), "plan_id")
     kept = greedy_select(
-        plans, id="plan_id", rank=[-F.col("score")], buckets=F.array(F.col("source_id").cast("string")), conflict=conflict,
-        payload=["segs", "vec", "tokens"], front=64,
-    )
+        items, id="plan_id", rank=[-F.col("score")], buckets=F.col("_pb"), conflict=conflict, payload=["segs", "vec", "tokens"], wide=True,
+        cap=None if cap is None else ("source_id", cap, bound),
+    ).drop("_pb").select(*plans.columns)
+    if cap is None:
+        return kept
     w = Window.partitionBy("source_id").orderBy(F.desc("score"), "plan_id")
-    return kept.withColumns({"pick": F.row_number().over(w), "_cap": cap}).filter(F.col("pick") <= F.col("_cap")).drop("_cap")
+    ranked = kept.withColumns({"pick": F.row_number().over(w), "_cap": cap}).filter(F.col("pick") <= bound)
+    return ranked.filter(F.col("pick") <= F.col("_cap")).drop("_cap")
 
 
 def reject_levels(plans: DataFrame, kept: DataFrame, params: dict = STRICT) -> DataFrame:
-    """Rejected plans per source by the first level that rejects them: reused span, vector, words."""
-    cols = F.struct("segs", "vec", "tokens")
-    r = plans.join(kept.select("plan_id"), "plan_id", "left_anti").select("source_id", "plan_id", F.struct(-F.col("score"), "plan_id").alias("_rb"), cols.alias("b"))
-    k = kept.select("source_id", F.struct(-F.col("score"), "plan_id").alias("_ra"), cols.alias("a"))
+    """Rejected plans per source by the first level that rejects them: reused span, vector, words.
+
+    Plans are compared with the accepted ones of their buckets (see :func:`plan_buckets`) only.
+    """
+    plans = materialize(plans)
+    b = materialize(plan_buckets(plans, params).select("plan_id", F.explode("_pb").alias("_b")))
+    won = materialize(kept.select("plan_id"))
+    of = materialize(plans.select("plan_id", "source_id", F.struct(-F.col("score"), "plan_id").alias("_r"), F.struct("segs", "vec", "tokens").alias("p")))
+    mine = b.join(won, "plan_id", "left_anti").select("_b", "plan_id")
+    theirs = b.join(won, "plan_id", "left_semi").select("_b", F.col("plan_id").alias("_kid"))
+    pairs = mine.join(theirs, "_b").select("plan_id", "_kid").distinct()
+    j = pairs.join(of.select("plan_id", "source_id", F.col("_r").alias("_rb"), F.col("p").alias("b")), "plan_id")
+    j = j.join(of.select(F.col("plan_id").alias("_kid"), F.col("_r").alias("_ra"), F.col("p").alias("a")), "_kid").filter(F.col("_ra") < F.col("_rb"))
     one, two, three = _plan_levels("a", "b", params)
-    j = r.join(k, "source_id").filter(F.col("_ra") < F.col("_rb"))
     lv = j.select("source_id", "plan_id", F.when(one, 1).when(two, 2).when(three, 3).alias("_l")).groupBy("source_id", "plan_id").agg(F.min("_l").alias("_l"))
-    return lv.groupBy("source_id").agg(*[F.count(F.when(F.col("_l") == i, 1)).alias(n) for i, n in ((1, "reused_span"), (2, "near_vector"), (3, "same_words"))])
+    return lv.filter("_l is not null").groupBy("source_id").agg(*[F.count(F.when(F.col("_l") == i, 1)).alias(n) for i, n in ((1, "reused_span"), (2, "near_vector"), (3, "same_words"))])
 
 
 def unique_plans_relaxed(plans: DataFrame, *, low: Column, cap: Column, params: dict = STRICT, step: float = 0.15) -> DataFrame:
@@ -193,7 +236,7 @@ def select_in_batches(
     init: Callable[[], object],
     full: Callable[[object], bool],
     schema: str,
-    batch: int = 256,
+    batch: int = 4096,
     states: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Walk every key's rows in rank order (``_i`` = 1, 2, ...), a bounded batch per round, until ``full`` or exhausted.
@@ -256,58 +299,108 @@ def _cos(a, b) -> float:
     return float(np.dot(a, b)) / d if d > 1e-9 else 0.0
 
 
+# Limits of similarity to what is selected, by vectors and by words, and in the second pass.
+NOVEL_COSINE, NOVEL_WORDS, NOVEL_SECOND = 0.72, 0.6, 0.85
+FRONT = 64  # arcs of a source that are walked in one round
+STATE_BYTES = 64 << 20  # selected vectors or words that a broadcast may carry
+
+
+def _alike(a: Column, b: Column, words: bool) -> Column:
+    return jaccard(a, b) if words else cosine(a, b)
+
+
 def rank_novel(
-    arcs: DataFrame, *, target: int, kind_cap: int = 2, max_sim: float = 0.72, second_sim: float = 0.85, min_len: float = 28.0, max_len: float = 75.0
+    arcs: DataFrame, *, target: int, kind_cap: int = 2, words: bool = False, max_sim: float | None = None, second_sim: float = NOVEL_SECOND, min_len: float = 28.0, max_len: float = 75.0
 ) -> DataFrame:
     """Arcs (source_id, arc_id, chapter, kind, hook_score, arc_score, start, end, v) -> novel picks with final scores.
 
     Composite = .4 hook + .4 arc + .2 duration fit. First pass: at most ``kind_cap`` per closure kind and no arc too close to
-    one selected. Second pass, when places are left: new chapters only, no kind cap, a looser limit.
+    one selected. Second pass, when places are left: new chapters only, no kind cap, a looser limit. With ``words`` the rule compares
+    ``tokens`` instead of ``v``, for when vectors are missing.
+
+    A round walks the ``FRONT`` best arcs of every source that can still be selected; all others are then compared
+    with what was selected, in parallel, and dropped when too close. The best one left is always selected, so there are at most
+    ``target`` rounds a pass, however many arcs a source has.
     """
     from cadenza.operators.stats import duration_fit_tent
 
+    max_sim = (NOVEL_WORDS if words else NOVEL_COSINE) if max_sim is None else max_sim
     d = F.col("end") - F.col("start")
     a = arcs.filter((d >= min_len) & (d <= max_len))
     a = a.withColumn("composite", 0.4 * F.col("hook_score") + 0.4 * F.col("arc_score") + 0.2 * duration_fit_tent(d))
-    a = a.withColumn("_neg", -F.round("composite", 9))
-    ranked = materialize(running(a, ["source_id"], ["_neg", "arc_id"], {"_i": row_index()}))
-    cols = ["arc_id", "chapter", "kind", "composite", "v"]
-
-    def novelty(state, v):
-        return max(0.0, min(1.0, 1.0 - max((_cos(v, s) for s in state["vecs"]), default=0.0)))
-
-    def take(state, row, nov, pass_no):
-        arc, chapter, kind, comp, v = row
-        state["vecs"].append(v)
-        state["chapters"].add(chapter)
-        state["kinds"][kind] = state["kinds"].get(kind, 0) + 1
-        return (arc, len(state["vecs"]), float(comp * nov), float(nov), pass_no)
-
-    def first(state, row):
-        if state["kinds"].get(row[2], 0) >= kind_cap:
-            return None
-        nov = novelty(state, row[4])
-        return take(state, row, nov, 1) if round(nov - (1.0 - max_sim), 9) >= 0 else None
-
-    def second(state, row):
-        if row[1] in state["chapters"]:
-            return None
-        nov = novelty(state, row[4])
-        return take(state, row, nov, 2) if round(nov - (1.0 - second_sim), 9) >= 0 else None
-
-    args = dict(
-        cols=cols, init=lambda: {"vecs": [], "chapters": set(), "kinds": {}}, full=lambda s: len(s["vecs"]) >= target,
-        schema="arc_id long, rank long, final_score double, novelty double, pass_no long",
-    )
-    one, states = select_in_batches(ranked, "source_id", step=first, **args)
-    two, _ = select_in_batches(ranked, "source_id", step=second, states=states, **args)
-    return one.unionByName(two)
+    what = F.array_distinct(F.transform("tokens", lambda x: F.xxhash64(x).cast("double"))) if words else F.col("v")
+    key_t = arcs.schema["source_id"].dataType.simpleString()
+    ranked = materialize(a.select("source_id", "arc_id", F.col("chapter").cast("long").alias("chapter"), F.col("kind").cast("string").alias("kind"), "composite", what.alias("w"), (-F.round("composite", 9)).alias("_neg")))
+    pick_schema = f"source_id {key_t}, arc_id long, rank long, final_score double, novelty double, pass_no long, chapter long, kind string, w array<double>, _neg double, _last_neg double, _last_arc long"
+
+    def close(x, y) -> float:
+        if not words:
+            return _cos(x, y)
+        x, y = set(x if x is not None else ()), set(y if y is not None else ())
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    def walk(pass_no: int, limit: float):
+        def go(front: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            held = held.sort_values("rank")
+            vecs, chapters = list(held["w"]), set(held["chapter"].tolist())
+            kinds = held["kind"].value_counts().to_dict()
+            rows, last = [], None
+            for r in front.sort_values(["_neg", "arc_id"]).itertuples(index=False):
+                if len(vecs) >= target:
+                    break
+                last = (r[6], r[1])
+                source, arc, chapter, kind, comp, w, neg = r
+                if kinds.get(kind, 0) >= kind_cap if pass_no == 1 else chapter in chapters:
+                    continue
+                nov = max(0.0, min(1.0, 1.0 - max((close(w, x) for x in vecs), default=0.0)))
+                if round(nov - (1.0 - limit), 9) < 0:
+                    continue
+                vecs.append(w)
+                chapters.add(chapter)
+                kinds[kind] = kinds.get(kind, 0) + 1
+                rows.append([source, arc, len(vecs), float(comp * nov), float(nov), pass_no, chapter, kind, w, neg])
+            return pd.DataFrame([[*x, *(last or (None, None))] for x in rows], columns=[c.split()[0] for c in pick_schema.split(", ")])
+
+        return go
+
+    def left_over(rows: DataFrame, picked: DataFrame, fresh: DataFrame, pass_no: int, limit: float) -> DataFrame:
+        """Arcs that may still be selected: behind what was walked, of a source with places left, unlike all that is selected."""
+        s = picked.groupBy("source_id").agg(F.count(F.lit(1)).alias("_n"), F.collect_list("kind").alias("_kinds"), F.collect_set("chapter").alias("_chapters"))
+        n = fresh.groupBy("source_id").agg(F.collect_list("w").alias("_ws"), F.max(F.struct("_last_neg", "_last_arc")).alias("_last"))
+        s = materialize(s.join(n, "source_id").select(F.col("source_id").alias("_s"), "_n", "_kinds", "_chapters", "_ws", "_last"))
+        size = s.agg(F.sum(F.aggregate("_ws", F.lit(0), lambda t, x: t + 8 * F.coalesce(F.size(x), F.lit(0)) + 64))).first()[0] or 0
+        j = rows.join(F.broadcast(s) if size <= STATE_BYTES else s, rows["source_id"] == F.col("_s"))
+        behind = F.struct(F.col("_neg"), F.col("arc_id")) > F.struct(F.col("_last._last_neg"), F.col("_last._last_arc"))
+        open_ = (F.size(F.filter("_kinds", lambda k: k == F.col("kind"))) < kind_cap) if pass_no == 1 else ~F.array_contains("_chapters", F.col("chapter"))
+        unlike = F.forall("_ws", lambda x: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.greatest(F.lit(0.0), _alike(F.col("w"), x, words)))) - (1.0 - limit), 9) >= 0)
+        return j.filter((F.col("_n") < target) & behind & F.coalesce(open_, F.lit(True)) & unlike).select(*rows.columns)
+
+    order = Window.partitionBy("source_id").orderBy("_neg", "arc_id")
+    spark = arcs.sparkSession
+    picked = spark.createDataFrame([], pick_schema)
+    for pass_no, limit in ((1, max_sim), (2, second_sim)):
+        rows = ranked
+        if pass_no == 2:
+            # places left: the second pass starts over with the arcs not selected, which must be unlike all that are
+            ends = picked.withColumns({"_last_neg": F.lit(float("-inf")), "_last_arc": F.lit(-1).cast("long")})
+            none = ranked.join(picked.select("source_id").distinct(), "source_id", "left_anti")
+            rows = materialize(left_over(ranked, picked, ends, 2, limit).unionByName(none))
+        for _ in range(target + 1):
+            front = rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= FRONT).drop("_k")
+            held = picked.select("source_id", "rank", "chapter", "kind", "w")
+            fresh = materialize(front.groupBy("source_id").cogroup(held.groupBy("source_id")).applyInPandas(walk(pass_no, limit), pick_schema))
+            if fresh.isEmpty():
+                break
+            picked = materialize(picked.unionByName(fresh))
+            rows = materialize(left_over(rows, picked, fresh, pass_no, limit))
+    return picked.select("source_id", "arc_id", "rank", "final_score", "novelty", "pass_no")
 
 
 def leader_clusters(items: DataFrame, *, threshold: float = 0.72) -> DataFrame:
     """Items (source_id, item_id, v, _i) join the first cluster whose running mean is close enough, else open one.
 
-    Order-dependent on purpose. Meant for the ranked pool, which is limited per source by :func:`dynamic_caps`.
+    Order-dependent on purpose. Meant for the ranked pool, which :func:`dynamic_caps` limits to a few hundred rows per source, so
+    that one round is the rule; a larger pool takes a round for every 4096 of a source's rows.
     """
 
     def step(state, row):

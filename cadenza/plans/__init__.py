@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("windows", "joins", "folds", "selection", "composing", "planning", "io_model", "streams")
+MODULES = ("windows", "joins", "folds", "selection", "composing", "planning", "io_model", "streams", "hot_keys")
 
 
 def load() -> None:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from cadenza.operators import compose as C
 from cadenza.operators import validate as V
 from cadenza.operators.segment import split_arcs
+from cadenza.operators.select import leader_clusters
 from cadenza.plans.folds import T
-from cadenza.plans.registry import ARCSEG, CLIPS, DENSE, EVIDENCE, WORDS, query
-from cadenza.plans.selection import CATS, ranked
+from cadenza.plans.registry import ARCSEG, CLIPS, DENSE, EVIDENCE, ORACLES, WORDS, query
+from cadenza.plans.selection import CATS, ranked, ranked_pool
 from cadenza.plans.windows import AGENTS, clip_duration, r6
 
 PAD = "(id % 256) / 255.0::DOUBLE * 10"
@@ -30,6 +31,29 @@ def bounds_sql(src: str) -> str:
       nb AS (SELECT *, CASE WHEN len > 80 THEN greatest(0, le - 80) WHEN len >= 45 THEN s WHEN round(qe - qs, 9) >= 45 THEN qs END AS n_start, CASE WHEN len > 80 THEN le WHEN len >= 45 THEN e WHEN round(qe - qs, 9) >= 45 THEN qe END AS n_end FROM b4)"""
 
 
+def short_bounds_sql(src: str, low: float, high: float) -> str:
+    """SQL: span repair without jitter between ``low`` and ``high`` over ``src``."""
+    return bounds_sql(src).replace(f"45 + {PAD}", f"{low}").replace("/ 2 - 40", f"/ 2 - {high / 2}").replace("ls0 + 80", f"ls0 + {high}").replace("len > 80", f"len > {high}").replace("le - 80", f"le - {high}").replace("len >= 45", f"len >= {low}").replace(">= 45 THEN", f">= {low} THEN")
+
+
+def thematic_sql(src: str) -> tuple[str, ...]:
+    """SQL: plans of clusters over ``src`` (source_id, cluster, id, start, end, category, score, duration)."""
+    return (
+        f""" big AS (SELECT source_id, cluster FROM (SELECT source_id, cluster, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, f) AS k FROM (
+          SELECT source_id, cluster, count(*) AS n, min(id) AS f FROM {src} GROUP BY 1, 2 HAVING count(*) >= 3)) WHERE k <= 20)""",
+        f""" part AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, cluster, part ORDER BY score DESC, id) AS k FROM (
+          SELECT *, CASE WHEN category = 'hook_candidate' THEN 0 WHEN category = 'payoff_candidate' THEN 2 WHEN category IN ('peak_candidate', 'development_material') THEN 1 END AS part
+          FROM {src} JOIN big USING (source_id, cluster)) WHERE part IS NOT NULL) WHERE k <= 2 AND (part = 1 OR k = 1))""",
+        # rows that cannot be repaired count for the parts and the score, but give no segment
+        short_bounds_sql("part", 10.0, 20.0),
+        """ fixed AS (SELECT p.*, nb.n_start, nb.n_end FROM part p LEFT JOIN nb ON nb.source_id = p.source_id AND nb.cluster = p.cluster AND nb.id = p.id)""",
+    )
+
+
+THEMATIC = """SELECT source_id, cluster, round(avg(score), 6) AS score, round(sum(n_end - n_start), 6) AS duration, count(n_start)::INT AS n_segments FROM fixed GROUP BY 1, 2
+    HAVING bool_or(part = 0) AND bool_or(part = 2) AND count(n_start) >= 2 AND round(sum(n_end - n_start), 6) BETWEEN 45 AND 80"""
+
+
 LONG = """ lng AS (SELECT source_id, id, start, CASE WHEN id % 9 = 0 THEN "end" + 60 ELSE "end" END AS "end", score, category, max("end") OVER (PARTITION BY source_id) + 5 AS duration FROM ranked)"""
 
 
@@ -51,13 +75,34 @@ def _(spark, sf):
     return C.single_plans(r, d, pad=pad()).select("source_id", "plan_id", "score", *r6("duration"))
 
 
-@query("k8_thematic_plans")
+@query(
+    "k8_thematic_plans", THEMATIC,
+    (CLIPS, CATS, " themed AS (SELECT *, (id // 1000) * 4 + floor(score / 4)::BIGINT AS cluster, max(\"end\") OVER (PARTITION BY source_id) AS duration FROM ranked)", *thematic_sql("themed")),
+)
 def _(spark, sf):
     r = ranked(spark, sf).withColumn("cluster", F.floor(F.col("id") / 1000) * 4 + F.floor(F.col("score") / 4))
     t = C.thematic_plans(r, clip_duration(T.clips(spark, sf)), seg_low=10.0, seg_high=20.0, pad=F.lit(0.0))
     return t.select("source_id", "cluster", *r6("score", "duration"), F.size("segs").alias("n_segments"))
 
 
+_LED = ORACLES["d12_leader_clusters"].removeprefix("WITH RECURSIVE ").rsplit("\n", 1)[0]
+_VECTOR_ITEMS = """ items AS (SELECT source_id, c::BIGINT AS cluster, item_id AS id, (item_id * 9)::DOUBLE AS start, (item_id * 9 + 8 + item_id % 16)::DOUBLE AS "end", (item_id % 7)::DOUBLE AS score,
+  ['hook_candidate', 'development_material', 'peak_candidate', 'payoff_candidate'][item_id % 4 + 1] AS category, 1000000.0::DOUBLE AS duration FROM walk)"""
+
+
+@query("k8_thematic_plans_on_leader_clusters", THEMATIC, (_LED, _VECTOR_ITEMS, *thematic_sql("items")), recursive=True)
+def _(spark, sf):
+    """Clusters by running centroids of the vectors, then one plan per cluster."""
+    i = F.col("item_id")
+    c = leader_clusters(ranked_pool(spark, sf), threshold=0.3)
+    category = F.element_at(F.array(*[F.lit(x) for x in ("hook_candidate", "development_material", "peak_candidate", "payoff_candidate")]), (i % 4 + 1).cast("int"))
+    items = c.select(
+        "source_id", "cluster", i.alias("id"), (i * 9).cast("double").alias("start"), (i * 9 + 8 + i % 16).cast("double").alias("end"), (i % 7).cast("double").alias("score"), category.alias("category")
+    )
+    t = C.thematic_plans(items, items.select("source_id").distinct().withColumn("duration", F.lit(1e6)), seg_low=10.0, seg_high=20.0, pad=F.lit(0.0))
+    return t.select("source_id", "cluster", *r6("score", "duration"), F.size("segs").alias("n_segments"))
+
+
 @query(
     "w30_pull_closure",
     """, g AS (SELECT source_id, arc_no, seg_no // 2 AS grp, sum(dur) AS dur, bool_or(role IN ('peak', 'payoff')) AS hc FROM arcseg GROUP BY 1, 2, 3),

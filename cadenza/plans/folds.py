@@ -129,7 +129,21 @@ def _(spark, sf):
     return G.chunk_table(rows)
 
 
-@query("x8_split_long")
+@query(
+    "x8_split_long",
+    r""" SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1)::INT AS piece_no, length(piece)::INT AS chars, md5(piece) AS digest FROM (
+      SELECT p.doc_id, lo, coalesce(string_agg(word, ' ' ORDER BY i), '') AS piece FROM piece p LEFT JOIN w ON w.doc_id = p.doc_id AND w.i >= p.lo AND w.i < p.hi GROUP BY 1, 2)""",
+    (
+        r""" d AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL)""",
+        r""" w AS MATERIALIZED (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS c FROM (
+             SELECT doc_id, i, ws[i] AS word, ceil(length(ws[i]) / 4.0::DOUBLE)::BIGINT AS t FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)))""",
+        # a piece ends before the first word that exceeds the limit, but has one word at least
+        r""" nx AS MATERIALIZED (SELECT a.doc_id, a.i, greatest(b.i, a.i + 1) AS nx FROM (SELECT *, c - t + 300 AS most FROM w) a ASOF JOIN w b ON a.doc_id = b.doc_id AND a.most < b.c)""",
+        r""" orbit AS (SELECT doc_id, 1::BIGINT AS i FROM d UNION ALL SELECT o.doc_id, n.nx FROM orbit o JOIN nx n USING (doc_id, i) JOIN w ON w.doc_id = o.doc_id AND w.i = n.nx)""",
+        r""" piece AS (SELECT doc_id, i AS lo, lead(i, 1, 1000000000) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM orbit)""",
+    ),
+    recursive=True,
+)
 def _(spark, sf):
     d = T.table(spark, sf, "documents").select("doc_id", "text")
     return G.split_long(d, "text", 300).select("doc_id", "piece_no", F.length("piece").alias("chars"), F.md5("piece").alias("digest"))
@@ -411,13 +425,57 @@ def _(spark, sf):
     return G.trim_to_budget(s, ["source_id", "arc_no"]).select("source_id", "arc_no", "seg_no", "id", "role")
 
 
-@query("d2_dedup_hybrid")
+@query(
+    "d2_dedup_hybrid",
+    """SELECT source_id, gone AS id FROM walk WHERE gone IS NOT NULL UNION ALL SELECT source_id, unnest(list_transform(st, lambda x: x.id)) FROM (SELECT source_id, max_by(st, k) AS st FROM walk GROUP BY 1)""",
+    (
+        DENSE,
+        r""" ev AS (SELECT source_id, clip_id AS id, round(start / 20, 3) AS start, score / 10 AS strength, list_distinct(string_split(lower(topic || ' said ' || chunk), ' ')) AS w FROM dense)""",
+        r""" rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start, strength DESC, id) AS k, {'id': id, 's': start, 'p': strength, 'w': w} AS me FROM ev)""",
+        # st: the last five keepers; gone: the one that leaves them and so stays for good
+        r""" walk AS (SELECT source_id, k, [me] AS st, NULL::BIGINT AS gone FROM rk WHERE k = 1
+          UNION ALL SELECT source_id, k, CASE WHEN hit IS NULL AND len(st) >= 5 THEN list_append(st[2:], me) WHEN hit IS NULL THEN list_append(st, me)
+              WHEN me.p > st[hit].p THEN list_transform(st, lambda x, i: CASE WHEN i = hit THEN me ELSE x END) ELSE st END, CASE WHEN hit IS NULL AND len(st) >= 5 THEN st[1].id END FROM (
+            SELECT r.source_id, r.k, r.me, w.st, list_filter(range(1, len(w.st) + 1), lambda i: abs(w.st[i].s - r.me.s) < 3
+              AND len(list_intersect(w.st[i].w, r.me.w))::DOUBLE / (len(w.st[i].w) + len(r.me.w) - len(list_intersect(w.st[i].w, r.me.w))) >= 0.5)[1] AS hit
+            FROM walk w JOIN rk r ON r.source_id = w.source_id AND r.k = w.k + 1))""",
+    ),
+    recursive=True,
+)
 def _(spark, sf):
     d = T.dense_clips(spark, sf).select("source_id", F.col("clip_id").alias("id"), F.round(F.col("start") / 20, 3).alias("start"), (F.col("score") / 10).alias("strength"), F.concat_ws(" ", "topic", F.lit("said"), F.col("chunk").cast("string")).alias("text"))
     return D.dedup_hybrid(d).select("source_id", "id")
 
 
-@query("w10_chapters")
+_GLUE = "{{'s': {a}.s, 'e': {b}.e, 'c': least({a}.c, {b}.c)}}"
+
+
+@query(
+    "w10_chapters",
+    """SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY s) AS ch_no, round(s, 6) AS start, round(e, 6) AS "end", round(c, 6) AS confidence FROM halves WHERE round(e - s, 9) <= 300""",
+    (
+        SENTENCES,
+        """ pts AS (SELECT source_id, "end" AS p, (sent % 5) / 5.0::DOUBLE AS c, false AS is_end FROM sentences WHERE sent % 13 = 5)""",
+        """ d AS (SELECT source_id, max("end") AS duration, list(DISTINCT "end" ORDER BY "end") AS ends FROM sentences GROUP BY 1)""",
+        """ allp AS (SELECT * FROM pts UNION ALL SELECT source_id, duration, CASE WHEN source_id IN (SELECT source_id FROM pts) THEN 0.6::DOUBLE ELSE 0.7::DOUBLE END, true FROM d)""",
+        """ b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY is_end, p, c) AS i FROM allp)""",
+        """ ch AS MATERIALIZED (SELECT source_id, list({'s': s, 'e': p, 'c': c} ORDER BY i) AS l FROM (SELECT *, coalesce(lag(p) OVER (PARTITION BY source_id ORDER BY i), 0.0) AS s FROM b) GROUP BY 1)""",
+        f""" mg AS (SELECT source_id, l, 0::BIGINT AS i, 0::BIGINT AS used, list_filter(l, lambda x: false) AS done FROM ch
+          UNION ALL SELECT source_id, l, i + 1,
+            CASE WHEN used > i THEN used WHEN short AND NOT coalesce(into_left, false) AND rt IS NOT NULL THEN i + 2 ELSE i + 1 END,
+            CASE WHEN used > i THEN done WHEN NOT short THEN list_append(done, x) WHEN into_left THEN list_append(done[1:len(done) - 1], {_GLUE.format(a='done[len(done)]', b='x')})
+              WHEN rt IS NOT NULL THEN list_append(done, {_GLUE.format(a='x', b='rt')}) ELSE list_append(done, x) END
+          FROM (SELECT *, l[i + 1] AS x, l[i + 2] AS rt, round(l[i + 1].e - l[i + 1].s, 9) < 60 AS short, len(done) > 0 AND (l[i + 2] IS NULL OR done[len(done)].c <= l[i + 2].c) AS into_left FROM mg WHERE i < len(l)))""",
+        """ merged AS (SELECT source_id, x.s AS s, x.e AS e, x.c AS c FROM (SELECT source_id, unnest(done) AS x FROM mg WHERE i = len(l)))""",
+        # the nearest end within 15 s of the middle, the earlier of two, else the middle
+        """ halves AS (SELECT source_id, s, e, c FROM merged UNION ALL
+          SELECT source_id, unnest([s, p]), unnest([p, e]), c * 0.9::DOUBLE FROM (
+            SELECT source_id, s, e, c, CASE WHEN near > s AND near < e THEN near ELSE (s + e) / 2 END AS p FROM (
+              SELECT h.*, list_sort(list_transform(list_filter(d.ends, lambda x: abs(x - (s + e) / 2) <= 15), lambda x: {'far': abs(x - (s + e) / 2), 'x': x}))[1].x AS near
+              FROM halves h JOIN d ON d.source_id = h.source_id WHERE round(e - s, 9) > 300)))""",
+    ),
+    recursive=True,
+)
 def _(spark, sf):
     s = T.sentences(spark, sf)
     b = s.filter(F.col("sent") % 13 == 5).select("source_id", F.col("end").alias("at"), ((F.col("sent") % 5) / F.lit(5.0)).alias("confidence"))

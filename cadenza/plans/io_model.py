@@ -20,6 +20,7 @@ from cadenza.operators.select import dedup_jaccard
 from cadenza.operators.validate import extract_json
 from cadenza.plans.folds import PHRASES, PHRASES_SQL, RULES
 from cadenza.plans.registry import CLIPS, EVIDENCE, POINTS, SEGMENTS, SENTENCES, VECTORS, WORDS, query
+from cadenza.plans.selection import _JAC, TOKENS_SQL, greedy_sql
 from cadenza.plans.windows import r6
 from cadenza.session import durable_dir
 from cadenza.sources import readers as R
@@ -310,7 +311,23 @@ def _(spark, sf):
 # --- flagship ----------------------------------------------------------------------------------------
 
 
-@query("flagship_diverse_passages")
+@query(
+    "flagship_diverse_passages",
+    """, a AS (SELECT *, row_number() OVER (PARTITION BY source, left(trim(lower(lang)), 50) ORDER BY score DESC, rid) AS kk FROM (SELECT f.* FROM rk f JOIN walk USING (source, k) WHERE keep AND score >= 6)),
+      b AS (SELECT *, CASE WHEN kk <= 2 AND score >= 7 THEN 1 ELSE 2 END AS pass_no FROM a WHERE kk <= 3)
+    SELECT source, rid AS passage_id, lang, score, n_words, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pass_no, score DESC, rid) AS rank FROM b) WHERE rank <= 12""",
+    (
+        WORDS,
+        """ sess AS (SELECT *, sum(o::INT) OVER (PARTITION BY source_id ORDER BY start, pos) - 1 AS session FROM (
+          SELECT *, coalesce(round(start - lag("end") OVER (PARTITION BY source_id ORDER BY start, pos), 9) >= 0.75, true) AS o FROM words))""",
+        f""" passage AS (SELECT p.*, d.source, d.lang, {TOKENS_SQL.replace('lower(text)', 'lower(p.text)')} AS tok FROM (
+          SELECT source_id, session, count(*) AS n_words, string_agg(word, ' ' ORDER BY pos) AS text FROM sess GROUP BY 1, 2 HAVING count(*) >= 5) p JOIN documents d ON d.doc_id = p.source_id)""",
+        """ scored AS (SELECT *, source_id * 1000000 + session AS rid, round(10 * (0.6::DOUBLE * (1 - least(1.0::DOUBLE, abs(n_words - 20) / 20.0::DOUBLE)) + 0.4::DOUBLE * least(1.0::DOUBLE, len(tok) / n_words::DOUBLE)), 4) AS score FROM passage)""",
+        """ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, session) <= 7)""",
+        *greedy_sql("best", "source", "score DESC, rid", "r.tok", f"len(r.tok) = 0 OR len(list_filter(w.acc, lambda a: len(a) > 0 AND round({_JAC} - 0.85, 9) > 0)) = 0"),
+    ),
+    recursive=True,
+)
 def _(spark, sf):
     """Best diverse passages per document source.
 

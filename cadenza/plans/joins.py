@@ -94,6 +94,9 @@ def _(spark, sf):
 
 
 CUTS = """ cuts AS (SELECT source_id, pos AS cut_id, round(start + 0.021::DOUBLE * (pos % 5 - 2), 3) AS c_start, round(start + 7.3::DOUBLE + 0.017::DOUBLE * (pos % 7 - 3), 3) AS c_end FROM words WHERE pos % 50 = 3)"""
+# the same, computed once: read by several branches each
+WORDS_ONCE = WORDS.replace("\nwords AS (", "\nwords AS MATERIALIZED (")
+CUTS_ONCE = CUTS.replace(" cuts AS (", " cuts AS MATERIALIZED (")
 
 
 def cuts(w):
@@ -106,14 +109,14 @@ def cuts(w):
 
 @query(
     "j4_snap_cuts_to_words",
-    """, ws AS (SELECT source_id, start, "end", floor(start)::BIGINT AS sb, floor("end")::BIGINT AS eb FROM words),
-      cs AS (SELECT *, unnest(list_distinct([floor(c_start - 0.04)::BIGINT, floor(c_start + 0.04)::BIGINT])) AS sb FROM cuts),
-      ce AS (SELECT *, unnest(list_distinct([floor(c_end - 0.04)::BIGINT, floor(c_end + 0.04)::BIGINT])) AS eb FROM cuts),
+    """, ws AS MATERIALIZED (SELECT source_id, start, "end", floor(start)::BIGINT AS sb, floor("end")::BIGINT AS eb FROM words),
+      cs AS MATERIALIZED (SELECT *, unnest(list_distinct([floor(c_start - 0.04)::BIGINT, floor(c_start + 0.04)::BIGINT])) AS sb FROM cuts),
+      ce AS MATERIALIZED (SELECT *, unnest(list_distinct([floor(c_end - 0.04)::BIGINT, floor(c_end + 0.04)::BIGINT])) AS eb FROM cuts),
       s AS (SELECT c.source_id, cut_id, min_by(w.start, (round(abs(w.start - c_start), 9), w.start)) AS s FROM cs c JOIN ws w ON c.source_id = w.source_id AND c.sb = w.sb WHERE round(abs(w.start - c_start), 9) <= 0.03 GROUP BY 1, 2),
       e AS (SELECT c.source_id, cut_id, min_by(w."end", (round(abs(w."end" - c_end), 9), w."end")) AS e FROM ce c JOIN ws w ON c.source_id = w.source_id AND c.eb = w.eb WHERE round(abs(w."end" - c_end), 9) <= 0.03 GROUP BY 1, 2)
     SELECT source_id, cut_id, CASE WHEN ok THEN a ELSE c_start END AS new_start, CASE WHEN ok THEN b ELSE c_end END AS new_end FROM (
       SELECT c.*, coalesce(s, c_start) AS a, coalesce(e, c_end) AS b, round(coalesce(e, c_end) - coalesce(s, c_start), 9) > 0.1 AS ok FROM cuts c LEFT JOIN s USING (source_id, cut_id) LEFT JOIN e USING (source_id, cut_id))""",
-    (WORDS, CUTS),
+    (WORDS_ONCE, CUTS_ONCE),
 )
 def _(spark, sf):
     w = T.words(spark, sf)
@@ -139,14 +142,14 @@ FLAGS = r""" flags AS (SELECT source_id, pos, start, "end", coalesce(regexp_matc
 
 @query(
     "j5_snap_to_sentence",
-    """, fs AS (SELECT *, floor(start / 2)::BIGINT AS sb, floor("end" / 2)::BIGINT AS eb FROM flags),
-      cs AS (SELECT *, unnest(range(floor((c_start - 2) / 2)::BIGINT, floor((c_start + 2) / 2)::BIGINT + 1)) AS sb FROM cuts),
-      ce AS (SELECT *, unnest(range(floor((c_end - 2) / 2)::BIGINT, floor((c_end + 2) / 2)::BIGINT + 1)) AS eb FROM cuts),
+    """, fs AS MATERIALIZED (SELECT *, floor(start / 2)::BIGINT AS sb, floor("end" / 2)::BIGINT AS eb FROM flags),
+      cs AS MATERIALIZED (SELECT *, unnest(range(floor((c_start - 2) / 2)::BIGINT, floor((c_start + 2) / 2)::BIGINT + 1)) AS sb FROM cuts),
+      ce AS MATERIALIZED (SELECT *, unnest(range(floor((c_end - 2) / 2)::BIGINT, floor((c_end + 2) / 2)::BIGINT + 1)) AS eb FROM cuts),
       s AS (SELECT c.source_id, cut_id, min_by(f.start, (round(abs(f.start - c_start) - CASE WHEN opens THEN 0.5 ELSE 0 END, 9), pos)) AS s FROM cs c JOIN fs f ON c.source_id = f.source_id AND c.sb = f.sb WHERE f.start BETWEEN c_start - 2.0::DOUBLE AND c_start + 2.0::DOUBLE GROUP BY 1, 2),
       e AS (SELECT c.source_id, cut_id, min_by(f."end", (round(abs(f."end" - c_end) - CASE WHEN closes THEN 0.5 ELSE 0 END, 9), pos)) AS e FROM ce c JOIN fs f ON c.source_id = f.source_id AND c.eb = f.eb WHERE f."end" BETWEEN c_end - 2.0::DOUBLE AND c_end + 2.0::DOUBLE GROUP BY 1, 2)
     SELECT source_id, cut_id, CASE WHEN ok THEN a ELSE c_start END AS snap_start, CASE WHEN ok THEN b ELSE c_end END AS snap_end FROM (
       SELECT c.*, coalesce(s, c_start) AS a, coalesce(e, c_end) AS b, round(coalesce(e, c_end) - coalesce(s, c_start), 9) > 0.5 AS ok FROM cuts c LEFT JOIN s USING (source_id, cut_id) LEFT JOIN e USING (source_id, cut_id))""",
-    (WORDS, CUTS, FLAGS),
+    (WORDS_ONCE, CUTS_ONCE, FLAGS.replace(" flags AS (", " flags AS MATERIALIZED (")),
 )
 def _(spark, sf):
     w = T.words(spark, sf)

@@ -79,6 +79,27 @@ def _(spark, sf):
     return X.similar_pairs(d, id="doc_id", tokens="tok", threshold=0.5).withColumn("sim", F.round("sim", 6))
 
 
+def vector_pairs_sql(key: str, vec: str, threshold: float) -> str:
+    """SQL: pairs of different vectors of a key, and copies with the smallest id of their vector."""
+    return f"""WITH v AS (SELECT {key} AS k, vec_id, {vec}::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+      s AS MATERIALIZED (SELECT * FROM v WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+      rep AS MATERIALIZED (SELECT k, v, min(vec_id) AS rid FROM s GROUP BY 1, 2)
+    SELECT a.k AS source_id, a.rid AS id_a, b.rid AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM rep a JOIN rep b ON a.k = b.k AND a.rid < b.rid AND len(a.v) = len(b.v) WHERE round(list_cosine_similarity(a.v, b.v) - {threshold}, 9) >= 0
+    UNION ALL SELECT s.k, rid, vec_id, 1.0 FROM s JOIN rep USING (k, v) WHERE vec_id <> rid"""
+
+
+@query("j15_similar_vectors", vector_pairs_sql("label", "embedding", 0.3))
+def _(spark, sf):
+    return X.similar_pairs(T.vectors(spark, sf), id="item_id", vec="v", metric="cosine", threshold=0.3).withColumn("sim", F.round("sim", 6))
+
+
+# the first components only, over all labels: close pairs exist there, and regions separate
+@query("j15_similar_short_vectors", vector_pairs_sql("0", "embedding[:6]", 0.95))
+def _(spark, sf):
+    v = T.vectors(spark, sf).filter("source_id is not null").withColumns({"source_id": F.lit(0), "v": F.slice("v", 1, 6)})
+    return X.similar_pairs(v, id="item_id", vec="v", metric="cosine", threshold=0.95).withColumn("sim", F.round("sim", 6))
+
+
 PLANS = """ pl AS (SELECT source_id, i // 2 AS p, min(clip_id) AS rid, avg(score) AS score, list({'s': round(start / 20, 3), 'e': round(round(start / 20, 3) + "end" - start, 3)} ORDER BY clip_id) AS segs FROM (
    SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY start, clip_id) - 1 AS i FROM dense) GROUP BY 1, 2)"""
 
@@ -125,6 +146,24 @@ def _plan_ok(jac: float, cos: float, ov: float) -> str:
     return f"len(list_filter(w.acc, lambda a: ({seg}) OR round(list_cosine_similarity(a.vec, r.vec) - {cos}, 9) >= 0 OR (len(r.tok) >= 8 AND round({jc} - {jac}, 9) >= 0))) = 0"
 
 
+def _plan_level(jac: float, cos: float, ov: float) -> str:
+    """SQL: 1, 2 or 3 for the first level at which an accepted plan rejects ``r``, 0 for none."""
+    seg = f"len(list_filter(w.acc, lambda a: len(list_filter(r.segs, lambda y: len(list_filter(a.segs, lambda x: round(greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / greatest(0.000001, y.e - y.s) - {ov}, 9) >= 0)) > 0)) > 0)) > 0"
+    near = f"len(list_filter(w.acc, lambda a: round(list_cosine_similarity(a.vec, r.vec) - {cos}, 9) >= 0)) > 0"
+    jc = "len(list_intersect(a.tok, r.tok))::DOUBLE / (len(a.tok) + len(r.tok) - len(list_intersect(a.tok, r.tok)))"
+    return f"CASE WHEN {seg} THEN 1 WHEN {near} THEN 2 WHEN len(r.tok) >= 8 AND len(list_filter(w.acc, lambda a: round({jc} - {jac}, 9) >= 0)) > 0 THEN 3 ELSE 0 END"
+
+
+def _plan_walk(name: str, src: str, jac: float) -> tuple[str, str]:
+    lv = _plan_level(jac, 0.88, 0.30)
+    return (
+        f""" {name}k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, rid) AS k FROM {src})""",
+        f""" {name} AS (SELECT source_id, k, rid, 0 AS lv, [{_RICH_PAY.replace('r.', '')}] AS acc FROM {name}k WHERE k = 1
+          UNION ALL SELECT source_id, k, rid, lv, CASE WHEN lv = 0 THEN list_append(acc, pay) ELSE acc END FROM (
+            SELECT r.source_id, r.k, r.rid, {lv} AS lv, w.acc, {_RICH_PAY} AS pay FROM {name} w JOIN {name}k r ON r.source_id = w.source_id AND r.k = w.k + 1))""",
+    )
+
+
 _RICH_PAY = "{'segs': r.segs, 'vec': r.vec, 'tok': r.tok}"
 
 
@@ -138,10 +177,15 @@ def _(spark, sf):
     return X.unique_plans(rich_plans(spark, sf), cap=F.lit(12)).select("source_id", "plan_id", "pick")
 
 
-@query("d6_reject_levels")
+@query(
+    "d6_reject_levels",
+    """SELECT source_id, count(*) FILTER (lv = 1) AS reused_span, count(*) FILTER (lv = 2) AS near_vector, count(*) FILTER (lv = 3) AS same_words FROM walk WHERE lv > 0 GROUP BY 1""",
+    (DENSE, PLANS, RICH, *_plan_walk("walk", "rich", 0.65)),
+    recursive=True,
+)
 def _(spark, sf):
     p = rich_plans(spark, sf)
-    return X.reject_levels(p, X.unique_plans(p, cap=F.lit(10**9)))
+    return X.reject_levels(p, X.unique_plans(p))
 
 
 @query(
@@ -151,10 +195,22 @@ def _(spark, sf):
     recursive=True,
 )
 def _(spark, sf):
-    return X.unique_plans(rich_plans(spark, sf), cap=F.lit(10**9), params=X.LOOSE).select("source_id", "plan_id")
+    return X.unique_plans(rich_plans(spark, sf), params=X.LOOSE).select("source_id", "plan_id")
 
 
-@query("d6b_unique_plans_relaxed")
+@query(
+    "d6b_unique_plans_relaxed",
+    """SELECT source_id, plan_id, pick, false AS relaxed FROM one WHERE source_id NOT IN (SELECT source_id FROM few) UNION ALL
+    SELECT source_id, rid, row_number() OVER (PARTITION BY source_id ORDER BY k) AS pick, true FROM again WHERE lv = 0 QUALIFY pick <= 12""",
+    (
+        DENSE, PLANS, RICH, *_plan_walk("walk", "rich", 0.65),
+        " one AS MATERIALIZED (SELECT source_id, rid AS plan_id, row_number() OVER (PARTITION BY source_id ORDER BY k) AS pick FROM walk WHERE lv = 0 QUALIFY pick <= 12)",
+        " few AS MATERIALIZED (SELECT source_id FROM one GROUP BY 1 HAVING count(*) < 6)",
+        " poor AS MATERIALIZED (SELECT * FROM rich WHERE source_id IN (SELECT source_id FROM few))",
+        *_plan_walk("again", "poor", 0.8),
+    ),
+    recursive=True,
+)
 def _(spark, sf):
     return X.unique_plans_relaxed(rich_plans(spark, sf), low=F.lit(6), cap=F.lit(12)).select("source_id", "plan_id", "pick", "relaxed")
 
@@ -190,7 +246,22 @@ def ranked_pool(spark, sf):
     return running(T.vectors(spark, sf), ["source_id"], ["item_id"], {"_i": row_index()})
 
 
-@query("d12_leader_clusters")
+_SUM = "{'s': list_transform(range(1, len(r.v) + 1), lambda j: x.s[j] + r.v[j]), 'n': x.n + 1}"
+
+
+@query(
+    "d12_leader_clusters",
+    """SELECT source_id, item_id, c::BIGINT AS cluster FROM walk""",
+    (
+        VECTORS,
+        """ rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY item_id) AS k FROM vectors)""",
+        f""" walk AS (SELECT source_id, k, item_id, 0::BIGINT AS c, [{{'s': v, 'n': 1}}] AS st FROM rk WHERE k = 1
+          UNION ALL SELECT source_id, k, item_id, coalesce(hit, len(st) + 1) - 1, CASE WHEN hit IS NULL THEN list_append(st, {{'s': v, 'n': 1}}) ELSE list_transform(st, lambda x, i: CASE WHEN i = hit THEN {_SUM.replace('r.v', 'v')} ELSE x END) END FROM (
+            SELECT r.source_id, r.k, r.item_id, r.v, w.st, list_filter(range(1, len(w.st) + 1), lambda i: round(list_cosine_similarity(r.v, w.st[i].s) - 0.3, 9) >= 0)[1] AS hit
+            FROM walk w JOIN rk r ON r.source_id = w.source_id AND r.k = w.k + 1))""",
+    ),
+    recursive=True,
+)
 def _(spark, sf):
     return X.leader_clusters(ranked_pool(spark, sf), threshold=0.3)
 
@@ -204,11 +275,51 @@ def novel_arcs(spark, sf):
     )
 
 
-@query("k4_rank_novel")
+def _novel_walk(name: str, start: str, sim: str, limit: float, ok: str, no: int) -> tuple[str, ...]:
+    """SQL: one pass over ``rk``; ``start`` gives (source_id, acc)."""
+    entry = f"{{'arc': r.arc_id, 'chapter': r.chapter, 'kind': r.kind, 'w': r.w, 'comp': r.comp, 'nov': nov, 'pass': {no}}}"
+    nov = f"greatest(0, least(1, 1 - greatest(0, coalesce(list_max(list_transform(w.acc, lambda a: {sim})), 0))))"
+    return (
+        f""" {name} AS (SELECT source_id, 0::BIGINT AS k, acc FROM {start}
+          UNION ALL SELECT source_id, k, CASE WHEN len(acc) < 10 AND fits AND round(nov - (1 - {limit}), 9) >= 0 THEN list_append(acc, {entry.replace('r.', '')}) ELSE acc END FROM (
+            SELECT r.*, w.acc, {nov} AS nov, {ok} AS fits FROM {name} w JOIN rk r ON r.source_id = w.source_id AND r.k = w.k + 1))""",
+        f""" {name}e AS MATERIALIZED (SELECT source_id, max_by(acc, k) AS acc FROM {name} GROUP BY 1)""",
+    )
+
+
+def novel_sql(src: str, sim: str, limit: float) -> tuple[str, ...]:
+    fit = 'CASE WHEN "end" - start <= 42 THEN 0.5::DOUBLE + 0.5::DOUBLE * ("end" - start - 28) / 14 ELSE 1 - 0.5::DOUBLE * ("end" - start - 42) / 33 END'
+    return (
+        src,
+        f""" rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(comp, 9) DESC, arc_id) AS k FROM (
+          SELECT *, 0.4::DOUBLE * hook_score + 0.4::DOUBLE * arc_score + 0.2::DOUBLE * ({fit}) AS comp FROM arcs WHERE "end" - start BETWEEN 28 AND 75))""",
+        """ begin AS (SELECT DISTINCT source_id, list_filter([{'arc': arc_id, 'chapter': chapter, 'kind': kind, 'w': w, 'comp': comp, 'nov': comp, 'pass': 1}], lambda x: false) AS acc FROM rk WHERE k = 1)""",
+        *_novel_walk("first", "begin", sim, limit, "len(list_filter(w.acc, lambda a: a.kind = r.kind)) < 2", 1),
+        *_novel_walk("second", "firste", sim, 0.85, "len(list_filter(w.acc, lambda a: a.chapter = r.chapter)) = 0", 2),
+    )
+
+
+NOVEL = """SELECT source_id, x.arc AS arc_id, i AS rank, round(x.comp * x.nov, 6) AS final_score, round(x.nov, 6) AS novelty, x.pass::BIGINT AS pass_no
+    FROM (SELECT source_id, unnest(range(1, len(acc) + 1)) AS i, unnest(acc) AS x FROM seconde)"""
+_ARC = """item_id AS arc_id, item_id // 20 AS chapter, (item_id % 4)::VARCHAR AS kind, (item_id * 7 % 10) / 10.0::DOUBLE AS hook_score, (item_id * 3 % 10) / 10.0::DOUBLE AS arc_score, 0.0::DOUBLE AS start, (25 + item_id % 55)::DOUBLE AS "end\""""
+_ARC_V = f""" arcs AS (SELECT source_id, {_ARC}, v AS w FROM vectors)"""
+_WSIM = "CASE WHEN len(a.w) = 0 OR len(r.w) = 0 THEN 0 ELSE len(list_intersect(a.w, r.w))::DOUBLE / (len(a.w) + len(r.w) - len(list_intersect(a.w, r.w))) END"
+_ARC_W = f""" arcs AS (SELECT source_id, {_ARC}, {TOKENS_SQL} AS w FROM (SELECT v.*, substr(d.text, 1, 200) AS text FROM vectors v JOIN documents d ON d.doc_id = v.item_id % 40))"""
+
+
+@query("k4_rank_novel", NOVEL, (VECTORS, *novel_sql(_ARC_V, "list_cosine_similarity(r.w, a.w)", 0.72)), recursive=True)
 def _(spark, sf):
     return X.rank_novel(novel_arcs(spark, sf), target=10).select("source_id", "arc_id", "rank", *r6("final_score", "novelty"), "pass_no")
 
 
+# five arcs share an opening each, so many are alike by words
+@query("k4_rank_novel_by_words", NOVEL, (VECTORS, *novel_sql(_ARC_W, _WSIM, 0.6)), recursive=True)
+def _(spark, sf):
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), tokens(F.substring("text", 1, 200)).alias("tokens"))
+    a = novel_arcs(spark, sf).withColumn("_d", F.col("arc_id") % 40).join(d, "_d").drop("_d")
+    return X.rank_novel(a, target=10, words=True).select("source_id", "arc_id", "rank", *r6("final_score", "novelty"), "pass_no")
+
+
 ANCHORS = """ q AS (SELECT source_id AS query_id, list(m ORDER BY i) AS qv FROM (SELECT source_id, i, avg(x) AS m FROM (SELECT source_id, unnest(range(len(v))) AS i, unnest(v) AS x FROM vectors) GROUP BY 1, 2) GROUP BY 1),
   j AS (SELECT query_id, item_id, list_cosine_similarity(v, qv) AS cos FROM vectors, q)"""
 

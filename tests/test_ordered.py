@@ -84,22 +84,21 @@ def walk(seq):
 
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), min_size=1, max_size=60), st.integers(-5, 45))
 @settings(max_examples=300, deadline=None)
-def test_step_function_equals_walk(pairs, base):
-    """The summary of a block answers for every base what walking the block answers."""
+def test_what_leaves_a_block_equals_the_walk(pairs, base):
+    """A block answers for every base what walking it answers, and names every base that can leave it."""
     import numpy as np
 
     v = np.array([float(a) for a, _ in pairs])
     b = np.array([float(c) for _, c in pairs])
-    upto, res = cuts._step_function(v, b)
-    at = int(np.searchsorted(np.array(upto), float(base), side="left"))
-    by_map = res[at] if at < len(res) else float(base)
     cur = float(base)
     for x, y in zip(v, b):
         if x >= cur:
             cur = y
-    assert by_map == cur
+    assert cuts._through(v, b, np.array([float(base)]))[0] == cur
     _, out = cuts._marks(v, b, float(base))
     assert out == cur
+    outs, top = cuts.reach(v, b)
+    assert cur in outs or (cur == base and base > top)
 
 
 @pytest.mark.parametrize("blocks,span", [(1, 20.0), (16, 20.0), (16, 5000.0), (40, 3.0)])
@@ -128,7 +127,7 @@ def test_open_segments_hot_key(spark, blocks, span):
 
 
 def test_one_key_over_many_blocks_equals_the_loop(spark, monkeypatch):
-    """An evenly spaced key over 64 blocks: bases travel by composed step functions."""
+    """An evenly spaced key over 64 blocks: what can leave a block is a short list."""
     from pyspark.sql import functions as F
 
     from cadenza.operators import cuts, ordered
@@ -147,14 +146,12 @@ def test_one_key_over_many_blocks_equals_the_loop(spark, monkeypatch):
     assert [r.opens for r in got] == want
 
 
-def test_composed_steps_equal_two_steps():
+@pytest.mark.parametrize("rows", [1_000, 200_000])
+def test_few_bases_leave_evenly_spaced_rows(rows):
+    """However many rows a block has, what it hands on stays short."""
     import numpy as np
 
-    from cadenza.operators.cuts import _apply, _step_function, compose
-
-    rng = np.random.default_rng(1)
-    for _ in range(100):
-        v, b = np.sort(rng.normal(size=30)), rng.normal(size=30)
-        f, g = (tuple(map(np.array, _step_function(v[a:z], b[a:z]))) for a, z in ((0, 15), (15, 30)))
-        x = rng.normal(size=50)
-        assert np.allclose(_apply(*compose(f, g), x), _apply(*g, _apply(*f, x)))
+    t = np.arange(rows) * 0.4
+    for v, b in ((t - 20, t), (np.cumsum(np.full(rows, 7.0)) - 900, np.cumsum(np.full(rows, 7.0)) - 7), (t, t + 0.3)):
+        assert len(cuts.reach(v, b)[0]) < 200
+    assert len(cuts.reach(t - 20, t)[0]) < 100
