@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import safe_id, tokens, trim_text
+from cadenza.functions.vector import norm
 from cadenza.operators.intervals import exclude_overlapping, overlap_join
+from cadenza.operators.rank import vector_topk
 from cadenza.operators.segment import CLOSING_ROLES, PLAN_MAX, PLAN_MIN
+from cadenza.session import materialize
 
 
 def jitter(*parts: Column, top: float = 10.0) -> Column:
@@ -183,6 +186,33 @@ def recent_liked(artifacts: DataFrame, jobs: DataFrame, *, exclude_job, newest:
     return a.orderBy(F.desc("created"), "artifact_id").limit(min(newest, keep))
 
 
+# Anchors by date and by vector, and characters of one.
+ANCHORS_BY_DATE, ANCHORS_BY_VECTOR, ANCHOR_CHARS = 8, 5, 180
+
+
+def liked_anchors(liked: DataFrame, like: DataFrame | None = None, *, most: int = ANCHORS_BY_DATE, most_near: int = ANCHORS_BY_VECTOR) -> DataFrame:
+    """(rank, artifact_id, anchor, mode): phrases of liked rows (artifact_id, created, hook, v) that steer new selections, each said once.
+
+    With ``like`` (one row: qv) the nearest by cosine; rows without a usable vector do not take part. Without it, or when no row can be
+    compared, the newest. Phrases are compared trimmed and case-folded, and cut to ``ANCHOR_CHARS`` characters for output.
+    """
+    rows = liked.select("artifact_id", "created", F.substring(F.trim("hook"), 1, ANCHOR_CHARS).alias("anchor"), "v").filter("anchor <> ''")
+    said = F.lower(F.trim(F.col("anchor")))
+    if like is not None:
+        q = like.filter(norm(F.col("qv")) > 1e-9).select("qv").limit(1).withColumn("query_id", F.lit(0))
+        size = q.select(F.size("qv").alias("n")).first()
+        usable = F.coalesce((norm(F.col("v")) > 1e-9) & (F.size("v") == F.lit(size["n"] if size else -1)), F.lit(False))
+        near = vector_topk(rows.filter(usable).withColumnRenamed("artifact_id", "item_id"), q, min(most, most_near), text="anchor")
+        near = materialize(near.select(F.col("item_id").alias("artifact_id"), "rank").join(rows.select("artifact_id", "anchor"), "artifact_id"))
+        if not near.isEmpty():
+            return near.select(F.col("rank").cast("int").alias("rank"), "artifact_id", "anchor", F.lit("cosine").alias("mode"))
+    newest = F.max(F.struct("created", (-F.col("artifact_id")).alias("_t"), "anchor"))
+    n = rows.groupBy(said.alias("_said")).agg(newest.alias("_b")).select("_b.created", (-F.col("_b._t")).alias("artifact_id"), "_b.anchor")
+    n = n.orderBy(F.desc("created"), "artifact_id").limit(most)
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("created"), "artifact_id")  # of the few rows that are left
+    return n.select(F.row_number().over(w).alias("rank"), "artifact_id", "anchor", F.lit("top_by_date").alias("mode"))
+
+
 def _first_free(hits: DataFrame, keys: list[str], rank: str) -> DataFrame:
     """(keys, k): the smallest rank from 1 that is not among a plan's hits."""
     w = Window.partitionBy(*keys).orderBy(rank)

@@ -86,9 +86,11 @@ def distinct_text_keep_best(df: DataFrame, key, text: str, score: str, id: str,
 QUERY_BLOCK = 1024
 
 
-def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | None = None) -> DataFrame:
+def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | None = None, text: str | None = None) -> DataFrame:
     """Cosine top-k of ``items`` (item_id, v) for every row of ``queries`` (query_id, qv).
 
+    With ``text``, items that say the same (trimmed, case-folded) count once, by their best cosine; items without text are left out.
+
     Queries are counted and reach the tasks in blocks of at most ``QUERY_BLOCK`` as one scalar subquery each; items are
     scanned once per block and never shuffled, and only the best ``k`` per task and query leave a task.
     """
@@ -98,11 +100,15 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | N
     for i in range(blocks):
         packed = queries.filter(F.col("_blk") == i).agg(F.sort_array(F.collect_list(F.struct("query_id", "qv"))).alias("_q"))
         j = items.withColumn("_q", F.explode(packed.scalar()))
-        parts.append(j.select(F.col("_q.query_id").alias("query_id"), "item_id", cosine(F.col("v"), F.col("_q.qv")).alias("cos")))
+        said = [F.lower(F.trim(F.col(text))).alias("_said")] if text else []
+        parts.append(j.select(F.col("_q.query_id").alias("query_id"), "item_id", cosine(F.col("v"), F.col("_q.qv")).alias("cos"), *said))
     j = parts[0]
     for p in parts[1:]:
         j = j.unionByName(p)
     if min_cos is not None:
         j = j.filter(F.col("cos") >= min_cos)
+    if text:
+        best = F.max(F.struct("cos", (-F.col("item_id")).alias("_t")))
+        j = j.filter("_said <> ''").groupBy("query_id", "_said").agg(best.alias("_b")).select("query_id", (-F.col("_b._t")).alias("item_id"), F.col("_b.cos").alias("cos"))
     w = Window.partitionBy("query_id").orderBy(F.desc("cos"), "item_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

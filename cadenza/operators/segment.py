@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from cadenza.operators.cuts import open_segments
 from cadenza.operators.fold import fold_small
-from cadenza.operators.intervals import asof, nearest_within
+from cadenza.operators.intervals import asof, nearest_within, point_join
 from cadenza.operators.ordered import BLOCK, carried, lag, last_value, lead, ordered_blocks, row_index, run_sum, running
+from cadenza.session import materialize
 
 INF = float("inf")
 
@@ -70,12 +71,13 @@ def budget_chunks(
         base = F.col("_before")
     r = r.withColumn("_base", base).drop("_rid")
     opened = open_segments(r, key, order, v_strict=F.col("_before") + F.col("_size") - budget, b=F.col("_base"), blocked=True)
-    n = _numbered(opened, key, order, "chunk")
-    own = n.drop("opens", "_prev", "_tail")
-    # rows repeated as overlap: between the next chunk's base and its break
-    nxt = n.filter("opens").select(*key, (F.col("chunk") - 1).alias("chunk"), F.col("_base").alias("_nb"))
-    again = own.join(nxt, [*key, "chunk"]).filter(F.col("_before") >= F.col("_nb")).withColumn("chunk", F.col("chunk") + 1).drop("_nb")
-    return own.unionByName(again).drop("_before", "_base")
+    # written once: the marking pass would run for every branch
+    n = materialize(_numbered(opened, key, order, "chunk").drop("_prev", "_tail"))
+    own = n.drop("opens")
+    # rows repeated as overlap: between a chunk's base and its break; after short chunks they reach back over several
+    spans = n.filter(F.col("opens") & (F.col("_base") < F.col("_before"))).select(*key, "chunk", F.col("_base").alias("_nb"), F.col("_before").alias("_ob"))
+    again = point_join(own.drop("chunk"), spans, key, "_before", ("_nb", "_ob"), width=max(2.0 * overlap, 1.0), levels=3).filter(F.col("_before") < F.col("_ob"))
+    return own.unionByName(again.drop("_nb", "_ob")).drop("_before", "_base")
 
 
 def chunk_table(rows: DataFrame, key=("source_id",)) -> DataFrame:
@@ -487,27 +489,26 @@ def trim_to_budget(segs: DataFrame, key, *, limit: float = PLAN_MAX) -> DataFram
 def chapters(bounds: DataFrame, duration: DataFrame, ends: DataFrame, *, shortest: float = 60.0, longest: float = 300.0, near: float = 15.0, key=("source_id",)) -> DataFrame:
     """Boundaries (source_id, at, confidence) -> contiguous chapters (source_id, ch_no, start, end, confidence).
 
-    Ranges come from look-ahead windows; a chapter below ``shortest`` joins its weaker neighbour; one above
-    ``longest`` is halved at the nearest segment end (``ends``: source_id, end) within ``near`` of the middle, again and
-    again. Merging goes left to right over one array per source: boundaries are already limited per source
-    (see :func:`cadenza.operators.series.boundary_candidates`).
+    A chapter below ``shortest`` joins its weaker neighbour, from left to right; one above ``longest`` is halved at the nearest segment
+    end (``ends``: source_id, end) within ``near`` of the middle, again and again. What is merged cannot cross two chapters in a row
+    that are long enough: the second one of them starts a run that is merged by itself, so no source is ever one array.
     """
     key = list(key)
     d = duration.select(*key, "duration")
-    pts = bounds.select(*key, "at", "confidence")
-    arr = F.sort_array(F.collect_list(F.struct("at", "confidence")))
-    g = d.join(pts.groupBy(*key).agg(arr.alias("_b")), key, "left")
-    t = "array<struct<s:double,e:double,c:double>>"
-    last = F.struct(F.col("duration").alias("at"), F.when(F.size("_b") > 0, F.lit(0.6)).otherwise(F.lit(0.7)).alias("confidence"))
-    g = g.withColumn("_b", F.coalesce("_b", F.array().cast("array<struct<at:double,confidence:double>>")))
-    g = g.withColumn("_b", F.concat("_b", F.array(last)))
-
-    def chain(acc, x):
-        s = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0.0))
-        return F.concat(acc, F.array(F.struct(s.alias("s"), x["at"].alias("e"), x["confidence"].alias("c"))))
-
-    empty = F.array().cast(t)
-    g = g.withColumn("_c", F.aggregate("_b", empty, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(F.lit(0.0).alias("s"), x["at"].alias("e"), x["confidence"].alias("c")))).otherwise(chain(a, x))))
+    pts = bounds.select(*key, "at", "confidence", F.lit(0).alias("_z"))
+    some = pts.select(*key).distinct().withColumn("_some", F.lit(True))
+    last = d.join(some, key, "left").select(*key, F.col("duration").alias("at"), F.when(F.col("_some"), F.lit(0.6)).otherwise(F.lit(0.7)).alias("confidence"), F.lit(1).alias("_z"))
+    # boundaries of sources without a duration are left out
+    b = ordered_blocks(pts.join(d.select(*key), key, "left_semi").unionByName(last), key, ["_z", "at", "confidence"])
+    order = ["_z", "at", "confidence"]
+    c = carried(b, key, order, {"_ps": lag("at"), "_no": row_index()})
+    c = c.withColumn("s", F.coalesce("_ps", F.lit(0.0))).withColumn("_long", F.round(F.col("at") - F.col("s"), 9) >= shortest)
+    c = carried(c, key, order, {"_pl": lag("_long")})
+    c = c.withColumn("_head", (F.col("_long") & F.coalesce("_pl", F.lit(True))).cast("long"))
+    c = carried(c, key, order, {"_run": run_sum("_head")})
+    g = c.groupBy(*key, "_run").agg(F.sort_array(F.collect_list(F.struct("_no", "s", F.col("at").alias("e"), F.col("confidence").alias("c")))).alias("_r"))
+    g = g.withColumn("_c", F.transform("_r", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["c"].alias("c"))))
+    empty = F.array().cast("array<struct<s:double,e:double,c:double>>")
 
     def merge(acc, i):
         """acc: done chapters and the index up to which input rows are used."""
@@ -533,8 +534,6 @@ def chapters(bounds: DataFrame, duration: DataFrame, ends: DataFrame, *, shortes
     c = g.select(*key, F.explode("_m").alias("_x")).select(*key, F.col("_x.s").alias("start"), F.col("_x.e").alias("end"), F.col("_x.c").alias("confidence"))
 
     # halve long chapters: every round doubles the parts, so rounds grow with the log of the longest
-    from cadenza.session import materialize
-
     done = []
     while True:
         c = materialize(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadenza.operators import compose as C
+from cadenza.operators import rank as K
 from cadenza.operators import validate as V
 from cadenza.operators.segment import split_arcs
 from cadenza.operators.select import leader_clusters
@@ -208,6 +209,55 @@ def _(spark, sf):
     return C.recent_liked(a, j, exclude_job=7).select("artifact_id", "job_id")
 
 
+LIKED = """ liked AS (SELECT o_orderkey AS artifact_id, o_orderdate AS created, substr(trim(d.text), 1, 180) AS anchor, e.embedding::DOUBLE[] AS v
+  FROM orders JOIN documents d ON d.doc_id = o_orderkey % 60 JOIN embeddings e ON e.vec_id = o_orderkey % 300 WHERE o_orderstatus = 'F' AND trim(d.text) <> '')"""
+
+
+def liked(spark, sf):
+    """Liked orders with a phrase and a vector; many of them say the same."""
+    o = T.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("artifact_id"), F.col("o_orderdate").alias("created"))
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("hook"))
+    e = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("_e"), F.col("embedding").cast("array<double>").alias("v"))
+    k = F.col("artifact_id")
+    return o.withColumns({"_d": k % 60, "_e": k % 300}).join(d, "_d").join(e, "_e").drop("_d", "_e")
+
+
+@query(
+    "k12_liked_anchors_by_date",
+    """SELECT row_number() OVER (ORDER BY created DESC, artifact_id)::INT AS rank, artifact_id, anchor, 'top_by_date' AS mode FROM (
+      SELECT * FROM liked QUALIFY row_number() OVER (PARTITION BY lower(trim(anchor)) ORDER BY created DESC, artifact_id) = 1) ORDER BY created DESC, artifact_id LIMIT 8""",
+    (LIKED,),
+)
+def _(spark, sf):
+    return C.liked_anchors(liked(spark, sf))
+
+
+@query(
+    "k12_liked_anchors_by_vector",
+    """, c AS (SELECT l.*, list_cosine_similarity(v, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)) AS cos FROM liked l)
+    SELECT row_number() OVER (ORDER BY cos DESC, artifact_id)::INT AS rank, artifact_id, anchor, 'cosine' AS mode FROM (
+      SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lower(trim(anchor)) ORDER BY cos DESC, artifact_id) = 1) ORDER BY cos DESC, artifact_id LIMIT 5""",
+    (LIKED,),
+)
+def _(spark, sf):
+    q = T.table(spark, sf, "embeddings").filter("vec_id = 7").select(F.col("embedding").cast("array<double>").alias("qv"))
+    return C.liked_anchors(liked(spark, sf), q)
+
+
+@query(
+    "k5_vector_topk_distinct_text",
+    """, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 100 = 0),
+      c AS (SELECT query_id, artifact_id AS item_id, list_cosine_similarity(v, qv) AS cos, lower(trim(anchor)) AS said FROM liked, q),
+      b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id, said ORDER BY cos DESC, item_id) = 1)
+    SELECT query_id, item_id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM b) WHERE rank <= 10""",
+    (LIKED,),
+)
+def _(spark, sf):
+    e = T.table(spark, sf, "embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qv"))
+    items = liked(spark, sf).select(F.col("artifact_id").alias("item_id"), "v", F.substring(F.trim("hook"), 1, 180).alias("said"))
+    return K.vector_topk(items, e, 10, text="said").select("query_id", "item_id", *r6("cos"), "rank")
+
+
 MOTIF = """ rk AS (SELECT source_id, clip_id AS id, start, start + 6 + clip_id % 17 AS "end", CASE WHEN topic IN ('signup', 'view') THEN 'payoff_candidate' ELSE 'peak_candidate' END AS category, score, clip_id % 3 AS motif FROM dense),
   ps AS (SELECT source_id, clip_id AS plan_id, 0 AS seg_no, start AS s, "end" AS e FROM dense WHERE score >= 9 UNION ALL SELECT source_id, clip_id, 1, "end" + 300, "end" + 330 FROM dense WHERE score >= 9)"""
 

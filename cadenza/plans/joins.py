@@ -123,6 +123,54 @@ def _(spark, sf):
     return E.snap_cuts(cuts(w), w, ["source_id", "cut_id"], tol=0.030000001).select("source_id", "cut_id", "new_start", "new_end")
 
 
+# a beat near the start of every third word
+BEATS = """ beats AS MATERIALIZED (SELECT source_id, round(start + 0.013::DOUBLE * (pos % 11), 3) AS t FROM words WHERE pos % 3 = 0)"""
+
+
+def _beat_sql(edge: str) -> str:
+    return f""" {edge}p AS (SELECT c.source_id, cut_id, b.t FROM cuts c ASOF JOIN beats b ON c.source_id = b.source_id AND c.c_{edge} >= b.t),
+      {edge}n AS (SELECT c.source_id, cut_id, b.t FROM cuts c ASOF JOIN beats b ON c.source_id = b.source_id AND c.c_{edge} <= b.t)"""
+
+
+def _near(edge: str) -> str:
+    p, n, x = f"{edge}p.t", f"{edge}n.t", f"c_{edge}"
+    return f"CASE WHEN {x} - {p} <= 0.150000001 AND ({n} IS NULL OR {x} - {p} <= {n} - {x}) THEN {p} WHEN {n} - {x} <= 0.150000001 THEN {n} ELSE {x} END"
+
+
+BEAT_SNAPS = (
+    WORDS_ONCE, CUTS_ONCE, BEATS, _beat_sql("start"), _beat_sql("end"),
+    f""" snaps AS (SELECT *, ne - ns < greatest(0.1, (c_end - c_start) * 0.1) - 5e-10 AS back FROM (SELECT c.*, {_near('start')} AS ns, {_near('end')} AS ne FROM cuts c
+      LEFT JOIN startp USING (source_id, cut_id) LEFT JOIN startn USING (source_id, cut_id) LEFT JOIN endp USING (source_id, cut_id) LEFT JOIN endn USING (source_id, cut_id)))""",
+)
+
+
+def beat_snaps(spark, sf):
+    w = T.words(spark, sf)
+    beats = w.filter(F.col("pos") % 3 == 0).select("source_id", F.round(F.col("start") + F.lit(0.013) * (F.col("pos") % 11), 3).alias("t"))
+    # every seventh cut is so short that moving its edges apart or together leaves too little
+    c = cuts(w).withColumn("c_end", F.when(F.col("cut_id") % 350 == 3, F.round(F.col("c_start") + 0.22, 3)).otherwise(F.col("c_end")))
+    return E.snap_to_beats(c, beats, ["source_id", "cut_id"]), beats
+
+
+_SHORT_CUTS = [x.replace(" cuts AS MATERIALIZED (SELECT", " cuts0 AS (SELECT") + ", cuts AS MATERIALIZED (SELECT source_id, cut_id, c_start, CASE WHEN cut_id % 350 = 3 THEN round(c_start + 0.22::DOUBLE, 3) ELSE c_end END AS c_end FROM cuts0)" if x is CUTS_ONCE else x for x in BEAT_SNAPS]
+
+
+@query("j4_snap_to_beats", """SELECT source_id, cut_id, CASE WHEN back OR ns = c_start THEN c_start ELSE round(ns, 3) END AS new_start, CASE WHEN back OR ne = c_end THEN c_end ELSE round(ne, 3) END AS new_end, back AS kept_back FROM snaps""", tuple(_SHORT_CUTS))
+def _(spark, sf):
+    return beat_snaps(spark, sf)[0].select("source_id", "cut_id", "new_start", "new_end", "kept_back")
+
+
+@query(
+    "j4_beat_snap_stats",
+    """SELECT source_id, count(*) FILTER (ns <> c_start) AS snapped_starts, count(*) FILTER (ne <> c_end) AS snapped_ends, any_value(n) AS total_beats, round(max(greatest(abs(ns - c_start), abs(ne - c_end))), 3) AS max_shift
+    FROM snaps JOIN (SELECT source_id, count(*) AS n FROM beats GROUP BY 1) USING (source_id) GROUP BY 1""",
+    tuple(_SHORT_CUTS),
+)
+def _(spark, sf):
+    s, beats = beat_snaps(spark, sf)
+    return E.beat_snap_stats(s, beats)
+
+
 @query(
     "j4_nearest_event",
     """, a AS (SELECT * FROM points WHERE kind = 'purchase'), p AS (SELECT * FROM points WHERE kind = 'signup'),

@@ -30,10 +30,10 @@ def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "update") -> None:
-    spark = df.sparkSession
-    base = os.path.join(durable_dir(spark), f"stream-{uuid.uuid4().hex}")
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
+def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "update", state: str | None = None) -> None:
+    """``handle`` for every batch of all available input. With a ``state`` folder the stream goes on where it stopped."""
+    state = state or os.path.join(durable_dir(df.sparkSession), f"stream-{uuid.uuid4().hex}", "state")
+    df.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
 
 def stage_durations_stream(events: DataFrame, *, key: str = "user_id", stage: str = "event_type", terminal: str = "purchase", timeout: str = "2 days", late: str = "1 hour") -> DataFrame:
@@ -116,40 +116,56 @@ def rate_per_minute(events: DataFrame, *, key: str = "user_id", limit: int = 1,
     return g.filter(F.col("n") > limit).select(key, F.col("w.start").alias("start"), "n")
 
 
-def deliver(queue: DataFrame, send: Callable[[DataFrame], DataFrame], sink: str, *, limit: int | None = None) -> None:
+STEPS_A_BATCH = 1_000_000  # triggers between two stream batches at most
+
+
+def deliver(queue: DataFrame, send: Callable[[DataFrame], DataFrame], sink: str, *, limit: int | None = None, drain: bool = True) -> None:
     """Deliver queued rows until each is scheduled or has failed; ``sink`` gets one final row per assignment.
 
     ``send`` adds the boolean ``ok`` to a batch. Rows that failed before their last attempt, and rows beyond
-    ``limit`` (deliveries per trigger, earliest first), stay in a queue table that the next trigger reads; when the stream
-    has ended, triggers go on until the queue is empty. Attempts are written before they are split, so rows are sent once per
-    trigger, and a trigger that runs again overwrites its own folders.
+    ``limit`` (deliveries per trigger, earliest first), stay in a queue table that the next trigger reads; with ``drain``, triggers go
+    on until the queue is empty when the stream has ended.
+
+    The stream's state and all tables lie beside ``sink``; nothing is kept in the driver, so a job that was stopped goes on by the same
+    call. A trigger's folders carry its number (stream batch, then the triggers after it), and a row in the table of finished triggers is
+    written last: it names the queue to go on from. A trigger that runs again overwrites its folders, and does not send again
+    what it has sent: attempts are marked as soon as they are written.
     """
     from cadenza.operators.publish import delivery_attempt
 
     spark = queue.sparkSession
-    last = {"epoch": -1}
 
-    def pending(epoch: int) -> str:
-        return f"{sink}-queue/batch={epoch}"
+    def marks(name: str) -> DataFrame:
+        spark.range(0).select(F.col("id").alias("step"), F.col("id").alias("waiting")).write.mode("append").parquet(f"{sink}-{name}")
+        return spark.read.parquet(f"{sink}-{name}")
+
+    def mark(name: str, step: int, waiting: int = 0) -> None:
+        spark.range(1).select(F.lit(step).cast("long").alias("step"), F.lit(waiting).cast("long").alias("waiting")).write.mode("append").parquet(f"{sink}-{name}")
+
+    def before(step: int | None):
+        """The last finished trigger, or the last one before ``step``."""
+        m = marks("steps")
+        return (m if step is None else m.filter(F.col("step") < step)).orderBy(F.desc("step")).first()
 
-    def trigger(new: DataFrame | None, epoch: int) -> int:
+    def trigger(new: DataFrame | None, step: int) -> None:
         due = new.filter("status = 'queued'") if new is not None else None
-        if last["epoch"] >= 0:
-            old = spark.read.parquet(pending(last["epoch"]))
+        last = before(step)
+        if last is not None:
+            old = spark.read.parquet(f"{sink}-queue/batch={last['step']}")
             due = old if due is None else old.unionByName(due)
-        pool = f"{sink}-pool/batch={epoch}"
-        due.write.mode("overwrite").parquet(pool)
-        due = spark.read.parquet(pool)
-        now = due.orderBy("scheduled_at", "assignment_id").limit(limit) if limit else due
-        tried = f"{sink}-tried/batch={epoch}"
-        delivery_attempt(send(now)).write.mode("overwrite").parquet(tried)
-        now = spark.read.parquet(tried)
-        now.filter("status <> 'queued'").write.mode("overwrite").parquet(f"{sink}/batch={epoch}")
+        pool, tried = f"{sink}-pool/batch={step}", f"{sink}-tried/batch={step}"
+        if marks("sent").filter(F.col("step") == step).isEmpty():
+            due.write.mode("overwrite").parquet(pool)
+            due = spark.read.parquet(pool)
+            now = due.orderBy("scheduled_at", "assignment_id").limit(limit) if limit else due
+            delivery_attempt(send(now)).write.mode("overwrite").parquet(tried)
+            mark("sent", step)
+        due, now = spark.read.parquet(pool), spark.read.parquet(tried)
+        now.filter("status <> 'queued'").write.mode("overwrite").parquet(f"{sink}/batch={step}")
         rest = due.join(now.select("assignment_id"), "assignment_id", "left_anti").select(*now.columns)
-        now.filter("status = 'queued'").unionByName(rest).write.mode("overwrite").parquet(pending(epoch))
-        last["epoch"] = epoch
-        return spark.read.parquet(pending(epoch)).count()
+        now.filter("status = 'queued'").unionByName(rest).write.mode("overwrite").parquet(f"{sink}-queue/batch={step}")
+        mark("steps", step, spark.read.parquet(f"{sink}-queue/batch={step}").count())
 
-    run_batches(queue, lambda batch, epoch: trigger(batch, epoch), "append")
-    while last["epoch"] >= 0 and not spark.read.parquet(pending(last["epoch"])).isEmpty():
-        trigger(None, last["epoch"] + 1)
+    run_batches(queue, lambda batch, epoch: trigger(batch, epoch * STEPS_A_BATCH), "append", state=f"{sink}-state")
+    while drain and (last := before(None)) is not None and last["waiting"]:
+        trigger(None, last["step"] + 1)

@@ -1,8 +1,10 @@
 """Delivery keeps what a trigger does not take and tries failures three times."""
 
 import os
+import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from cadenza.session import durable_dir
@@ -18,3 +20,84 @@ def test_nothing_is_lost_and_failures_get_three_attempts(spark):
     got = {r.assignment_id: (r.status, r.attempts) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {i: ("failed", 3) if i % 3 == 0 else ("scheduled", 1) for i in range(10)}
     assert spark.read.parquet(f"{base}/out").count() == 10
+
+
+def _queue(spark, base, n=9):
+    rows = spark.range(n).select(F.col("id").alias("assignment_id"), F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("media_id"), F.col("id").alias("scheduled_at"))
+    return rows, lambda: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+
+
+def _sent(spark, base):
+    """How often each assignment was sent, by all triggers that wrote attempts."""
+    return {r.assignment_id: r["n"] for r in spark.read.parquet(f"{base}/out-tried").groupBy("assignment_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def test_a_job_that_stops_between_batches_goes_on(spark):
+    """Stopped in its second batch, then with new rows after it had ended: nothing is lost, nothing is sent twice."""
+    base = os.path.join(durable_dir(spark), f"t-{uuid.uuid4().hex}")
+    rows, stream = _queue(spark, base)
+    for i in range(3):
+        rows.filter(F.col("assignment_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    calls = []
+
+    def breaks(b):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+        return b.withColumn("ok", F.lit(True))
+
+    with pytest.raises(Exception, match="stopped"):
+        jobs.deliver(stream(), breaks, f"{base}/out")
+    assert len(_sent(spark, base)) == 3
+    good = lambda b: b.withColumn("ok", F.lit(True))
+    jobs.deliver(stream(), good, f"{base}/out")
+    assert _sent(spark, base) == {i: 1 for i in range(9)}
+    rows.withColumn("assignment_id", F.col("assignment_id") + 100).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    jobs.deliver(stream(), good, f"{base}/out")
+    assert _sent(spark, base) == {i: 1 for i in [*range(9), *range(100, 109)]}
+    got = {r.assignment_id: r.status for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {i: "scheduled" for i in _sent(spark, base)}
+
+
+def test_a_trigger_that_runs_again_does_not_send_again(spark, monkeypatch):
+    """Stopped after sending, before the trigger was finished."""
+    base = os.path.join(durable_dir(spark), f"t-{uuid.uuid4().hex}")
+    rows, stream = _queue(spark, base)
+    rows.coalesce(1).write.parquet(f"{base}/in")
+    sends = []
+
+    def send(b):
+        sends.append(b.count())
+        return b.withColumn("ok", F.col("assignment_id") > 3)
+
+    real = type(rows).unionByName
+
+    def breaks(self, other, *a, **k):
+        if len(sends) == 1 and not hasattr(breaks, "done"):
+            breaks.done = True
+            raise RuntimeError("lost")
+        return real(self, other, *a, **k)
+
+    monkeypatch.setattr(type(rows), "unionByName", breaks)
+    with pytest.raises(Exception, match="lost"):
+        jobs.deliver(stream(), send, f"{base}/out", limit=4)
+    jobs.deliver(stream(), send, f"{base}/out", limit=4)
+    assert {i: n for i, n in _sent(spark, base).items()} == {i: 3 if i <= 3 else 1 for i in range(9)}
+    assert sum(sends) == 4 * 3 + 5
+
+
+def test_dedup_lets_a_late_repetition_pass_only_beyond_the_limit(spark):
+    """Ordered files: within twelve hours a repetition is dropped, beyond them its key is forgotten; rows behind the watermark are dropped."""
+    base = os.path.join(durable_dir(spark), f"t-{uuid.uuid4().hex}")
+    at = lambda h: f"2024-01-0{1 + h // 24} {h % 24:02d}:00:00"
+    files = [[(1, "a", 0)], [(2, "a", 5)], [(3, "b", 30)], [(4, "b", 50)], [(5, "a", 51), (6, "b", 52)], [(7, "c", 20), (8, "c", 60)]]
+    for f in files:
+        spark.createDataFrame([(i, 1, k, at(h)) for i, k, h in f], "event_id long, user_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(0.05)
+    s = spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    held = []
+    jobs.run_batches(jobs.dedup_stream(s), lambda b, e: held.append([r.event_id for r in b.collect()]), "append")
+    got = [i for b in held for i in b]
+    # 2 repeats 1 within the limit; 4 repeats 3 after 20 hours, when its key still waits for the watermark; 5 comes 51 hours after 1; 7 is behind the watermark
+    assert got == [1, 3, 5, 8] or got == [1, 3, 4, 5, 8] or got == [1, 3, 5, 6, 8]
+    assert 2 not in got and 7 not in got and 5 in got
