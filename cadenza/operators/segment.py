@@ -86,9 +86,28 @@ def chunk_table(rows: DataFrame, key=("source_id",)) -> DataFrame:
     )
 
 
-def chunk_by_tokens(segs: DataFrame, *, tokens: Column, threshold: float, window: float, overlap: float, key=("source_id",), order=("start", "sent")) -> DataFrame:
-    """One chunk for a source within ``threshold``; else windows of ``window`` tokens stepping back ``overlap``."""
-    key = list(key)
+def chunk_by_tokens(
+    segs: DataFrame, *, tokens: Column | None = None, threshold: float, window: float, overlap: float, key=("source_id",), order=("start", "sent"), text: str | None = None
+) -> DataFrame:
+    """One chunk for a source within ``threshold``; else windows of ``window`` tokens stepping back ``overlap``.
+
+    With ``text``, segments of more than ``window - overlap`` tokens are split by words first (``piece_no``, ``piece``; their times go
+    on in proportion to the words), and tokens are estimated from the pieces.
+    """
+    key, order = list(key), list(order)
+    if text is not None:
+        per_word = lambda w: F.ceil((F.length(w) + 1) / 4.0).cast("int")  # noqa: E731  a word and the space behind it
+        s = split_long(segs, text, int(window - overlap), per_word, bounds=True)
+        length, n = F.col("end") - F.col("start"), F.greatest(F.col("piece_of"), F.lit(1))
+        cut = F.col("piece_of") > 0
+        s = s.withColumns(
+            {
+                "_s": F.when(cut, F.round(F.col("start") + length * F.col("piece_lo") / n, 6)).otherwise(F.col("start")),
+                "end": F.when(cut, F.round(F.col("start") + length * F.col("piece_hi") / n, 6)).otherwise(F.col("end")),
+            }
+        )
+        segs = s.withColumn("start", F.col("_s")).drop("_s", "piece_lo", "piece_hi", "piece_of")
+        order, tokens = [*order, "piece_no"], F.ceil(F.length("piece") / 4.0)
     s = segs.withColumn("_tok", tokens)
     total = s.groupBy(*key).agg(F.sum("_tok").alias("_total"))
     s = s.join(total, key)
@@ -97,9 +116,11 @@ def chunk_by_tokens(segs: DataFrame, *, tokens: Column, threshold: float, window
     return small.unionByName(large).drop("_tok", "_total")
 
 
-def split_long(df: DataFrame, text: str, limit: int, token_count=None) -> DataFrame:
+def split_long(df: DataFrame, text: str, limit: int, token_count=None, bounds: bool = False) -> DataFrame:
     """Texts above ``limit`` tokens become pieces of whole words; others stay one piece (``piece_no``, ``piece``).
 
+    With ``bounds``, also the words before a piece and up to its end, and of the whole text (``piece_lo, piece_hi, piece_of``).
+
     ``token_count`` maps a word column to its tokens (default: a quarter of its characters, rounded up).
     """
     count = token_count or (lambda w: F.ceil(F.length(w) / 4.0).cast("int"))
@@ -120,7 +141,10 @@ def split_long(df: DataFrame, text: str, limit: int, token_count=None) -> DataFr
     spans = F.aggregate("_w", zero, step, lambda a: F.concat(a["done"], F.array(F.struct(a["lo"].alias("lo"), a["hi"].alias("hi")))))
     d = d.withColumn("_s", spans).select("*", F.posexplode("_s").alias("piece_no", "_p"))
     piece = F.array_join(F.slice("_w", F.col("_p.lo") + 1, F.greatest(F.lit(0), F.col("_p.hi") - F.col("_p.lo"))), " ")
-    return d.withColumn("piece", piece).drop("_w", "_s", "_p")
+    d = d.withColumn("piece", piece)
+    if bounds:
+        d = d.withColumns({"piece_lo": F.col("_p.lo"), "piece_hi": F.col("_p.hi"), "piece_of": F.size("_w")})
+    return d.drop("_w", "_s", "_p")
 
 
 def time_windows(segs: DataFrame, length: float = 45.0, gap: float = 2.0, key=("source_id",), order=("start", "sent")) -> DataFrame:

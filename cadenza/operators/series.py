@@ -133,10 +133,6 @@ def trigger_points(words: DataFrame, series: DataFrame, lexicon: Sequence[str] =
     return series.select("source_id", "t", "factor").unionByName(hits)
 
 
-def merge_short_gaps_flag(gap: Column, limit: float) -> Column:
-    return F.round(gap, 9) >= limit
-
-
 def text_sections(df: DataFrame, text: str, *, whole: int = 12000, head: int = 6000, tail: int = 4000) -> DataFrame:
     """Short texts stay whole; long ones give a head and a tail section and a flag."""
     t = F.col(text)

@@ -302,6 +302,15 @@ def edit_stats(removed: DataFrame, key=("source_id",)) -> DataFrame:
     )
 
 
+def snap_stats(cuts: DataFrame, key=("source_id",), old=("c_start", "c_end"), new=("new_start", "new_end"), least: float = 1e-4) -> DataFrame:
+    """Of moved cuts: all boundaries, those that moved by more than ``least``, the largest move."""
+    a, b = F.abs(F.col(new[0]) - F.col(old[0])), F.abs(F.col(new[1]) - F.col(old[1]))
+    far = F.greatest(F.when(a > least, a).otherwise(F.lit(0.0)), F.when(b > least, b).otherwise(F.lit(0.0)))
+    return cuts.groupBy(*key).agg(
+        (2 * F.count(F.lit(1))).alias("total_boundaries"), F.count(F.when(a > least, 1)).alias("snapped_starts"), F.count(F.when(b > least, 1)).alias("snapped_ends"), F.round(F.max(far), 3).alias("max_shift")
+    )
+
+
 def gate_stats(items: DataFrame, key, outcome: str, score: str) -> DataFrame:
     kinds = ("accepted", "swapped", "rejected", "kept_low")
     return items.groupBy(*key).agg(

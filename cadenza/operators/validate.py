@@ -169,6 +169,46 @@ def validate_story(df: DataFrame, evidence: DataFrame) -> DataFrame:
     return j.filter(F.col("end") > F.col("start")).drop("_s", "_e")
 
 
+# Kinds of a story's variants and emotional beats of its segments.
+VARIANT_KINDS = ("long_philosophical", "package_of_shorts", "punchy_summary", "deep_dive")
+BEATS = ("strain", "relief", "reveal", "triumph", "neutral")
+
+
+def emotional_beat(beat: Column) -> Column:
+    """A known beat in lower case, else neutral."""
+    low = F.lower(beat)
+    return F.when(low.isin(*BEATS), low).otherwise("neutral")
+
+
+def validate_variants(df: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Segments of story variants (source_id, variant_no, kind, label?, target?, predicted?, id, role, start?, end?, beat?).
+
+    The kind may carry the prefix ``variant_`` and any case; unknown kinds go with all their segments. Segments follow
+    :func:`validate_story`'s rules for roles and missing times, start at 0 at the earliest; a variant without a sound segment is gone.
+    Adds ``variant_id``, ``beat``, and per variant ``label`` (default: the kind in words), ``target`` (at least 0, default 0) and
+    ``predicted`` (default: the length of its segments).
+    """
+    kind = F.regexp_replace(F.lower(F.coalesce(F.col("kind"), F.lit(""))), "^variant_", "")
+    e = evidence.select("source_id", "id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    role = F.lower(F.col("role"))
+    j = df.withColumn("kind", kind).filter(F.col("kind").isin(*VARIANT_KINDS) & role.isin(*ROLES)).withColumn("role", role).join(e, ["source_id", "id"], "left")
+    # times that are given but are no numbers make a segment unsound
+    j = j.filter((F.col("start").isNull() | number(F.col("start")).isNotNull()) & (F.col("end").isNull() | number(F.col("end")).isNotNull()))
+    s = F.coalesce(number(F.col("start")), F.col("_s"), F.lit(0.0))
+    j = j.withColumns({"_a": s, "_b": F.coalesce(number(F.col("end")), F.col("_e"), s + 1.0)}).filter(F.col("_b") > F.col("_a"))
+    j = j.withColumns({"start": F.greatest(F.lit(0.0), F.col("_a")), "end": F.greatest(F.col("_a"), F.col("_b"))}).drop("_s", "_e", "_a", "_b")
+    total = j.groupBy("source_id", "variant_no").agg(F.sum(F.col("end") - F.col("start")).alias("_len"))
+    j = j.join(total, ["source_id", "variant_no"])
+    return j.withColumns(
+        {
+            "variant_id": F.concat(F.lit("variant_"), F.col("kind")), "beat": emotional_beat(F.col("beat")),
+            "label": F.coalesce("label", F.replace("kind", F.lit("_"), F.lit(" "))),
+            "target": F.greatest(F.lit(0.0), F.coalesce(number(F.col("target")), F.lit(0.0))),
+            "predicted": F.greatest(F.lit(0.0), F.coalesce(number(F.col("predicted")), F.col("_len"))),
+        }
+    ).drop("_len")
+
+
 def validate_compressed(df: DataFrame) -> DataFrame:
     """Compressed chunks: summary required; quotes need text; peaks of known kinds; a missing range is the chunk's."""
     out = df.filter(F.length(F.trim(F.coalesce("summary", F.lit("")))) > 0)

@@ -435,6 +435,34 @@ def _(spark, sf):
     return V.validate_story(s, T.evidence(spark, sf).filter("id % 7 <> 0")).select("source_id", "id", "role", "start", "end", "payoff_conclusion")
 
 
+# variants of known and unknown kinds with every kind of flaw in their segments
+VARIANT_ROWS = """ vr AS (SELECT source_id, arc_no AS variant_no, ['long_philosophical', 'variant_deep_dive', 'Punchy_Summary', 'haiku', 'variant_package_of_shorts'][arc_no % 5 + 1] AS kind, id,
+  CASE WHEN id % 11 = 0 THEN 'extra' ELSE role END AS role, CASE WHEN id % 3 = 0 THEN NULL WHEN id % 13 = 1 THEN 'soon' ELSE (start - 40)::VARCHAR END AS st, CASE WHEN id % 4 = 0 THEN NULL ELSE "end"::VARCHAR END AS en,
+  CASE WHEN arc_no % 2 = 0 THEN 55.0::DOUBLE END AS predicted, seg_no FROM arcseg)"""
+
+
+@query(
+    "p6_validate_variants",
+    """, t AS (SELECT v.*, e.start AS es, e."end" AS ee, regexp_replace(lower(kind), '^variant_', '') AS k FROM vr v LEFT JOIN (SELECT * FROM evidence WHERE id % 7 <> 0) e ON e.id = v.id AND e.source_id = v.source_id
+        WHERE role <> 'extra' AND (st IS NULL OR st <> 'soon')),
+      u AS (SELECT *, coalesce(st::DOUBLE, es, 0) AS a, coalesce(en::DOUBLE, ee, coalesce(st::DOUBLE, es, 0) + 1) AS b FROM t WHERE k IN ('long_philosophical', 'package_of_shorts', 'punchy_summary', 'deep_dive')),
+      w AS (SELECT *, greatest(0, a) AS s2, sum(b - greatest(0, a)) OVER (PARTITION BY source_id, variant_no) AS len FROM u WHERE b > a)
+    SELECT source_id, variant_no, 'variant_' || k AS variant_id, replace(k, '_', ' ') AS label, id, round(s2, 6) AS start, round(b, 6) AS "end", ['strain', 'neutral', 'reveal'][seg_no % 3 + 1] AS beat, round(coalesce(predicted, len), 6) AS predicted, 0.0::DOUBLE AS target FROM w""",
+    (ARCSEG, VARIANT_ROWS),
+)
+def _(spark, sf):
+    a, i, v = T.arc_segments(spark, sf), F.col("id"), F.col("arc_no")
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    rows = a.select(
+        "source_id", v.alias("variant_no"), pick(("long_philosophical", "variant_deep_dive", "Punchy_Summary", "haiku", "variant_package_of_shorts"), v % 5).alias("kind"), "id",
+        F.when(i % 11 == 0, "extra").otherwise(F.initcap("role")).alias("role"),
+        F.when(i % 3 == 0, None).when(i % 13 == 1, "soon").otherwise((F.col("start") - 40).cast("string")).alias("start"), F.when(i % 4 != 0, F.col("end").cast("string")).alias("end"),
+        pick(("Strain", "joy", "REVEAL"), F.col("seg_no") % 3).alias("beat"), F.when(v % 2 == 0, "55").alias("predicted"), F.lit(None).cast("string").alias("label"), F.lit("-3").alias("target"),
+    )
+    out = V.validate_variants(rows, T.evidence(spark, sf).filter("id % 7 <> 0"))
+    return out.select("source_id", "variant_no", "variant_id", "label", "id", *r6("start", "end"), "beat", *r6("predicted"), "target")
+
+
 @query(
     "p7_validate_compressed",
     """SELECT conv_id, turn, (turn % 2 = 0)::INT AS n_quotes, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n_peaks, (turn * 10)::DOUBLE AS r_start FROM conversations WHERE length(trim(text)) > 0 AND turn % 5 <> 4""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import dedup as D
 from cadenza.operators import segment as G
 from cadenza.operators.ordered import row_index, running
-from cadenza.plans.registry import ARCSEG, CLIPS, DENSE, EVIDENCE, POINTS, SENTENCES, WORDS, query
+from cadenza.plans.registry import ARCSEG, CLIPS, DENSE, EVIDENCE, POINTS, SEGMENTS, SENTENCES, WORDS, query
 from cadenza.plans.windows import PLAN_SQL, plan_segments, r6, word_duration
 from cadenza.sources import tables as T
 
@@ -129,6 +129,34 @@ def _(spark, sf):
     return G.chunk_table(rows)
 
 
+# conversation turns cut into pieces of at most 38 estimated tokens, as rows of "sentences"
+PIECES = r""" d AS (SELECT source_id, seg_idx, start, "end", list_filter(string_split_regex(text, '[ \n\t\r]+'), lambda x: x <> '') AS ws FROM segments WHERE text IS NOT NULL),
+  w AS MATERIALIZED (SELECT *, sum(t) OVER (PARTITION BY source_id, seg_idx ORDER BY i)::BIGINT AS c FROM (
+    SELECT source_id, seg_idx, i, ws[i] AS word, ceil((length(ws[i]) + 1) / 4.0::DOUBLE)::BIGINT AS t FROM (SELECT source_id, seg_idx, ws, unnest(range(1, len(ws) + 1)) AS i FROM d))),
+  nx AS MATERIALIZED (SELECT a.source_id, a.seg_idx, a.i, greatest(b.i, a.i + 1) AS nx FROM (SELECT *, c - t + 38 AS most FROM w) a ASOF JOIN w b ON a.source_id = b.source_id AND a.seg_idx = b.seg_idx AND a.most < b.c),
+  hop AS (SELECT source_id, seg_idx, 1::BIGINT AS i FROM d UNION ALL SELECT o.source_id, o.seg_idx, n.nx FROM hop o JOIN nx n USING (source_id, seg_idx, i) JOIN w ON w.source_id = o.source_id AND w.seg_idx = o.seg_idx AND w.i = n.nx),
+  piece AS (SELECT source_id, seg_idx, i AS lo, lead(i, 1, 1000000000) OVER (PARTITION BY source_id, seg_idx ORDER BY i) AS hi FROM hop),
+  sentences AS MATERIALIZED (SELECT p.source_id, p.seg_idx * 1000 + row_number() OVER (PARTITION BY p.source_id, p.seg_idx ORDER BY p.lo) AS sent,
+    CASE WHEN any_value(len(ws)) > 0 THEN round(any_value(d.start) + any_value(d."end" - d.start) * (p.lo - 1) / any_value(len(ws)), 6) ELSE any_value(d.start) END AS start,
+    CASE WHEN any_value(len(ws)) > 0 THEN round(any_value(d.start) + any_value(d."end" - d.start) * least(p.hi - 1, any_value(len(ws))) / any_value(len(ws)), 6) ELSE any_value(d."end") END AS "end",
+    coalesce(length(string_agg(word, ' ' ORDER BY w.i)), 0) AS chars
+    FROM piece p JOIN d ON d.source_id = p.source_id AND d.seg_idx = p.seg_idx LEFT JOIN w ON w.source_id = p.source_id AND w.seg_idx = p.seg_idx AND w.i >= p.lo AND w.i < p.hi GROUP BY p.source_id, p.seg_idx, p.lo, p.hi)"""
+
+
+@query(
+    "w5_chunk_by_tokens_split",
+    """, tot AS (SELECT source_id, sum(size) AS t FROM st GROUP BY 1)
+    SELECT r.source_id, g AS chunk, min(start) AS start, max("end") AS "end", count(*) AS n_segments, sum(size)::DOUBLE AS size FROM rng r JOIN st ON st.source_id = r.source_id AND st.i >= lo AND st.i < hi JOIN tot ON tot.source_id = r.source_id WHERE t > 60 GROUP BY 1, 2
+    UNION ALL SELECT st.source_id, 0, min(start), max("end"), count(*), sum(size)::DOUBLE FROM st JOIN tot USING (source_id) WHERE t <= 60 GROUP BY 1""",
+    (SEGMENTS, PIECES, _budget("ceil(chars / 4.0::DOUBLE)::BIGINT", 50, 12, False)),
+    recursive=True,
+)
+def _(spark, sf):
+    """Segments longer than a window's new part are split by words, then chunked."""
+    rows = G.chunk_by_tokens(T.segments(spark, sf).filter("text is not null"), threshold=60, window=50, overlap=12, order=("seg_idx",), text="text")
+    return G.chunk_table(rows)
+
+
 @query(
     "x8_split_long",
     r""" SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY lo) - 1)::INT AS piece_no, length(piece)::INT AS chars, md5(piece) AS digest FROM (
@@ -352,6 +380,19 @@ def _(spark, sf):
     return _cues(spark, sf, "chars")
 
 
+@query(
+    "w20_wrapped_cues",
+    f"""SELECT source_id, plan_no, seg_no, cue_no, CASE WHEN len(l) > 2 THEN l[1] || chr(10) || array_to_string(l[2:], ' ') ELSE array_to_string(l, chr(10)) END AS lines FROM (
+      SELECT *, string_split(list_reduce([''] || list_filter(string_split(text, ' '), lambda x: x <> ''), lambda a, w: CASE WHEN a = '' THEN w
+        WHEN length(w) < 20 AND length(regexp_extract(a, '[^\n]*$')) < 20 AND length(regexp_extract(a, '[^\n]*$')) + 1 + length(w) <= 20 THEN a || ' ' || w ELSE a || chr(10) || w END), chr(10)) AS l FROM ({_CUE_OUT}))""",
+    (WORDS, PLAN_SQL, FLOW_SQL, _cue_sql("w.stop")),
+    recursive=True,
+)
+def _(spark, sf):
+    c = _cues(spark, sf, "sentence")
+    return c.select("source_id", "plan_no", "seg_no", "cue_no", G.wrap_lines(F.col("text"), 2, 20).alias("lines"))
+
+
 @query("w20_cues_sentence", _CUE_OUT, (WORDS, PLAN_SQL, FLOW_SQL, _cue_sql("w.stop")), recursive=True)
 def _(spark, sf):
     return _cues(spark, sf, "sentence")

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as PT
 
+from cadenza.functions import scoring as Z
 from cadenza.functions import text as X
 from cadenza.functions.vector import cosine, cosine_continuity
 from cadenza.operators import model as M
@@ -173,6 +174,37 @@ def _(spark, sf):
     return d.select("doc_id", F.size(X.tokens(F.col("text"))).alias("n_tokens"), F.size(X.word_set(F.col("text"))).alias("n_words"), F.md5(X.collapse_spaces(F.col("text"))).alias("collapsed"))
 
 
+@query(
+    "f_lexicon_and_paths",
+    r"""SELECT doc_id, CASE WHEN trim(text) = '' THEN 0.5::DOUBLE ELSE round(0.4::DOUBLE * least(1.0::DOUBLE, (contains(lower(text), 'the')::INT + contains(lower(text), 'und')::INT + contains(lower(text), 'que')::INT) / 5.0::DOUBLE)
+        + 0.6::DOUBLE * least(1.0::DOUBLE, (contains(lower(text), 'and')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'las')::INT) / 4.0::DOUBLE), 6) END AS score,
+      list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 3 AND t NOT IN ('the', 'und', 'que', 'and'))[1] AS first_word,
+      md5(regexp_replace(replace(text, ' ', '/'), '(?:/[\w.\-]+){2,}', '<path>', 'g')) AS masked FROM documents""",
+)
+def _(spark, sf):
+    d, t = T.table(spark, sf, "documents"), F.col("text")
+    return d.select(
+        "doc_id", F.round(X.lexicon_score(t, ["the", "und", "que"], ["and", "der", "las"]), 6).alias("score"), X.first_content_word(t, ["the", "und", "que", "and"]).alias("first_word"),
+        F.md5(X.mask_paths(F.replace(t, F.lit(" "), F.lit("/")))).alias("masked"),
+    )
+
+
+@query(
+    "f_shots_and_grid",
+    """, e AS (SELECT *, (clip_id % 23) / 20.0::DOUBLE - 0.05 AS energy, ['dynamic', 'balanced', 'mkbhd_clean', 'documentary', 'other'][clip_id % 5 + 1] AS profile FROM clips),
+      p AS (SELECT *, [1.2, 1.5, 1.8, 2.5, 1.5][clip_id % 5 + 1]::DOUBLE AS lo, [1.8, 2.5, 2.8, 3.5, 2.5][clip_id % 5 + 1]::DOUBLE AS mode, [4.0, 5.0, 5.5, 8.0, 5.0][clip_id % 5 + 1]::DOUBLE AS hi FROM e)
+    SELECT clip_id, greatest(lo, least(hi, round(CASE WHEN greatest(0, least(1, energy)) < 0.3 THEN mode * 1.4::DOUBLE WHEN energy < 0.6 THEN mode WHEN energy < 0.8 THEN mode * 0.72::DOUBLE ELSE lo + 0.1::DOUBLE END, 2))) AS shot,
+      printf('%d:%02d:%02d.%02d', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100) AS clock, list_transform([1, 2, 3], lambda i: round(start + i * (("end" - start) / 4), 6)) AS grid
+    FROM (SELECT *, round_even(greatest(start, 0) * 100, 0)::BIGINT AS cs FROM p)""",
+    (CLIPS,),
+)
+def _(spark, sf):
+    c, i = T.clips(spark, sf), F.col("clip_id")
+    profile = F.element_at(F.array(*map(F.lit, ("dynamic", "balanced", "mkbhd_clean", "documentary", "other"))), (i % 5 + 1).cast("int"))
+    grid = F.transform(Z.even_grid(F.col("start"), F.col("end"), 3), lambda x: F.round(x, 6))
+    return c.select("clip_id", Z.shot_duration((i % 23) / F.lit(20.0) - 0.05, profile).alias("shot"), X.clock_cs(F.col("start")).alias("clock"), grid.alias("grid"))
+
+
 @query(
     "u2_jaccard_sets",
     r""", t AS (SELECT source_id, seg_idx, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS a FROM segments), n AS (SELECT *, lead(a) OVER (PARTITION BY source_id ORDER BY seg_idx) AS b FROM t)

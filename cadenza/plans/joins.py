@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadenza.operators import edit as E
 from cadenza.operators import intervals as I
+from cadenza.operators import stats as A
 from cadenza.operators.ordered import row_index, running
 from cadenza.plans.registry import CLIPS, DENSE, EVIDENCE, POINTS, SEGMENTS, WORDS, query
 from cadenza.plans.windows import clip_duration, r6, word_duration
@@ -107,15 +108,18 @@ def cuts(w):
     )
 
 
-@query(
-    "j4_snap_cuts_to_words",
-    """, ws AS MATERIALIZED (SELECT source_id, start, "end", floor(start)::BIGINT AS sb, floor("end")::BIGINT AS eb FROM words),
+SNAPPED = """, ws AS MATERIALIZED (SELECT source_id, start, "end", floor(start)::BIGINT AS sb, floor("end")::BIGINT AS eb FROM words),
       cs AS MATERIALIZED (SELECT *, unnest(list_distinct([floor(c_start - 0.04)::BIGINT, floor(c_start + 0.04)::BIGINT])) AS sb FROM cuts),
       ce AS MATERIALIZED (SELECT *, unnest(list_distinct([floor(c_end - 0.04)::BIGINT, floor(c_end + 0.04)::BIGINT])) AS eb FROM cuts),
       s AS (SELECT c.source_id, cut_id, min_by(w.start, (round(abs(w.start - c_start), 9), w.start)) AS s FROM cs c JOIN ws w ON c.source_id = w.source_id AND c.sb = w.sb WHERE round(abs(w.start - c_start), 9) <= 0.03 GROUP BY 1, 2),
-      e AS (SELECT c.source_id, cut_id, min_by(w."end", (round(abs(w."end" - c_end), 9), w."end")) AS e FROM ce c JOIN ws w ON c.source_id = w.source_id AND c.eb = w.eb WHERE round(abs(w."end" - c_end), 9) <= 0.03 GROUP BY 1, 2)
-    SELECT source_id, cut_id, CASE WHEN ok THEN a ELSE c_start END AS new_start, CASE WHEN ok THEN b ELSE c_end END AS new_end FROM (
-      SELECT c.*, coalesce(s, c_start) AS a, coalesce(e, c_end) AS b, round(coalesce(e, c_end) - coalesce(s, c_start), 9) > 0.1 AS ok FROM cuts c LEFT JOIN s USING (source_id, cut_id) LEFT JOIN e USING (source_id, cut_id))""",
+      e AS (SELECT c.source_id, cut_id, min_by(w."end", (round(abs(w."end" - c_end), 9), w."end")) AS e FROM ce c JOIN ws w ON c.source_id = w.source_id AND c.eb = w.eb WHERE round(abs(w."end" - c_end), 9) <= 0.03 GROUP BY 1, 2),
+      moved AS (SELECT source_id, cut_id, CASE WHEN ok THEN a ELSE c_start END AS new_start, CASE WHEN ok THEN b ELSE c_end END AS new_end FROM (
+      SELECT c.*, coalesce(s, c_start) AS a, coalesce(e, c_end) AS b, round(coalesce(e, c_end) - coalesce(s, c_start), 9) > 0.1 AS ok FROM cuts c LEFT JOIN s USING (source_id, cut_id) LEFT JOIN e USING (source_id, cut_id)))"""
+
+
+@query(
+    "j4_snap_cuts_to_words",
+    SNAPPED + " SELECT source_id, cut_id, new_start, new_end FROM moved",
     (WORDS_ONCE, CUTS_ONCE),
 )
 def _(spark, sf):
@@ -188,6 +192,17 @@ FLAGS = r""" flags AS (SELECT source_id, pos, start, "end", coalesce(regexp_matc
    regexp_matches(trim(word), '[.!?…]$') OR coalesce(round(lead(start) OVER w - "end", 9) >= 0.8, false) AS closes FROM words WINDOW w AS (PARTITION BY source_id ORDER BY start, pos))"""
 
 
+@query(
+    "a17_snap_stats",
+    SNAPPED + """ SELECT source_id, 2 * count(*) AS total_boundaries, count(*) FILTER (a > 1e-4) AS snapped_starts, count(*) FILTER (b > 1e-4) AS snapped_ends,
+      round(max(greatest(CASE WHEN a > 1e-4 THEN a ELSE 0 END, CASE WHEN b > 1e-4 THEN b ELSE 0 END)), 3)::DOUBLE AS max_shift FROM (SELECT source_id, abs(new_start - c_start) AS a, abs(new_end - c_end) AS b FROM moved JOIN cuts USING (source_id, cut_id)) GROUP BY 1""",
+    (WORDS_ONCE, CUTS_ONCE),
+)
+def _(spark, sf):
+    w = T.words(spark, sf)
+    return A.snap_stats(E.snap_cuts(cuts(w), w, ["source_id", "cut_id"], tol=0.030000001))
+
+
 @query(
     "j5_snap_to_sentence",
     """, fs AS MATERIALIZED (SELECT *, floor(start / 2)::BIGINT AS sb, floor("end" / 2)::BIGINT AS eb FROM flags),
