@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from cadenza.session import durable_dir
 
@@ -21,11 +22,25 @@ def event_stream(spark: SparkSession, folder: str, glob: str = "events.parquet",
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(df: DataFrame, mode: str = "append") -> DataFrame:
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """The state store that map state and timers need, for queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def run_to_table(df: DataFrame, mode: str = "append", rocksdb: bool = False) -> DataFrame:
     """Run a stream over all available input into a table in the shared folder and read it back."""
     spark = df.sparkSession
     base = os.path.join(durable_dir(spark), f"stream-{uuid.uuid4().hex}")
-    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    with _rocksdb(spark) if rocksdb else nullcontext():
+        q = w.start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
@@ -36,53 +51,118 @@ def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], mode: s
     df.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
 
+class _StageClock(StatefulProcessor):
+    """Seconds per stage of one job. Rows wait until the watermark has passed them, so they are counted in order whatever batch brought them."""
+
+    def __init__(self, terminal: str, hold_us: int):
+        self.terminal, self.hold = terminal, hold_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.wait = handle.getListState("wait", "t long, event_id long, stage string")
+        self.secs = handle.getMapState("secs", "stage string", "seconds double")
+        self.open = handle.getValueState("open", "run long, stage string, since long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            held = list(zip(frame["t"].tolist(), frame["event_id"].tolist(), frame["stage"].tolist()))
+            self.wait.appendList(held)
+            first = min(t for t, _, _ in held) if first is None else min(first, min(t for t, _, _ in held))
+        if first is not None:
+            self.handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        # what waits came within the permitted lateness
+        ready, later = [], []
+        for row in self.wait.get():
+            (ready if row[0] <= now else later).append(tuple(row))
+        if ready:
+            self.wait.clear()
+            if later:
+                self.wait.put(later)
+        run, cur, since, last = self.open.get() if self.open.exists() else (0, None, 0, None)
+        acc = {k[0]: v[0] for k, v in self.secs.iterator()}
+        done: list[tuple] = []
+
+        def end() -> None:
+            nonlocal run, cur, acc
+            done.extend((key[0], run, s, v) for s, v in sorted(acc.items()))
+            run, cur, acc = run + 1, None, {}
+
+        for t, _, stage in sorted(ready):
+            if cur is not None and t - last > self.hold:
+                end()
+            if cur is not None:
+                acc[cur] = acc.get(cur, 0.0) + (t - since) / 1e6
+            cur, since, last = stage, t, t
+            if stage == self.terminal:
+                acc.setdefault(stage, 0.0)
+                end()
+        if cur is not None and last + self.hold < now:
+            end()
+        self.secs.clear()
+        for s, v in acc.items():
+            self.secs.updateValue((s,), (v,))
+        self.open.update((run, cur, since, last))
+        # the next row that waits, else the moment at which the job counts as quiet
+        due = min((r[0] for r in later), default=last + self.hold if cur is not None else None)
+        if due is not None:
+            self.handle.registerTimer(due // 1000 + 1)
+        if done:
+            yield pd.DataFrame(done, columns=["job", "run", "stage", "seconds"])
+
+    def close(self) -> None:
+        pass
+
+
 def stage_durations_stream(events: DataFrame, *, key: str = "user_id", stage: str = "event_type", terminal: str = "purchase", timeout: str = "2 days", late: str = "1 hour") -> DataFrame:
-    """Seconds per stage of a job, summed over re-entries; rows appear at the terminal status or when a job goes quiet.
+    """Seconds per stage of a job's runs, summed over re-entries; a run ends with the terminal status or before a pause above ``timeout``.
+
+    Rows are emitted once the watermark has passed the end of their run. Batch borders do not matter; rows behind the watermark are dropped.
+    Needs the RocksDB state store (see :func:`run_to_table`).
+    """
+    job = events.schema[key].dataType.simpleString()
+    hold = int(pd.Timedelta(timeout).value // 1000)
+    e = events.withWatermark("ts", late).select(F.col(key).alias("job"), "event_id", "ts", F.unix_micros("ts").alias("t"), F.col(stage).alias("stage"))
+    return e.groupBy("job").transformWithStateInPandas(_StageClock(terminal, hold), f"job {job}, run long, stage string, seconds double", "append", "EventTime")
+
+
+class _Pauses(StatefulProcessor):
+    """The time since the row before, for every row of a key that comes in order."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "t long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mine = sorted(t for frame in rows for t in frame["t"].tolist())
+        before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for t in mine:
+            if before is None or t >= before:
+                if before is not None:
+                    out.append((pd.Timestamp(t, unit="us"), (t - before) / 1e6))
+                before = t
+        self.last.update((before,))
+        if out:
+            yield pd.DataFrame(out, columns=["ts", "pause"])
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_pauses(events: DataFrame, *, key: str = "user_id", size: str = "6 hours", slide: str = "3 hours", late: str = "1 hour") -> DataFrame:
+    """Sliding windows over the pauses of all keys: count, mean and longest. A pause lies where it ends.
 
-    The state per job is a handful of numbers, whatever its number of events.
+    The last row of a key is state, so pauses go on over batch borders; rows of a key that come after later ones have no pause.
+    Two stateful operators in one stream; needs the RocksDB state store.
     """
-    from pyspark.sql import types as T
-
-    key_t = events.schema[key].dataType
-    out = T.StructType([T.StructField("job", key_t), T.StructField("run", T.LongType()), T.StructField("stage", T.StringType()), T.StructField("seconds", T.DoubleType())])
-    state_t = "run long, stage string, since double, names array<string>, secs array<double>"
-    hold = pd.Timedelta(timeout)
-
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, cur, since, acc = 0, None, 0.0, {}
-        if state.exists:
-            run, cur, since, names, secs = state.get
-            acc = dict(zip(names, secs))
-        rows = []
-
-        def emit():
-            rows.extend((k[0], run, s, v) for s, v in sorted(acc.items()))
-
-        if state.hasTimedOut:
-            emit()
-            state.remove()
-        else:
-            pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-            last = None
-            for ts, st in zip(pdf["ts"], pdf[stage]):
-                t = ts.value / 1e9
-                last = ts
-                if cur is not None:
-                    acc[cur] = acc.get(cur, 0.0) + (t - since)
-                cur, since = st, t
-                if st == terminal:
-                    acc.setdefault(st, 0.0)
-                    emit()
-                    run, cur, acc = run + 1, None, {}
-            state.update((run, cur, since, list(acc), [float(x) for x in acc.values()]))
-            if last is not None:
-                due = int((last + hold).value // 1_000_000)
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=["job", "run", "stage", "seconds"])
-
-    e = events.withWatermark("ts", late).select(key, "event_id", "ts", stage)
-    return e.groupBy(key).applyInPandasWithState(step, out, state_t, "append", GroupStateTimeout.EventTimeTimeout)
+    e = events.withWatermark("ts", late).select(F.col(key).alias("key"), "ts", F.unix_micros("ts").alias("t"))
+    p = e.groupBy("key").transformWithStateInPandas(_Pauses(), "ts timestamp, pause double", "append", "EventTime", eventTimeColumnName="ts")
+    a = p.groupBy(F.window("ts", size, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg("pause").alias("mean"), F.max("pause").alias("longest"))
+    return a.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean", "longest")
 
 
 def latest_progress(events: DataFrame, *, key: str = "user_id", late: str = "1 hour") -> DataFrame:
