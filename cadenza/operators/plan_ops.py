@@ -23,6 +23,18 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, aggs: dict[
     return parents.join(children.groupBy(key).agg(*[c.alias(n) for n, c in aggs.items()]), key, "left")
 
 
+def with_references(rows: DataFrame, table: DataFrame, id: str, refs: dict[str, str], cols: Sequence[str]) -> DataFrame:
+    """Left join of one table under several names: ``refs`` maps a name to the column of ``rows`` that refers to it.
+
+    Adds a struct of ``cols`` per name, null where nothing is referred to or found. The table is read once: each name takes the
+    rows that are referred to by it.
+    """
+    wanted = table.select(F.col(id).alias("_id"), F.struct(*cols).alias("_row"))
+    for name, column in refs.items():
+        rows = rows.join(wanted.toDF("_rid", name), F.col(column) == F.col("_rid"), "left").drop("_rid")
+    return rows
+
+
 def task_grid(rows: DataFrame, **axes: Sequence) -> DataFrame:
     """Every row with every combination of the given fixed axes."""
     for name, values in axes.items():

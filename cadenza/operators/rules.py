@@ -194,6 +194,40 @@ def meta_confidence(df: DataFrame) -> DataFrame:
     return df.withColumns({"needs_review": F.col("meta_confidence") < FALLBACK_CONFIDENCE, "warnings": warn})
 
 
+# What a model may choose, within which limits, and how sure its choices are.
+COMPOSERS = ("tight_context", "balanced", "thematic_free")
+PACINGS = ("dynamic", "balanced", "mkbhd_clean", "documentary")
+COHERENCE_LOW, COHERENCE_HIGH, COHERENCE_STEP, MODEL_CONFIDENCE = 0.3, 0.7, 0.01, 0.6
+
+
+def merge_overrides(config: DataFrame, overrides: DataFrame) -> DataFrame:
+    """A model's choices over the rules' configuration, with a record of each that changed something.
+
+    ``config``: source_id, composer_strategy, coherence_threshold, pacing_profile, meta_confidence, evidence; ``overrides``: source_id and
+    strings composer_strategy, coherence_threshold, pacing_profile, narrative_notes. Unknown names and unreadable numbers change nothing; the
+    threshold is clamped first. Sources with an override row are at least as sure as the model is.
+    """
+    o = overrides.select("source_id", *[F.col(c).alias(f"_{c}") for c in ("composer_strategy", "coherence_threshold", "pacing_profile", "narrative_notes")], F.lit(True).alias("_asked"))
+    j = config.join(o, "source_id", "left")
+    note = F.coalesce("_narrative_notes", F.lit("LLM narrative advisor"))
+    given = F.col("_coherence_threshold").try_cast("double")
+    # least and greatest pass nulls over
+    clamped = F.when(given.isNotNull(), F.greatest(F.lit(COHERENCE_LOW), F.least(F.lit(COHERENCE_HIGH), given)))
+
+    def record(name: str, value: Column, why: Column) -> Column:
+        return F.struct(F.lit(name).alias("parameter"), value.cast("string").alias("value"), F.lit(MODEL_CONFIDENCE).alias("confidence"), F.lit("llm").alias("source"), why.alias("reasoning"))
+
+    new = {
+        "composer_strategy": (F.col("_composer_strategy").isin(*COMPOSERS) & (F.col("_composer_strategy") != F.col("composer_strategy")), F.col("_composer_strategy"), note),
+        "coherence_threshold": (F.round(F.abs(clamped - F.col("coherence_threshold")), 9) > COHERENCE_STEP, F.bround(clamped, 2), F.lit("LLM narrative refinement")),
+        "pacing_profile": (F.col("_pacing_profile").isin(*PACINGS) & (F.col("_pacing_profile") != F.col("pacing_profile")), F.col("_pacing_profile"), note),
+    }
+    more = F.array_compact(F.array(*[F.when(F.coalesce(change, F.lit(False)), record(name, value, why)) for name, (change, value, why) in new.items()]))
+    sure = F.when(F.col("_asked"), F.greatest("meta_confidence", F.lit(MODEL_CONFIDENCE))).otherwise(F.col("meta_confidence"))
+    out = j.withColumns({"evidence": F.concat("evidence", more), "meta_confidence": sure, **{n: F.when(F.coalesce(c, F.lit(False)), v).otherwise(F.col(n)) for n, (c, v, _) in new.items()}})
+    return out.drop("_composer_strategy", "_coherence_threshold", "_pacing_profile", "_narrative_notes", "_asked")
+
+
 def apply_toggles(df: DataFrame, overrides: DataFrame) -> DataFrame:
     """User switches win: with zoom off, zoom and drift are off. Missing rows mean on. ``overrides``: source_id, zoom_enabled."""
     j = df.join(overrides, "source_id", "left")

@@ -314,10 +314,11 @@ def merge_groups(segs: DataFrame, key=("source_id", "arc_no"), *, target=PLAN_TA
     )
 
 
-def audio_offsets(cuts: DataFrame, key, order: str = "cut_no", *, max_offset=0.4, min_offset=0.08, duration: float | None = None) -> DataFrame:
+def audio_offsets(cuts: DataFrame, key, order: str = "cut_no", *, max_offset=0.4, min_offset=0.08, duration: float | None = None, every: bool = False) -> DataFrame:
     """Shifted audio bounds of the cuts of a plan: (key, cut_no, a_start, a_end).
 
-    Two development/peak-like changes pull the next sound forward (J), other role changes let it run on (L). The
+    Two development/peak-like changes pull the next sound forward (J), other role changes let it run on (L); with ``every``, the sound
+    runs on at all transitions, whatever the roles. The
     room left depends on the shift before, so a plan's few cuts are folded in order.
     """
     key = list(key)
@@ -328,8 +329,8 @@ def audio_offsets(cuts: DataFrame, key, order: str = "cut_no", *, max_offset=0.4
         cur = F.try_element_at(acc, F.lit(-1))
         new = F.struct(x["cut_no"].alias("cut_no"), x["role"].alias("role"), x["c_start"].alias("s"), x["c_end"].alias("e"), (x["c_end"] - x["c_start"]).alias("d"))
         pair = F.concat_ws(">", cur["role"], new["role"])
-        hard = (cur["role"] == new["role"]) | (cur["role"] == "") | (new["role"] == "")
-        j = pair.isin("development>peak", "hook>peak")
+        hard = F.lit(False) if every else (cur["role"] == new["role"]) | (cur["role"] == "") | (new["role"] == "")
+        j = F.lit(False) if every else pair.isin("development>peak", "hook>peak")
         cap = F.least(F.lit(max_offset), cur["d"] * 0.2, new["d"] * 0.2)
         room_l = F.greatest(F.lit(0.0), (F.lit(duration) - cur["e"]) if duration is not None else cap)
         off_l = F.least(cap, room_l, F.greatest(F.lit(0.0), new["e"] - new["s"] - 0.1))

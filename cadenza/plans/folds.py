@@ -332,6 +332,27 @@ def _(spark, sf):
     return G.audio_offsets(c, ["source_id", "arc_no"]).select("source_id", "arc_no", "cut_no", *r6("a_start", "a_end"))
 
 
+@query(
+    "w18_audio_offsets_everywhere",
+    """SELECT source_id, arc_no, cut_no, round(a_start, 6) AS a_start, round(CASE WHEN nxt_off IS NULL THEN e ELSE e + nxt_off END, 6) AS a_end FROM (
+      SELECT *, lead(off) OVER (PARTITION BY source_id, arc_no ORDER BY cut_no) AS nxt_off FROM wk)""",
+    (
+        ARCSEG,
+        """ ct AS (SELECT source_id, arc_no, seg_no AS cut_no, CASE WHEN role = 'setup' THEN 'hook' ELSE role END AS role, seg_no * 0.5::DOUBLE AS s, seg_no * 0.5::DOUBLE + dur / 8 AS e FROM arcseg)""",
+        """ wk AS (SELECT source_id, arc_no, cut_no, role, s, e, s AS a_start, 0.0::DOUBLE AS off FROM ct WHERE cut_no = 0
+          UNION ALL SELECT source_id, arc_no, cut_no, role, s, e, s + o, o FROM (SELECT source_id, arc_no, cut_no, role, s, e, CASE WHEN round(abs(raw), 9) < 0.08 THEN 0 ELSE raw END AS o FROM (
+            SELECT c.*, w.role AS pr, (least(0.4, (w.e - w.s) * 0.2, (c.e - c.s) * 0.2, greatest(0, c.e - c.s - 0.1)))::DOUBLE AS raw
+            FROM wk w JOIN ct c ON c.source_id = w.source_id AND c.arc_no = w.arc_no AND c.cut_no = w.cut_no + 1)))""",
+    ),
+    recursive=True,
+)
+def _(spark, sf):
+    s = T.arc_segments(spark, sf)
+    c = s.select("source_id", "arc_no", F.col("seg_no").alias("cut_no"), F.when(F.col("role") == "setup", "hook").otherwise(F.col("role")).alias("role"),
+                 (F.col("seg_no") * F.lit(0.5)).alias("c_start"), (F.col("seg_no") * F.lit(0.5) + F.col("dur") / 8).alias("c_end"))
+    return G.audio_offsets(c, ["source_id", "arc_no"], every=True).select("source_id", "arc_no", "cut_no", *r6("a_start", "a_end"))
+
+
 @query(
     "w18_jl_choice",
     """SELECT source_id, pos, CASE WHEN pos % 9 = 0 THEN 'j_cut' WHEN word LIKE '%?' THEN 'l_cut' WHEN nw IN ('итак', 'теперь') THEN 'j_cut' WHEN pos % 10 >= 7 THEN 'l_cut' ELSE 'hard' END AS kind,

@@ -414,6 +414,20 @@ def _(spark, sf):
     return i.select("source_id", *[F.round(c, 3).alias(c) for c in ("start", "end")])
 
 
+@query(
+    "w23_upper_islands_confidence",
+    """, q AS (SELECT source_id, quantile_cont(value, 0.9) AS hi FROM points GROUP BY 1),
+      p AS (SELECT points.source_id, event_id, t, value > hi AS inn, least(1.0::DOUBLE, value / hi) AS cf FROM points JOIN q USING (source_id)),
+      l AS (SELECT *, lag(inn) OVER w AS pi, lead(t) OVER w AS nt, lead(cf) OVER w AS ncf FROM p WINDOW w AS (PARTITION BY source_id ORDER BY t, event_id)),
+      r AS (SELECT *, sum(CASE WHEN inn AND NOT coalesce(pi, false) THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY t, event_id) AS run FROM l)
+    SELECT source_id, round(min(t), 3) AS start, round(arg_max_null(ncf, t), 6) AS confidence FROM r WHERE inn GROUP BY source_id, run HAVING arg_max_null(nt, t) IS NOT NULL AND round(max(nt) - min(t), 9) BETWEEN 1000 AND 50000""",
+    (POINTS,),
+)
+def _(spark, sf):
+    i = E.upper_islands(T.points(spark, sf), ["source_id"], "t", "value", "event_id", q=0.9, shortest=1000.0, longest=50000.0)
+    return i.select("source_id", F.round("start", 3).alias("start"), F.round("confidence", 6).alias("confidence"))
+
+
 @query(
     "w25_final_drop",
     """, t AS (SELECT source_id, clip_id, start, "end", unnest([0, 1, 2]) AS k, unnest([greatest(start, "end" - 20), (greatest(start, "end" - 20) + "end") / 2, "end" - 0.02::DOUBLE]) AS x FROM clips WHERE round("end" - start, 9) >= 0.5),

@@ -705,6 +705,21 @@ def _(spark, sf):
     return d.fillna({"n_orders": 0, "total": 0.0, "last_order": ""}).join(n, "c_nationkey", "left").select("c_custkey", "n_name", "n_orders", "total", "last_order")
 
 
+@query(
+    "j13_three_references",
+    """WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 4 > 0 THEN c_nationkey END AS intro, c_custkey % 40 AS outro, c_nationkey + 1 AS companion FROM customer)
+    SELECT c_custkey, a.n_name AS intro_name, b.n_name AS outro_name, b.n_regionkey AS outro_region, c.n_name AS companion_name
+    FROM p LEFT JOIN nation a ON a.n_nationkey = intro LEFT JOIN nation b ON b.n_nationkey = outro LEFT JOIN nation c ON c.n_nationkey = companion""",
+)
+def _(spark, sf):
+    from cadenza.operators.plan_ops import with_references
+
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    p = T.table(spark, sf, "customer").select("c_custkey", F.when(k % 4 > 0, n).alias("intro_id"), (k % 40).alias("outro_id"), (n + 1).alias("companion_id"))
+    r = with_references(p, T.table(spark, sf, "nation"), "n_nationkey", {"intro": "intro_id", "outro": "outro_id", "companion": "companion_id"}, ["n_name", "n_regionkey"])
+    return r.select("c_custkey", F.col("intro.n_name").alias("intro_name"), F.col("outro.n_name").alias("outro_name"), F.col("outro.n_regionkey").alias("outro_region"), F.col("companion.n_name").alias("companion_name"))
+
+
 @query(
     "j14_task_grid",
     """, c AS (SELECT DISTINCT source_id, chunk FROM evidence), a AS (SELECT unnest(['hook', 'theme', 'humor']) AS agent), s AS (SELECT unnest([0.7, 1.5]::DOUBLE[]) AS scale)
