@@ -255,11 +255,13 @@ def interpolate_at(points: DataFrame, series: DataFrame, at: str, t: str, value:
     """Value at a point from the samples on both sides, empty samples included.
 
     Both filled: linear interpolation; one filled: that one; none: the nearest filled sample at most two away
-    from the sample before the point (the first sample when there is none), earlier ones first; else null.
+    from the sample before the point (the first sample when there is none), earlier ones first; else null. Samples of
+    one time stand by their values, empty ones first.
     """
-    s = series.select("source_id", F.col(t).alias("_at"), F.col(value).alias("_val"))
-    s = running(s, ["source_id"], ["_at"], {"_b1": lag("_val"), "_a1": lead("_val")})
-    s = running(s, ["source_id"], ["_at"], {"_b2": lag("_b1"), "_a2": lead("_a1")})
+    order = ["_at", "_val"]
+    s = ordered_blocks(series.select("source_id", F.col(t).alias("_at"), F.col(value).alias("_val")), ["source_id"], order)
+    s = carried(s, ["source_id"], order, {"_b1": lag("_val"), "_a1": lead("_val")})
+    s = carried(s, ["source_id"], order, {"_b2": lag("_b1"), "_a2": lead("_a1")})
     s = s.select("source_id", "_at", "_val", F.coalesce("_b1", "_a1", "_b2", "_a2").alias("_near"))
     j = asof(points, s, ["source_id"], at, "_at", id=id, carry={"val": "_val", "near": "_near"})
     span = F.col("next_at") - F.col("prev_at")

@@ -36,7 +36,9 @@ def dedup_jaccard(df: DataFrame, *, id: str, rank: Sequence[Column], tokens: str
     Rows without tokens stay. ``strict=False`` drops at the threshold already.
     """
     df = materialize(df)
-    t = token_buckets(df.withColumn("_tok", F.transform(tokens, lambda x: F.xxhash64(x))), id, key, "_tok", threshold)
+    # rounds carry ids, ranks and hashes; the rows themselves are joined once, at the end
+    ranks = [c.alias(f"_rk{i}") for i, c in enumerate(rank)]
+    t = token_buckets(df.select(id, key, *ranks, F.transform(tokens, lambda x: F.xxhash64(x)).alias("_tok")), id, key, "_tok", threshold)
 
     def conflict(a, b):
         sim = jaccard(F.col(f"{a}._tok"), F.col(f"{b}._tok"))
@@ -46,10 +48,10 @@ def dedup_jaccard(df: DataFrame, *, id: str, rank: Sequence[Column], tokens: str
         m, n = F.col(f"{a}._n"), F.col(f"{b}._n")
         return F.least(m, n) >= threshold * F.greatest(m, n) - 1e-9
 
-    out = greedy_select(
-        t.withColumn("_n", F.size("_tok")), id=id, rank=rank, buckets=F.col("_tb"), conflict=conflict, payload=["_tok"], wide=True, quick=close_sizes, quick_payload=["_n"]
+    kept = greedy_select(
+        t.withColumn("_n", F.size("_tok")), id=id, rank=[F.col(f"_rk{i}") for i in range(len(rank))], buckets=F.col("_tb"), conflict=conflict, payload=["_tok"], wide=True, quick=close_sizes, quick_payload=["_n"]
     )
-    return out.drop("_tok", "_tb", "_n")
+    return df.join(kept.select(id), id, "left_semi")
 
 
 def similar_pairs(df: DataFrame, *, id: str, threshold: float, tokens: str | None = None, vec: str | None = None, metric: str = "jaccard", key="source_id") -> DataFrame:
