@@ -203,15 +203,18 @@ def _(spark, sf):
     return A.snap_stats(E.snap_cuts(cuts(w), w, ["source_id", "cut_id"], tol=0.030000001))
 
 
-@query(
-    "j5_snap_to_sentence",
-    """, fs AS MATERIALIZED (SELECT *, floor(start / 2)::BIGINT AS sb, floor("end" / 2)::BIGINT AS eb FROM flags),
+TO_SENTENCE = r""", fs AS MATERIALIZED (SELECT *, floor(start / 2)::BIGINT AS sb, floor("end" / 2)::BIGINT AS eb FROM flags),
       cs AS MATERIALIZED (SELECT *, unnest(range(floor((c_start - 2) / 2)::BIGINT, floor((c_start + 2) / 2)::BIGINT + 1)) AS sb FROM cuts),
       ce AS MATERIALIZED (SELECT *, unnest(range(floor((c_end - 2) / 2)::BIGINT, floor((c_end + 2) / 2)::BIGINT + 1)) AS eb FROM cuts),
       s AS (SELECT c.source_id, cut_id, min_by(f.start, (round(abs(f.start - c_start) - CASE WHEN opens THEN 0.5 ELSE 0 END, 9), pos)) AS s FROM cs c JOIN fs f ON c.source_id = f.source_id AND c.sb = f.sb WHERE f.start BETWEEN c_start - 2.0::DOUBLE AND c_start + 2.0::DOUBLE GROUP BY 1, 2),
-      e AS (SELECT c.source_id, cut_id, min_by(f."end", (round(abs(f."end" - c_end) - CASE WHEN closes THEN 0.5 ELSE 0 END, 9), pos)) AS e FROM ce c JOIN fs f ON c.source_id = f.source_id AND c.eb = f.eb WHERE f."end" BETWEEN c_end - 2.0::DOUBLE AND c_end + 2.0::DOUBLE GROUP BY 1, 2)
-    SELECT source_id, cut_id, CASE WHEN ok THEN a ELSE c_start END AS snap_start, CASE WHEN ok THEN b ELSE c_end END AS snap_end FROM (
-      SELECT c.*, coalesce(s, c_start) AS a, coalesce(e, c_end) AS b, round(coalesce(e, c_end) - coalesce(s, c_start), 9) > 0.5 AS ok FROM cuts c LEFT JOIN s USING (source_id, cut_id) LEFT JOIN e USING (source_id, cut_id))""",
+      e AS (SELECT c.source_id, cut_id, min_by(f."end", (round(abs(f."end" - c_end) - CASE WHEN closes THEN 0.5 ELSE 0 END, 9), pos)) AS e FROM ce c JOIN fs f ON c.source_id = f.source_id AND c.eb = f.eb WHERE f."end" BETWEEN c_end - 2.0::DOUBLE AND c_end + 2.0::DOUBLE GROUP BY 1, 2),
+      snapped AS (SELECT source_id, cut_id, CASE WHEN ok THEN a ELSE c_start END AS snap_start, CASE WHEN ok THEN b ELSE c_end END AS snap_end FROM (
+      SELECT c.*, coalesce(s, c_start) AS a, coalesce(e, c_end) AS b, round(coalesce(e, c_end) - coalesce(s, c_start), 9) > 0.5 AS ok FROM cuts c LEFT JOIN s USING (source_id, cut_id) LEFT JOIN e USING (source_id, cut_id)))"""
+
+
+@query(
+    "j5_snap_to_sentence",
+    TO_SENTENCE + " SELECT source_id, cut_id, snap_start, snap_end FROM snapped",
     (WORDS_ONCE, CUTS_ONCE, FLAGS.replace(" flags AS (", " flags AS MATERIALIZED (")),
 )
 def _(spark, sf):
@@ -219,6 +222,37 @@ def _(spark, sf):
     return E.snap_to_sentence(cuts(w), w, ["source_id", "cut_id"], ("c_start", "c_end")).select("source_id", "cut_id", "snap_start", "snap_end")
 
 
+# plans of three spans each over the words of a document; spans lie close enough to meet when they grow
+GROWN = """ segs AS MATERIALIZED (SELECT source_id, pos // 120 AS plan_no, row_number() OVER (PARTITION BY source_id, pos // 120 ORDER BY pos) - 1 AS seg_no, round(start + 0.02::DOUBLE * (pos % 5), 3) AS os, round(start + 9 + pos % 13, 3) AS oe FROM words WHERE pos % 40 = 5),
+  dur AS (SELECT source_id, max("end") AS d FROM words GROUP BY 1),
+  ext AS MATERIALIZED (SELECT *, CASE WHEN round(tot, 9) >= 25 AND round(tot, 9) < 62 THEN least(15, (62 - tot) / n) ELSE 0 END AS gr FROM (SELECT segs.*, d, sum(oe - os) OVER w AS tot, count(*) OVER w AS n FROM segs JOIN dur USING (source_id) WINDOW w AS (PARTITION BY source_id, plan_no))),
+  cuts AS MATERIALIZED (SELECT source_id, plan_no * 10 + seg_no AS cut_id, greatest(0, os - gr / 2) AS c_start, least(d, oe + gr / 2) AS c_end FROM ext WHERE gr > 0)"""
+
+
+@query(
+    "p15_extend_and_finish",
+    TO_SENTENCE + """,
+      done AS (SELECT ext.source_id, plan_no, seg_no, CASE WHEN gr > 0 AND least(d, snap_end) > greatest(0, snap_start) THEN greatest(0, snap_start) ELSE os END AS s, CASE WHEN gr > 0 AND least(d, snap_end) > greatest(0, snap_start) THEN least(d, snap_end) ELSE oe END AS e
+        FROM ext LEFT JOIN snapped ON snapped.source_id = ext.source_id AND cut_id = plan_no * 10 + seg_no),
+      walk AS (SELECT source_id, plan_no, seg_no, s, e, true AS keep, [{'s': s, 'e': e}] AS acc FROM done WHERE seg_no = 0
+        UNION ALL SELECT source_id, plan_no, seg_no, s, e, ok, CASE WHEN ok THEN list_append(acc, {'s': s, 'e': e}) ELSE acc END FROM (
+          SELECT r.*, w.acc, len(list_filter(w.acc, lambda a: round(greatest(0, least(a.e, r.e) - greatest(a.s, r.s)) / greatest(0.000001, r.e - r.s) - 0.6, 9) >= 0)) = 0 AS ok
+          FROM walk w JOIN done r ON r.source_id = w.source_id AND r.plan_no = w.plan_no AND r.seg_no = w.seg_no + 1))
+    SELECT source_id, plan_no, seg_no, round(s, 6) AS s, round(e, 6) AS e FROM walk WHERE keep QUALIFY round(sum(e - s) OVER (PARTITION BY source_id, plan_no), 9) BETWEEN 24.95 AND 80.05""",
+    (WORDS_ONCE, GROWN, FLAGS.replace(" flags AS (", " flags AS MATERIALIZED (")),
+    recursive=True,
+)
+def _(spark, sf):
+    w = T.words(spark, sf)
+    pos = F.col("pos")
+    seg = F.struct("pos", F.round(F.col("start") + F.lit(0.02) * (pos % 5), 3).alias("s"), F.round(F.col("start") + 9 + pos % 13, 3).alias("e"))
+    p = w.filter(pos % 40 == 5).groupBy("source_id", F.floor(pos / 120).alias("plan_no")).agg(F.sort_array(F.collect_list(seg)).alias("_s"))
+    p = p.withColumn("segs", F.transform("_s", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))).drop("_s")
+    d = w.groupBy("source_id").agg(F.max("end").alias("duration_total"))
+    out = E.extend_and_finish(p.join(d, "source_id"), w, target=62.0, low=25.0, high=80.0)
+    return out.select("source_id", "plan_no", F.col("seg_no").cast("long").alias("seg_no"), *r6("s", "e"))
+
+
 @query(
     "j6_next_prev_sentence_end",
     r""", se AS (SELECT source_id, "end" AS s_end FROM words WHERE regexp_matches(trim(word), '[.!?…]$'))
