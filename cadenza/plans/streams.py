@@ -21,6 +21,20 @@ def micros(c):
 
 @query(
     "st1_stage_durations_stream",
+    """WITH o AS (SELECT user_id, event_id, event_type AS stage, epoch_us(ts) AS t,
+        coalesce(sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS run FROM events),
+      l AS (SELECT *, lead(t) OVER (PARTITION BY user_id, run ORDER BY t, event_id) AS nt FROM o),
+      r AS (SELECT user_id, run, bool_or(stage = 'purchase') AS closed FROM o GROUP BY 1, 2),
+      q AS (SELECT user_id, max(t) + 2 * 86400000000 AS due FROM o GROUP BY 1), m AS (SELECT max(t) - 3600000000 AS wm FROM o)
+    SELECT user_id AS job, run, stage, round(sum(CASE WHEN stage = 'purchase' THEN 0 ELSE (nt - t) / 1e6 END), 3) AS seconds
+    FROM l JOIN r USING (user_id, run) JOIN q USING (user_id), m WHERE (nt IS NOT NULL OR stage = 'purchase') AND (closed OR due < wm) GROUP BY 1, 2, 3""",
+)
+def _(spark, sf):
+    return J.run_to_table(J.stage_durations_stream(J.event_stream(spark, sf))).select("job", "run", "stage", F.round("seconds", 3).alias("seconds"))
+
+
+@query(
+    "st1_stage_durations_settled",
     """WITH m AS (SELECT (max(epoch_us(ts)) - 3600000000) // 1000 * 1000 AS wm FROM events),
       e AS (SELECT user_id, event_id, event_type AS stage, epoch_us(ts) AS t, lag(event_type) OVER w AS ps, lag(epoch_us(ts)) OVER w AS pt FROM events, m WHERE epoch_us(ts) <= wm WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       o AS (SELECT *, sum(coalesce(ps = 'purchase' OR t - pt > 2 * 86400000000, false)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id)::BIGINT AS run FROM e),
@@ -30,7 +44,7 @@ def micros(c):
     FROM l JOIN r USING (user_id, run), m WHERE (nt IS NOT NULL OR stage = 'purchase') AND (closed OR run < newest OR quiet + 2 * 86400000000 < wm) GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    s = J.stage_durations_stream(J.event_stream(spark, sf))
+    s = J.stage_durations_settled(J.event_stream(spark, sf))
     return J.run_to_table(s, rocksdb=True).select("job", "run", "stage", F.round("seconds", 3).alias("seconds"))
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cadenza.session import durable_dir
 
@@ -51,6 +52,55 @@ def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], mode: s
     df.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
 
+def stage_durations_stream(events: DataFrame, *, key: str = "user_id", stage: str = "event_type", terminal: str = "purchase", timeout: str = "2 days", late: str = "1 hour") -> DataFrame:
+    """Seconds per stage of a job, summed over re-entries; rows appear at the terminal status or when a job goes quiet.
+
+    The state per job is a handful of numbers, whatever its number of events.
+    """
+    from pyspark.sql import types as T
+
+    key_t = events.schema[key].dataType
+    out = T.StructType([T.StructField("job", key_t), T.StructField("run", T.LongType()), T.StructField("stage", T.StringType()), T.StructField("seconds", T.DoubleType())])
+    state_t = "run long, stage string, since double, names array<string>, secs array<double>"
+    hold = pd.Timedelta(timeout)
+
+    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run, cur, since, acc = 0, None, 0.0, {}
+        if state.exists:
+            run, cur, since, names, secs = state.get
+            acc = dict(zip(names, secs))
+        rows = []
+
+        def emit():
+            rows.extend((k[0], run, s, v) for s, v in sorted(acc.items()))
+
+        if state.hasTimedOut:
+            emit()
+            state.remove()
+        else:
+            pdf = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+            last = None
+            for ts, st in zip(pdf["ts"], pdf[stage]):
+                t = ts.value / 1e9
+                last = ts
+                if cur is not None:
+                    acc[cur] = acc.get(cur, 0.0) + (t - since)
+                cur, since = st, t
+                if st == terminal:
+                    acc.setdefault(st, 0.0)
+                    emit()
+                    run, cur, acc = run + 1, None, {}
+            state.update((run, cur, since, list(acc), [float(x) for x in acc.values()]))
+            if last is not None:
+                due = int((last + hold).value // 1_000_000)
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["job", "run", "stage", "seconds"])
+
+    e = events.withWatermark("ts", late).select(key, "event_id", "ts", stage)
+    return e.groupBy(key).applyInPandasWithState(step, out, state_t, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 class _StageClock(StatefulProcessor):
     """Seconds per stage of one job. Rows wait until the watermark has passed them, so they are counted in order whatever batch brought them."""
 
@@ -118,8 +168,8 @@ class _StageClock(StatefulProcessor):
         pass
 
 
-def stage_durations_stream(events: DataFrame, *, key: str = "user_id", stage: str = "event_type", terminal: str = "purchase", timeout: str = "2 days", late: str = "1 hour") -> DataFrame:
-    """Seconds per stage of a job's runs, summed over re-entries; a run ends with the terminal status or before a pause above ``timeout``.
+def stage_durations_settled(events: DataFrame, *, key: str = "user_id", stage: str = "event_type", terminal: str = "purchase", timeout: str = "2 days", late: str = "1 hour") -> DataFrame:
+    """:func:`stage_durations_stream` in event time: a run ends with the terminal status or before a pause above ``timeout``.
 
     Rows are emitted once the watermark has passed the end of their run. Batch borders do not matter; rows behind the watermark are dropped.
     Needs the RocksDB state store (see :func:`run_to_table`).

@@ -39,13 +39,13 @@ def test_stage_durations_do_not_hang_on_batches(spark, cuts):
     rows = sorted(EVENTS, key=lambda e: e[3])
     files = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
     # within a batch rows come in any order
-    got = jobs.run_to_table(jobs.stage_durations_stream(stream(spark, [f[::-1] for f in files])), rocksdb=True)
+    got = jobs.run_to_table(jobs.stage_durations_settled(stream(spark, [f[::-1] for f in files])), rocksdb=True)
     assert {(r.job, r.run, r.stage): r.seconds for r in got.collect()} == RUNS
 
 
 def test_rows_behind_the_watermark_are_dropped_and_late_ones_within_it_counted(spark):
     files = [[(1, 1, "view", 10)], [(2, 1, "purchase", 11.5)], [(3, 1, "click", 11), (4, 1, "click", 3)], [(5, 9, "end", 200)]]
-    got = jobs.run_to_table(jobs.stage_durations_stream(stream(spark, files)), rocksdb=True)
+    got = jobs.run_to_table(jobs.stage_durations_settled(stream(spark, files)), rocksdb=True)
     assert {(r.stage): r.seconds for r in got.collect() if r.job == 1} == {"view": 3600, "click": 1800, "purchase": 0}
 
 
