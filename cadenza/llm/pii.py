@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import boxed
-from cadenza.llm.spans import Cover, Span, add_best, parse, redact, render
+from cadenza.llm.spans import Cover, Span, add_best, count_kind, parse, redact, render
 from cadenza.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -118,7 +118,7 @@ def _damaged(kind: str, body: str) -> str | None:
         return body[:-1] + str((int(body[-1]) + 1) % 10)
     if kind == "ip":
         p = body.split(".")
-        return ".".join([str(int(p[0]) % 100 + 300), *p[1:]])
+        return ".".join([str(int(p[0][-2:]) + 300), *p[1:]])
     if kind == "phone":
         return body[: len(body) // 2]
     return body.replace("@", " ").replace(".", " ")
@@ -212,7 +212,7 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def counted(found: DataFrame, key: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Numbers of base spans per kind and the digest of the base spans."""
-    n = [(F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(f"{k}:")))).cast("long").alias(f"n_{k}") for k in kinds]
+    n = [count_kind("base", k).alias(f"n_{k}") for k in kinds]
     return found.select(key, *n, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 

@@ -7,6 +7,9 @@ from bisect import bisect_left
 from collections.abc import Iterable, Sequence
 from itertools import accumulate
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 Span = tuple[str, int, int]
 
 
@@ -24,6 +27,11 @@ def parse(text: str) -> list[Span]:
     return [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in text.split(",") if x)]
 
 
+def count_kind(rendered: str, kind: str) -> Column:
+    """Number of spans of one kind in a rendered column. A second lambda parameter would be the element's index."""
+    return F.size(F.filter(F.split(rendered, ","), lambda x: x.startswith(f"{kind}:"))).cast("long")
+
+
 class Cover:
     """Answers whether a range meets one of the spans, in logarithmic time."""
 

@@ -736,3 +736,9 @@ def test_unigram_viterbi(spark, byte):
             else:
                 total, j, text = total + table[ids[j]][1], j + 1, text + table[ids[j]][0]
         assert text == s and math.isclose(total, best(s), abs_tol=1e-6)
+
+
+def test_pii_counts_per_kind(spark):
+    rows = [(1, "a@b.c 1.2.3.4 x@y.zz"), (2, "4111 1111 1111 1111 +1 (22) 333-4444"), (3, None), (4, "0" * 5000 + "1.2.3.4")]
+    got = pii.counted(pii.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    assert {r[0]: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got.collect()} == {1: (2, 1, 0, 0), 2: (0, 0, 1, 1), 3: (0, 0, 0, 0), 4: (0, 1, 0, 0)}
