@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.spans import Cover, Span, add_best, parse, render
+from cadenza.llm.spans import Cover, Span, add_best, count_kind, parse, render
 from cadenza.session import materialize
 
 KINDS = ("assign", "access", "hex", "novel")
@@ -123,5 +123,5 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", limit: float
 
 def counted(found: DataFrame, key: str) -> DataFrame:
     """Numbers of base spans per kind and the digest of the base spans."""
-    n = [F.size(F.filter(F.split("base", ","), lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    n = [count_kind("base", k).alias(f"n_{k}") for k in KINDS[:3]]
     return found.select(key, *n, F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")

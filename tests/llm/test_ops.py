@@ -742,3 +742,9 @@ def test_pii_counts_per_kind(spark):
     rows = [(1, "a@b.c 1.2.3.4 x@y.zz"), (2, "4111 1111 1111 1111 +1 (22) 333-4444"), (3, None), (4, "0" * 5000 + "1.2.3.4")]
     got = pii.counted(pii.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
     assert {r[0]: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got.collect()} == {1: (2, 1, 0, 0), 2: (0, 0, 1, 1), 3: (0, 0, 0, 0), 4: (0, 1, 0, 0)}
+
+
+def test_secret_counts_per_kind(spark):
+    rows = [(1, "password=abcdefgh token: 'x1234567'"), (2, "AKIAABCDEFGHIJKL " + "0a" * 16), (3, None)]
+    got = secrets.counted(secrets.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    assert {r[0]: (r.n_assign, r.n_access, r.n_hex) for r in got.collect()} == {1: (2, 0, 0), 2: (0, 1, 1), 3: (0, 0, 0)}
