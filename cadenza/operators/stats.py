@@ -205,11 +205,11 @@ def monotone_runs(segs: DataFrame, key=("source_id",), order=("seg_idx",), long_
     """Runs of one speaker with long continuations, and the rhythm score per source.
 
     A row continues a run when its speaker equals the previous row's and it is longer than
-    ``long_sec``; ``need`` continuations make an issue.
+    ``long_sec``; ``need`` continuations make an issue. Lengths are rounded to 9 digits, as a difference of times is not exact.
     """
     key, order = list(key), list(order)
     r = running(segs, key, order, {"_p": lag("speaker")})
-    cont = F.coalesce((F.col("speaker") == F.col("_p")) & (F.col("end") - F.col("start") > long_sec), F.lit(False))
+    cont = F.coalesce((F.col("speaker") == F.col("_p")) & (F.round(F.col("end") - F.col("start"), 9) > long_sec), F.lit(False))
     r = r.withColumn("_new", F.when(cont, 0).otherwise(1))
     r = running(r, key, order, {"_run": run_sum("_new")})
     runs = r.groupBy(*key, "_run").agg((F.count(F.lit(1)) - 1).alias("_c"))

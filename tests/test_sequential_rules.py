@@ -215,3 +215,13 @@ def test_stage_stream_equals_loop(spark, sf):
     assert set(done) == set(want)
     for k, v in want.items():
         assert done[k] == pytest.approx(v, abs=2e-3)
+
+
+def test_run_lengths_are_rounded(spark):
+    from cadenza.operators.stats import monotone_runs
+
+    # 30 s long, but the difference of the doubles is a little more
+    rows = [(1, 0, 0.0, 4.0, "a"), (1, 1, 2.34, 32.34, "a"), (2, 0, 0.0, 4.0, "a"), (2, 1, 2.34, 32.341, "a")]
+    assert 32.34 - 2.34 > 30
+    got = monotone_runs(spark.createDataFrame(rows, "source_id long, seg_idx long, start double, end double, speaker string"), need=1)
+    assert {r["source_id"]: (r["issues"], r["longest"]) for r in got.collect()} == {1: (0, 0), 2: (1, 1)}
