@@ -1,5 +1,7 @@
 """Schedules and captions: what depends on the campaign or account only is worked out once for it."""
 
+import pytest
+
 from cadenza.operators import publish as B
 
 
@@ -18,3 +20,19 @@ def test_schedule_reads_local_times_once_per_campaign(spark):
     assert at[1, 10, 5] == "2025-03-01 10:30:00" and at[1, 10, 7] == "2025-03-05 10:30:00" and at[1, 20, 5] == "2025-03-05 10:30:00"
     assert at[2, 10, 5] == "2025-04-02 00:00:00" and at[2, 20, 7] == "2025-04-02 03:00:00"
     assert at[3, 20, 7] == "2025-04-04 00:02:00" and len(at) == 12
+
+
+@pytest.mark.parametrize("globals_", [True, False])
+def test_presets_are_joined_once_per_account(spark, globals_):
+    rows = [(1, 5, "append", " own tail ", True), (2, 5, "prepend", "own head", True), (3, None, "append", "all tail", globals_), (4, None, "prepend", "all head", globals_), (6, 5, "prepend", "  ", True), (7, 5, "prepend", "off", False), (8, 5, "append", None, True)]
+    p = spark.createDataFrame(rows, "preset_id long, account_id long, position string, content string, active boolean")
+    c = spark.createDataFrame([(1, 5, " text "), (2, 9, "text"), (3, None, None), (4, 5, "")], "caption_id long, account_id long, text string")
+    got = B.apply_presets(c, p)
+    assert "sort_array" not in plan_of(got)
+    g, t = (["all head"], ["all tail"]) if globals_ else ([], [])
+    ids = lambda *x: ",".join(str(i) for i in x if globals_ or i not in (3, 4))
+    want = {
+        1: ("\n\n".join([*g, "own head", "text", "own tail", *t]), ids(4, 2, 6, 1, 8, 3)), 2: ("\n\n".join([*g, "text", *t]), ids(4, 3)),
+        3: ("\n\n".join([*g, *t]), ids(4, 3)), 4: ("\n\n".join([*g, "own head", "own tail", *t]), ids(4, 2, 6, 1, 8, 3)),
+    }
+    assert {r["caption_id"]: (r["caption"], r["applied"]) for r in got.collect()} == want
