@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.vector import cosine
+from cadenza.session import materialize
 
 
 def rank_cap(duration: Column, per_minute: float = 2.0, low: int = 60, high: int = 300) -> Column:
@@ -90,17 +91,21 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | N
     """Cosine top-k of ``items`` (item_id, v) for every row of ``queries`` (query_id, qv).
 
     With ``text``, items that say the same (trimmed, case-folded) count once, by their best cosine; items without text are left out.
+    Those of one vector are one item, by the smallest id, before they meet the queries: their cosines are equal.
 
     Queries are counted and reach the tasks in blocks of at most ``QUERY_BLOCK`` as one scalar subquery each; items are
     scanned once per block and never shuffled, and only the best ``k`` per task and query leave a task.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    if text:
+        items = items.withColumn("_said", F.lower(F.trim(F.col(text)))).filter("_said <> ''").groupBy("_said", "v").agg(F.min("item_id").alias("item_id"))
+        items = materialize(items)
     queries = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     parts = []
     for i in range(blocks):
         packed = queries.filter(F.col("_blk") == i).agg(F.sort_array(F.collect_list(F.struct("query_id", "qv"))).alias("_q"))
         j = items.withColumn("_q", F.explode(packed.scalar()))
-        said = [F.lower(F.trim(F.col(text))).alias("_said")] if text else []
+        said = ["_said"] if text else []
         parts.append(j.select(F.col("_q.query_id").alias("query_id"), "item_id", cosine(F.col("v"), F.col("_q.qv")).alias("cos"), *said))
     j = parts[0]
     for p in parts[1:]:
@@ -109,6 +114,6 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, min_cos: float | N
         j = j.filter(F.col("cos") >= min_cos)
     if text:
         best = F.max(F.struct("cos", (-F.col("item_id")).alias("_t")))
-        j = j.filter("_said <> ''").groupBy("query_id", "_said").agg(best.alias("_b")).select("query_id", (-F.col("_b._t")).alias("item_id"), F.col("_b.cos").alias("cos"))
+        j = j.groupBy("query_id", "_said").agg(best.alias("_b")).select("query_id", (-F.col("_b._t")).alias("item_id"), F.col("_b.cos").alias("cos"))
     w = Window.partitionBy("query_id").orderBy(F.desc("cos"), "item_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

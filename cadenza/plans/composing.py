@@ -213,10 +213,10 @@ LIKED = """ liked AS (SELECT o_orderkey AS artifact_id, o_orderdate AS created,
   FROM orders JOIN documents d ON d.doc_id = o_orderkey % 60 JOIN embeddings e ON e.vec_id = o_orderkey % 300 WHERE o_orderstatus = 'F' AND trim(d.text) <> '')"""
 
 
-def liked(spark, sf):
+def liked(spark, sf, hook=None):
     """Liked orders with a phrase and a vector; many of them say the same."""
     o = T.table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("artifact_id"), F.col("o_orderdate").alias("created"))
-    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("hook"))
+    d = T.table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), (F.col("text") if hook is None else hook).alias("hook"))
     e = T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("_e"), F.col("embedding").cast("array<double>").alias("v"))
     k = F.col("artifact_id")
     return o.withColumns({"_d": k % 60, "_e": k % 300}).join(d, "_d").join(e, "_e").drop("_d", "_e")
@@ -254,7 +254,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     e = T.table(spark, sf, "embeddings").filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("qv"))
-    items = liked(spark, sf).select(F.col("artifact_id").alias("item_id"), "v", F.substring(F.trim("hook"), 1, 180).alias("said"))
+    items = liked(spark, sf, F.substring(F.trim("text"), 1, 180)).select(F.col("artifact_id").alias("item_id"), "v", F.col("hook").alias("said"))
     return K.vector_topk(items, e, 10, text="said").select("query_id", "item_id", *r6("cos"), "rank")
 
 

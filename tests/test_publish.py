@@ -3,6 +3,7 @@
 import pytest
 
 from cadenza.operators import publish as B
+from cadenza.operators import rank as K
 
 
 def plan_of(df):
@@ -36,3 +37,11 @@ def test_presets_are_joined_once_per_account(spark, globals_):
         3: ("\n\n".join([*g, *t]), ids(4, 3)), 4: ("\n\n".join([*g, "own head", "own tail", *t]), ids(4, 2, 6, 1, 8, 3)),
     }
     assert {r["caption_id"]: (r["caption"], r["applied"]) for r in got.collect()} == want
+
+
+def test_items_that_say_the_same_by_one_vector_meet_queries_once(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i % 2)], " Same " if i % 3 else "other") for i in range(600)] + [(900, [1.0, 0.0], " "), (901, [1.0, 0.0], None)], "item_id long, v array<double>, said string")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, qv array<double>")
+    got = K.vector_topk(items, q, 10, text="said")
+    assert "lower(" not in plan_of(got)
+    assert sorted((r["query_id"], r["rank"], r["item_id"]) for r in got.collect()) == [(1, 1, 0), (1, 2, 2), (2, 1, 1), (2, 2, 3)]
