@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import rank as K
 from cadenza.operators import select as X
 from cadenza.operators.greedy import greedy_select, overlap_len, time_buckets
+from cadenza.session import materialize
 
 
 def spans(seed, n=300):
@@ -195,3 +196,27 @@ def test_model_errors_become_rows(spark):
     assert got[3] == (len("(empty)"), None) and got[0] == (2, None)
     assert got[95] == (None, "ValueError: boom") and got[190] == (None, "length_mismatch")
     assert len(got) == 200
+
+
+def test_states_are_not_copied_to_rows(spark, monkeypatch):
+    """One row per source and round carries the state, and rounds meet bounded batches."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df)
+
+    monkeypatch.setattr(X, "materialize", seen)
+    rows = [(s, i, i + 1, float(i)) for s in (1, 2) for i in range(25)] + [(3, 0, 1, 5.0)]
+
+    def step(state, row):
+        state.append(row[1])
+        return (row[0], float(sum(state)))
+
+    df = spark.createDataFrame(rows, "source_id long, item_id long, _i long, x double")
+    out, ends = X.select_in_batches(df, "source_id", cols=["item_id", "x"], step=step, init=list, full=lambda s: len(s) >= 22, schema="item_id long, total double", batch=10)
+    assert sum("CoGroups" in p for p in plans) == 3 and not any("FlatMapGroups" in p for p in plans)
+    got = {(r["source_id"], r["item_id"]): r["total"] for r in out.collect()}
+    for s in (1, 2):
+        assert [got[s, i] for i in range(22)] == [i * (i + 1) / 2 for i in range(22)]
+    assert got[3, 0] == 5.0 and ends.count() == 3
