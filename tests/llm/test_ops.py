@@ -748,3 +748,17 @@ def test_secret_counts_per_kind(spark):
     rows = [(1, "password=abcdefgh token: 'x1234567'"), (2, "AKIAABCDEFGHIJKL " + "0a" * 16), (3, None)]
     got = secrets.counted(secrets.find(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
     assert {r[0]: (r.n_assign, r.n_access, r.n_hex) for r in got.collect()} == {1: (2, 0, 0), 2: (0, 1, 1), 3: (0, 0, 0)}
+
+
+def test_pii_learns_from_every_candidate(spark, monkeypatch):
+    """A table beyond any former sample: all labelled candidates carry weight in the fit."""
+    from pyspark.ml.classification import GBTClassifier
+
+    seen = []
+    plain = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df, *a: (seen.append(df.agg(F.sum("weight")).first()[0]), plain(self, df, *a))[1])
+    n = 60_000
+    flat = spark.range(n).select(F.col("id").alias("_row"), F.lit("phone").alias("kind"), F.col("id").cast("int").alias("start"), F.col("id").cast("int").alias("end"), (F.col("id") % 2).cast("int").alias("label"), F.array((F.col("id") % 2).cast("double"), (F.col("id") % 5).cast("double")).alias("x"))
+    model, cut = pii.fit(flat)
+    held = flat.filter(F.pmod(F.xxhash64("_row", F.lit(12)), F.lit(3)) == 0).count()
+    assert seen == [n - held] and set(cut) == {"phone"}
