@@ -505,7 +505,7 @@ def _(spark, sf):
     recursive=True,
 )
 def _(spark, sf):
-    d = T.dense_clips(spark, sf).select("source_id", F.col("clip_id").alias("id"), F.round(F.col("start") / 20, 3).alias("start"), (F.col("score") / 10).alias("strength"), F.concat_ws(" ", "topic", F.lit("said"), F.col("chunk").cast("string")).alias("text"))
+    d = T.dense_clips(spark, sf).select("source_id", F.col("clip_id").alias("id"), T.thousandths(F.col("start") / 20).alias("start"), (F.col("score") / 10).alias("strength"), F.concat_ws(" ", "topic", F.lit("said"), F.col("chunk").cast("string")).alias("text"))
     return D.dedup_hybrid(d).select("source_id", "id")
 
 

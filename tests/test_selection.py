@@ -220,3 +220,20 @@ def test_states_are_not_copied_to_rows(spark, monkeypatch):
     for s in (1, 2):
         assert [got[s, i] for i in range(22)] == [i * (i + 1) / 2 for i in range(22)]
     assert got[3, 0] == 5.0 and ends.count() == 3
+
+
+def test_plan_times_are_rounded_as_in_sql(spark, tmp_path):
+    """10.01 / 20 and 3219 / 400 are ties in text, but not once scaled: SQL rounds the scaled number."""
+    import duckdb
+
+    from cadenza.plans.registry import DENSE
+    from cadenza.plans.selection import PLANS, plans
+
+    at = "timestamp '2024-01-01' + to_milliseconds(i * 1000)"
+    cols = f"i AS event_id, {at} AS ts, 1::BIGINT AS user_id, 'click' AS event_type, 1.0::DOUBLE AS value, '' AS props"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT {cols} FROM (SELECT unnest([0, 3219, 4004, 4012, 203, 9004]) AS i)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    want = con.execute(f"WITH {DENSE}, {PLANS} SELECT rid, list_transform(segs, lambda x: [x.s, x.e]) FROM pl ORDER BY 1").fetchall()
+    got = [(r["plan_id"], [[x["s"], x["e"]] for x in r["segs"]]) for r in plans(spark, str(tmp_path)).orderBy("plan_id").collect()]
+    assert got == want
