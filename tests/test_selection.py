@@ -237,3 +237,32 @@ def test_plan_times_are_rounded_as_in_sql(spark, tmp_path):
     want = con.execute(f"WITH {DENSE}, {PLANS} SELECT rid, list_transform(segs, lambda x: [x.s, x.e]) FROM pl ORDER BY 1").fetchall()
     got = [(r["plan_id"], [[x["s"], x["e"]] for x in r["segs"]]) for r in plans(spark, str(tmp_path)).orderBy("plan_id").collect()]
     assert got == want
+
+
+def stored_bytes(spark):
+    import os
+
+    from cadenza.session import durable_dir
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(durable_dir(spark).removeprefix("file:")) for f in names if f.endswith(".parquet"))
+
+
+@pytest.mark.parametrize("what", ["dedup", "pairs"])
+def test_token_sets_are_stored_once(spark, what):
+    """Near copies of long texts and unrelated ones: the sets are written once, not beside their buckets and for every round."""
+    r = random.Random(5)
+    rows = []
+    for i in range(60):
+        base = [f"w{r.randrange(10**9)}" for _ in range(1000)]
+        rows += [(1, 3 * i + k, float(k), [*base[: 1000 - 20 * k], *(f"x{i}-{k}-{j}" for j in range(20 * k))]) for k in range(3)]
+    df = spark.createDataFrame(rows, "source_id long, id long, score double, tok array<string>")
+    before = stored_bytes(spark)
+    if what == "dedup":
+        got = {x["id"] for x in X.dedup_jaccard(df, id="id", rank=[-F.col("score")], tokens="tok", threshold=0.85).collect()}
+        assert got == {3 * i + 2 for i in range(60)}
+    else:
+        got = {(x["id_a"], x["id_b"]) for x in X.similar_pairs(df, id="id", tokens="tok", threshold=0.85).collect()}
+        assert got == {(3 * i + a, 3 * i + b) for i in range(60) for a, b in ((0, 1), (0, 2), (1, 2))}
+    sets = 8 * sum(len(x[3]) for x in rows)
+    limit = 1.5 if what == "dedup" else 1.2
+    assert stored_bytes(spark) - before < limit * sets
