@@ -148,3 +148,18 @@ def test_novelty_rounds_do_not_grow_with_a_source(spark, monkeypatch):
     got = X.rank_novel(df, target=5, max_sim=0.9).collect()
     assert len(rounds) < 40
     assert len(got) <= 5 and len({r.arc_id % 5 for r in got}) == len(got) >= 3
+
+
+def test_plan_rounds_carry_no_texts(plans, monkeypatch):
+    """Texts and vectors are written once per plan and once per different value; rounds rewrite slim rows only."""
+    from cadenza.operators import greedy
+
+    written = []
+    for m in (X, greedy):
+        monkeypatch.setattr(m, "materialize", lambda d, real=m.materialize: written.append(d.columns) or real(d))
+    X.unique_plans(plans, params={"jaccard": 0.3, "cosine": 0.95, "overlap": 0.5}).count()
+    assert not [c for c in written if "tokens" in c or "_p" in c and "vec" in c]
+    assert len([c for c in written if "_tok" in c]) == 2  # the plans, the different sets
+    assert len([c for c in written if "vec" in c]) == 2
+    slim = X._plan_tables(plans, X.STRICT, 1000, 96.0)[2].filter("_kd = 3")
+    assert slim.count() == slim.select("plan_id").distinct().count()  # one row for the text of a plan of a small source
