@@ -33,7 +33,7 @@ def orbit(nxt: str, rows: str, idx: str = "i") -> str:
     recursive=True,
 )
 def _(spark, sf):
-    t = G.session_table(G.sessionize(T.words(spark, sf)))
+    t = G.session_table(G.sessionize(T.words(spark, sf).select("source_id", "pos", "start", "end")))
     return t.select("source_id", "start", "end", "n_words")
 
 

@@ -155,3 +155,39 @@ def test_few_bases_leave_evenly_spaced_rows(rows):
     for v, b in ((t - 20, t), (np.cumsum(np.full(rows, 7.0)) - 900, np.cumsum(np.full(rows, 7.0)) - 7), (t, t + 0.3)):
         assert len(cuts.reach(v, b)[0]) < 200
     assert len(cuts.reach(t - 20, t)[0]) < 100
+
+
+def test_whole_keys_stream_through_small_batches(spark, monkeypatch):
+    """Keys marked as bounded are neither counted nor grouped: rows stream by key, whatever batches they come in."""
+    import random
+
+    from cadenza.operators import cuts
+    from cadenza.operators.ordered import BOUNDED
+    from cadenza.operators.segment import sessionize
+
+    def no_count(df):
+        raise AssertionError("whole keys need no count")
+
+    monkeypatch.setattr(cuts, "block_count", no_count)
+    r, rows, want = random.Random(4), [], {}
+    for src in range(40):
+        t, opened, session, last = 0.0, None, -1, None
+        for pos in range(r.choice([1, 2, 3, 7, 20])):
+            t = round(t + r.choice([0.4, 1.9]), 3)
+            end = round(t + 0.3, 3)
+            if last is None or round(t - last, 9) >= 0.75 or round(end - 2.0 - opened, 9) >= 0:
+                session, opened = session + 1, t
+            rows.append((src, pos, t, end))
+            want[src, pos] = session
+            last = end
+    df = spark.createDataFrame(rows, "source_id long, pos long, start double, end double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for n in ("1", "3", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+        try:
+            got = sessionize(df.select(F.col("source_id").alias("source_id", metadata=BOUNDED), "pos", "start", "end"), max_span=2.0).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+        assert {(x.source_id, x.pos): x.session for x in got} == want
+    monkeypatch.setattr(cuts, "block_count", lambda d: 9)
+    assert {(x.source_id, x.pos): x.session for x in sessionize(df, max_span=2.0).collect()} == want
