@@ -163,3 +163,19 @@ def test_plan_rounds_carry_no_texts(plans, monkeypatch):
     assert len([c for c in written if "vec" in c]) == 2
     slim = X._plan_tables(plans, X.STRICT, 1000, 96.0)[2].filter("_kd = 3")
     assert slim.count() == slim.select("plan_id").distinct().count()  # one row for the text of a plan of a small source
+
+
+def test_similar_pairs_in_tiles(spark, monkeypatch):
+    """Families are cut into tiles that hold a set once; tiles of few pairs give the same pairs."""
+    monkeypatch.setattr(X, "TILE_PAIRS", 3)
+    rng = np.random.default_rng(8)
+    rows = [(s, 100 * s + i, sorted({f"{s % 2}w{j}" for j in range(12)} - {f"{s % 2}w{j}" for j in rng.choice(12, 3)})) for s in (1, 2, 3) for i in range(12)]
+    got = X.similar_pairs(spark.createDataFrame(rows, "source_id long, id long, tok array<string>"), id="id", tokens="tok", threshold=0.7).collect()
+    first = {}
+    for s, i, t in rows:
+        first.setdefault((s, tuple(t)), i)
+    want = {(s, first[s, tuple(t)], i, 1.0) for s, i, t in rows if first[s, tuple(t)] != i}
+    reps = [(s, i, set(t)) for (s, t), i in first.items()]
+    for s, i, t in reps:
+        want |= {(s, i, j, round(len(t & u) / len(t | u), 6)) for r, j, u in reps if r == s and j > i and round(len(t & u) / len(t | u) - 0.7, 9) >= 0}
+    assert {(x.source_id, x.id_a, x.id_b, round(x.sim, 6)) for x in got} == want
