@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from cadenza.operators import edit as E
+from cadenza.operators import greedy
 from cadenza.operators import intervals as I
 from cadenza.operators.ordered import BOUNDED
 
@@ -44,3 +45,17 @@ def test_both_edges_of_cuts_snap_in_one_pass(spark):
     s = E.snap_cuts(cuts, words, ["source_id", "cut_id"], tol=0.030000001)
     assert s._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted((r["cut_id"], r["new_start"], r["new_end"]) for r in s.collect()) == [(0, 0.0, 1.3), (1, 0.5, 1.3), (2, 0.0, 1.0), (3, 0.01, 0.09)]
+
+
+def test_segments_of_grown_plans_are_folded(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("conflict rounds over plans")
+
+    monkeypatch.setattr(greedy, "materialize", never)
+    words = _bounded(spark.createDataFrame([(1, 0, "a", 500.0, 500.3)], "source_id long, pos long, word string, start double, end double"))
+    span = lambda *x: [{"s": float(a), "e": float(b)} for a, b in x]
+    # the third is covered by the second, which the first covers and so drops: it stays
+    plans = [(1, 0, span((0, 30), (10, 38), (31, 35)), 900.0), (1, 1, span((0, 20)), 900.0)]
+    p = spark.createDataFrame(plans, "source_id long, plan_no long, segs array<struct<s:double,e:double>>, duration_total double")
+    out = E.extend_and_finish(_bounded(p), words, target=62.0, low=25.0, high=80.0)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, 0, 0.0, 30.0), (1, 0, 2, 31.0, 35.0)]
