@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -238,7 +239,7 @@ def open_segments(
 
     names = schema.names
 
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+    def mark(pdf: pd.DataFrame, wanted=None) -> pd.DataFrame:
         pdf, va, ba = arrays(pdf)
         opens, _ = _marks(va, ba, bases.get(int(pdf[BLOCK].iloc[0])))
         pdf[flag] = opens
@@ -246,7 +247,15 @@ def open_segments(
             begin = np.flatnonzero(_key_starts(pdf, key))
             seen = np.cumsum(opens)
             pdf[number] = seen - np.repeat((seen - opens)[begin], np.diff(np.append(begin, len(pdf)))) - 1
-        return pdf[names]
+        return pdf[wanted or names]
+
+    def mark_block(block: pa.Table) -> pa.Table:
+        # what the rule does not look at stays in Arrow: texts as Python objects would take many times their size
+        seen = block.select(list(dict.fromkeys([BLOCK, *key, *order, "_v", "_w", "_b"]))).to_pandas()
+        at = seen.sort_values([*key, *order], kind="stable").index.to_numpy()
+        found = mark(seen, [flag, *([number] if number else [])])
+        block = block.take(pa.array(at))
+        return pa.table([pa.array(found[n].to_numpy()) if n in found else block[n] for n in names], names=names)
 
     def stream(batches):
         # keys are whole and sorted: a batch is cut behind its last complete key
@@ -271,7 +280,7 @@ def open_segments(
     if whole_keys:
         # the rows lie so already when v or b hold windows over the key
         return t.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(stream, schema)
-    out = materialize(t.groupBy(BLOCK).applyInPandas(mark, schema))
+    out = materialize(t.groupBy(BLOCK).applyInArrow(mark_block, schema))
     if not number:
         return out
     last = out.groupBy(*key, BLOCK).agg((F.max(number) + 1).alias("_c"))

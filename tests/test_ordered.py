@@ -191,3 +191,19 @@ def test_whole_keys_stream_through_small_batches(spark, monkeypatch):
         assert {(x.source_id, x.pos): x.session for x in got} == want
     monkeypatch.setattr(cuts, "block_count", lambda d: 9)
     assert {(x.source_id, x.pos): x.session for x in sessionize(df, max_span=2.0).collect()} == want
+
+
+def test_open_segments_keeps_payload_out_of_pandas(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    asked = []
+    real = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, fn, schema: asked.append(str(schema)) or real(self, fn, schema))
+    rows = [(1 if i < 60 else 2, i, float(i), [{"w": None if i % 3 else f"t{i}"}] if i % 2 else None) for i in range(80)]
+    df = spark.createDataFrame(rows, "k long, i long, t double, notes array<struct<w:string>>")
+    b = cuts.ordered_blocks(df, ["k"], ["i"], 4)
+    out = cuts.open_segments(b, ["k"], ["i"], v=F.col("t") - 7, b=F.col("t"), blocked=True, number="seg")
+    got = {r["i"]: r for r in out.collect()}
+    assert [got[i]["seg"] for i in range(80)] == [(i if i < 60 else i - 60) // 7 for i in range(80)]
+    assert all(got[i]["notes"] == (None if n is None else [tuple(x.values()) for x in n]) for _, i, _, n in rows)
+    assert not any("notes" in x for x in asked)
