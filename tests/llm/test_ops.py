@@ -7,9 +7,11 @@ import os
 import random
 import re
 import sys
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 from cadenza.llm import exact_dedup, jaccard_join, mixing, passages, pieces, pii, quality, secrets, sharding, spans, vantage  # noqa: E402
 from cadenza.llm.common import components, fold_words  # noqa: E402
 from cadenza.llm.queries import model_path  # noqa: E402
+from cadenza.session import materialize  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `_row` string, `_key` string, shard string, kept string, box string"
 WORDS = [f"w{i}" for i in range(400)]
@@ -762,3 +765,46 @@ def test_pii_learns_from_every_candidate(spark, monkeypatch):
     model, cut = pii.fit(flat)
     held = flat.filter(F.pmod(F.xxhash64("_row", F.lit(12)), F.lit(3)) == 0).count()
     assert seen == [n - held] and set(cut) == {"phone"}
+
+
+# ---- what large tables take
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = shuffle_files(spark)
+    t = materialize(spark.range(5000).withColumn("k", F.col("id") % 7).repartition(4, "k"))
+    assert t.count() == 5000
+    for _ in range(50):
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    # count() has an exchange of one row for each task
+    assert len({f.split("_")[1] for f in shuffle_files(spark) - before}) <= 1
+
+
+def test_rows_that_visit_all_pivots_come_in_small_batches():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 2000).astype(np.uint64)
+    texts = [np.unique(np.append(base, np.uint64(i))).tobytes() for i in range(300)]
+    b = pa.RecordBatch.from_arrays([pa.array([7] * 300), pa.array(range(300)), pa.array([1] * 300), pa.array([0] * 300), pa.array(texts, pa.binary())], ["region", "cls", "w", "mask", "s"])
+    out = list(jaccard_join._voronoi({7: texts[:40]}, 85, 0)(iter([b])))
+    assert sum(x.num_rows for x in out) > 300 and max(x.nbytes for x in out) < 10_000_000
+    assert {x for o in out for x in o.column("cls").to_pylist()} == set(range(300))
+
+
+def test_classes_of_one_name_stay_together(spark):
+    """Classes travel under half of their digest; two linked ones of one name are no edge, and still meet."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for f in range(20):
+        base = np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64))
+        rows += [(5, (j << 40) + f, 1, 0, bytearray(np.delete(base, j).tobytes())) for j in range(2)]
+    df = spark.createDataFrame(rows, "region long, cls long, w long, mask long, s binary")
+    leaves = jaccard_join.split_regions(df, 85)
+    j = leaves.repartition("region").sortWithinPartitions("region", "cls").mapInArrow(jaccard_join._leaf(85), "a long, b long, links long")
+    assert {r.a: r.links for r in j.collect()} == {r[1]: 1 for r in rows}
