@@ -808,3 +808,16 @@ def test_classes_of_one_name_stay_together(spark):
     leaves = jaccard_join.split_regions(df, 85)
     j = leaves.repartition("region").sortWithinPartitions("region", "cls").mapInArrow(jaccard_join._leaf(85), "a long, b long, links long")
     assert {r.a: r.links for r in j.collect()} == {r[1]: 1 for r in rows}
+
+
+def test_parts_have_dictionaries_of_their_own(spark, bpe):
+    """More words than a dictionary may hold: texts are dealt into parts, and no text is shuffled."""
+    import public_tokenizers
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(12)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(12)) + " and the " + "x" * 70) for i in range(200)]
+    out = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), bpe, most_words=500)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: list(r.ids) for r in out.collect()} == {i: lib.encode(t) for i, t in rows}
